@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,31 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def blocks(docs: DataFrame, n_bytes: int, block_bytes: int, least: int = 32) -> DataFrame:
-    """(block, doc_id, text): documents dealt by a hash of doc_id to blocks of about ``block_bytes``."""
+def blocks(docs: DataFrame, n_bytes: int, block_bytes: int, least: int = 32, keep_columns: bool = False) -> DataFrame:
+    """(block, doc_id, text): documents dealt by a hash of doc_id to blocks of about ``block_bytes``;
+    with ``keep_columns`` also ``rest``, a struct of all other columns if there are any."""
     n = max(least, math.ceil(n_bytes / block_bytes))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    return docs.select(
-        F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    columns = [F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(*columns, *([F.struct(*rest).alias("rest")] if keep_columns and rest else []))
+
+
+def restored(found: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the documents again, from doc_id, text and ``rest``."""
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
+
+
+ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
+def rows_table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows as an Arrow table; ``schema``: names and types as in Spark's DDL."""
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
+
+
+def ordered(docs: pa.Table) -> pa.Table:
+    """A block's rows in an order that does not depend on how they arrived."""
+    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
