@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, line_dedup, packing
+from textloom.llm import exact_dedup, line_dedup, packing, substring_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.substring_dedup(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
@@ -43,5 +48,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM flagged GROUP BY doc_id
 """
 
-QUERIES = {"op2_packing": op2_packing, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_packing": op2_packing, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup}
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
