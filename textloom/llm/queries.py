@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, line_dedup, packing, substring_dedup
+from textloom.llm import bpe, chat_format, exact_dedup, fingerprints, line_dedup, packing, substring_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.read_back(chat_format.examples(turns)))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -48,5 +63,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM flagged GROUP BY doc_id
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_packing": op2_packing, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup}
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+OP6_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'),
+  '<|turn|>', '&lt;|turn|>'), '<|end|>', '&lt;|end|>'), '<|im_start|>', '&lt;|im_start|>'), '<|im_end|>', '&lt;|im_end|>'), '<|endoftext|>', '&lt;|endoftext|>'),
+  '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]'), '<<SYS>>', '&lt;<SYS>>'), '<</SYS>>', '&lt;</SYS>>'))
+  + len(role) + 16 AS size FROM t),
+c AS (SELECT *, sum(size) OVER w AS upto, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR k = n)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup, "op2_packing": op2_packing, "op5_bpe": op5_bpe, "op6_chat_format": op6_chat_format,
+    "op7_fingerprints": op7_fingerprints, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
