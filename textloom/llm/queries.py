@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, chat_format, exact_dedup, fingerprints, line_dedup, packing, substring_dedup, toxicity, warc
+from textloom.llm import bpe, chat_format, exact_dedup, fingerprints, line_dedup, ngram_join, packing, substring_dedup, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, read(spark, sf_dir, "labels"), threshold=0.7).drop("text")
@@ -98,7 +102,7 @@ FROM c GROUP BY conv_id
 """
 
 QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup, "op2_packing": op2_packing, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_chat_format": op6_chat_format,
+    "op1_substring_dedup": op1_substring_dedup, "op2_packing": op2_packing, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_chat_format": op6_chat_format,
     "op7_fingerprints": op7_fingerprints, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}
