@@ -5,5 +5,8 @@ Each module of ``textloom.plans`` holds a ``QUERIES`` and an ``ORACLES`` dict un
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from textloom.plans import state
+
+MODULES = (state,)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
