@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import blocks, ordered, rows_table, staged, text_bytes
 
-BLANK = "\t\n\x0b\x0c\r "
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+BLANK = b"\t\n\x0b\x0c\r "
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 NULL_ID = -(1 << 63)
 
 
@@ -81,21 +81,22 @@ class PerfectHash:
         return cls(levels)
 
 
-def keys_of(lines: list[str], least: int) -> list[bytes | None]:
-    """The 16-byte hash of each line's key, or None where the key is shorter than ``least``."""
+def keys_of(text: str, least: int) -> list[bytes | None]:
+    """The 16-byte hash of each line's key, or None where the key is shorter than ``least`` code points."""
     out = []
-    for line in lines:
+    for line in text.encode("utf-8", "surrogatepass").translate(LOWER).split(b"\n"):
         key = line.strip(BLANK)
-        out.append(xxhash.xxh3_128_digest(key.translate(LOWER).encode("utf-8", "surrogatepass")) if len(key) >= least else None)
+        # A code point has at most four bytes.
+        long_enough = len(key) >= 4 * least or len(key) >= least and len(key.decode("utf-8", "surrogatepass")) >= least
+        out.append(xxhash.xxh3_128_digest(key) if long_enough else None)
     return out
 
 
 def block_keys(docs: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list, list]:
     """Sorted distinct keys (h1, h2) of a block, documents and smallest doc_id for each, and for each
-    document its lines and line keys."""
+    document its text and line keys."""
     texts, ids = docs.column("text").to_pylist(), docs.column("doc_id").fill_null(NULL_ID).to_pylist()
-    lines = [t.split("\n") for t in texts]
-    keys = [keys_of(x, least) for x in lines]
+    keys = [keys_of(t, least) for t in texts]
     seen: dict[bytes, list] = {}
     for doc_id, own in zip(ids, keys, strict=True):
         for k in dict.fromkeys(own):
@@ -108,7 +109,7 @@ def block_keys(docs: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.n
     order = sorted(seen)
     halves = np.frombuffer(b"".join(order), "<u8").reshape(-1, 2)
     counts, least_id = np.array([seen[k][0] for k in order], np.int64), np.array([seen[k][1] for k in order], np.int64)
-    return halves[:, 0].copy(), halves[:, 1].copy(), counts, least_id, lines, keys
+    return halves[:, 0].copy(), halves[:, 1].copy(), counts, least_id, texts, keys
 
 
 PIECE = "shard int, block int, h1 binary, h2 binary, n binary, least binary"
@@ -171,17 +172,17 @@ def line_dedup(docs: DataFrame, least_chars: int = 10, keep_columns: bool = Fals
 
     def drop(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
-        h1, h2, _, _, lines, keys = block_keys(table, least_chars)
+        h1, h2, _, _, texts, keys = block_keys(table, least_chars)
         shard, least = (h1 % np.uint64(shards)).astype(np.int64), np.full(len(h1), np.iinfo(np.int64).max)
         for s, x in zip(answers.column("shard").to_pylist(), answers.column("least").to_pylist(), strict=True):
             least[shard == s] = np.frombuffer(x, "<i8")
         owner = dict(zip((a + b for a, b in zip(split8(h1), split8(h2), strict=True)), least.tolist(), strict=True))
         kept, n_lines, n_dropped = [], [], []
-        for doc_id, own_lines, own_keys in zip(table.column("doc_id").fill_null(NULL_ID).to_pylist(), lines, keys, strict=True):
-            stay = [x for x, k in zip(own_lines, own_keys, strict=True) if k is None or owner[k] >= doc_id]
-            kept.append("\n".join(stay))
-            n_lines.append(len(own_lines))
-            n_dropped.append(len(own_lines) - len(stay))
+        for doc_id, text, own_keys in zip(table.column("doc_id").fill_null(NULL_ID).to_pylist(), texts, keys, strict=True):
+            goes = [k is not None and owner[k] < doc_id for k in own_keys]
+            kept.append("\n".join([x for x, g in zip(text.split("\n"), goes, strict=True) if not g]) if any(goes) else text)
+            n_lines.append(len(goes))
+            n_dropped.append(sum(goes))
         sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in kept]
         arrays = [table.column("doc_id").combine_chunks(), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())]
         names = ["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"]
