@@ -114,7 +114,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int
                 with store.open_output_stream(part, compression=None) as out:
                     for x in held:
                         out.write(x)
-                store.move(part, f"{base}/{name}.warc.gz")
+                final = f"{base}/{name}.warc.gz"
+                if store.get_file_info(final).type == fs.FileType.File:  # some stores refuse to replace a file
+                    store.delete_file(final)
+                store.move(part, final)
                 held, size, files = [], 0, files + 1
 
         records = 0
