@@ -133,7 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, k
     """
     tokens = staged(tokenized(docs, tokenizer, end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
-    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    # A row for each partition. Written down, it has a known size, by which Spark broadcasts it or not.
+    bases = staged(totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base")), "bases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(encoder(tokenizer).width)
