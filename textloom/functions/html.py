@@ -6,8 +6,11 @@ streaming parser rather than from patterns; links and attributes are regular eno
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,3 +120,63 @@ def page_gate(html: Column) -> Column:
     return F.when(F.contains(low, F.lit("too many requests")), "rate").when(F.contains(low, F.lit("daily limit")), "daily").when(F.contains(low, F.lit("please log in")), "locked").when(F.length(F.regexp_replace(low, r"<[^>]*>|\s", "")) == 0, "empty").otherwise("open")
 
 
+
+
+PUSH = re.compile(r'\.push\(\[\d+,\s*("(?:[^"\\]|\\.)*")\]\)')
+
+
+def read_stream(html: str | None) -> str:
+    """The text that a page's scripts push piece by piece as string literals."""
+    return "".join(json.loads(m[1]) for m in PUSH.finditer(html or ""))
+
+
+def read_objects(stream: str, keys: tuple[str, ...]) -> Iterator[dict]:
+    """Objects with all ``keys`` within a text that is not JSON as a whole, the innermost of nested ones."""
+    decoder, at = json.JSONDecoder(), stream.find("{")
+    while at >= 0:
+        try:
+            found, end = decoder.raw_decode(stream, at)
+        except ValueError:
+            end = at + 1
+        else:
+            inner = [x for x in nested(found) if all(k in x for k in keys)]
+            yield from (x for x in inner if not any(y is not x and y in nested(x) for y in inner))
+        at = stream.find("{", end)
+
+
+def nested(value: object) -> list[dict]:
+    """All objects within a value, itself included."""
+    if isinstance(value, dict):
+        return [value, *(x for v in value.values() for x in nested(v))]
+    return [x for v in value for x in nested(v)] if isinstance(value, list) else []
+
+
+def embedded(keys: tuple[str, ...]):
+    """An Arrow function: the objects with ``keys`` in a page's pushed stream, as maps of texts."""
+
+    @pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for page in pages:
+            yield page.map(lambda h: [{k: None if x[k] is None else str(x[k]) for k in keys} for x in read_objects(read_stream(h), keys)])
+
+    return run
+
+
+@pandas_udf(T.StringType())
+def resolved(bases: pd.Series, links: pd.Series) -> pd.Series:
+    """Links made absolute against the address of their page."""
+    return pd.Series([urljoin(b or "", x or "") for b, x in zip(bases, links, strict=True)])
+
+
+def longest_prose(strings: Column, least: int = 200) -> Column:
+    """The longest string of at least ``least`` code points, the first of equals; empty without one."""
+    longer = lambda acc, s: F.when(F.length(s) > F.greatest(F.length(acc), F.lit(least - 1)), s).otherwise(acc)
+    return F.aggregate(strings, F.lit(""), longer)
+
+
+def routed(url: Column, patterns: list[tuple[str, str]]) -> Column:
+    """The name of the first pattern that an address matches; null without one."""
+    out = F.when(F.regexp_like(url, F.lit(patterns[0][1])), patterns[0][0])
+    for name, pattern in patterns[1:]:
+        out = out.when(F.regexp_like(url, F.lit(pattern)), name)
+    return out

@@ -34,10 +34,11 @@ def candidates(docs: DataFrame, single: Set[str], double: Set[str]) -> DataFrame
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, " + FOUND)
 
 
-def followers(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, top, share) of the letter that most often follows each name, counted on lines that hold it."""
+def followers(docs: DataFrame, names: DataFrame, openers: Set[str]) -> DataFrame:
+    """(name, top, share) of the letter that most often follows each name; only places that begin with one of
+    ``openers``, the names' possible first letters, are looked at."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    grams = lines.select("line", F.explode(F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1)))).alias("at"))
+    grams = lines.select("line", F.explode(F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1)))).alias("at")).where(F.expr("substring(line, at, 1)").isin(sorted(openers)))
     sizes = [grams.select(F.expr(f"substring(line, at, {k})").alias("name"), F.expr(f"substring(line, at + {k}, 1)").alias("next")).where(F.length("name") == k) for k in (2, 3, 4)]
     every = sizes[0].unionAll(sizes[1]).unionAll(sizes[2])
     hits = every.join(names.select("name").distinct(), "name").groupBy("name", "next").agg(F.count(F.lit(1)).alias("n"))
@@ -63,7 +64,7 @@ def mine(docs: DataFrame, single: Set[str], double: Set[str], determiners: Set[s
     known = frequencies.select(F.col("word"), "freq")
     named = named.join(known.select(F.col("word").alias("name"), F.col("freq").alias("f_name")), "name", "left").join(known.select(F.col("word").alias("given"), F.col("freq").alias("f_given")), "given", "left")
     named = named.where(F.coalesce("f_name", F.lit(0)) < 50).where((F.length("given") < 2) | (F.coalesce("f_given", F.lit(0)) < 200))
-    after = followers(docs, named)
+    after = followers(docs, named, {x[0] for x in [*single, *double]})
     return named.join(after, "name", "left").where(~F.coalesce(han(F.col("top")) & (F.col("share") >= 0.8), F.lit(False))).select("name", "count")
 
 

@@ -75,3 +75,35 @@ def cue_round_trip(spark, sf):
     cues = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), start.alias("start"), (start + F.bround(F.length(text) * F.lit(0.0612345), 3)).alias("end"), text.alias("text"), F.lit(100.0).alias("seconds"))
     read = sidecars.parsed_cues(sidecars.cue_json(cues))
     return read.select("key", "start", F.round("end", 3).alias("stop"), "text")
+
+
+@query("SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations")
+def embedded_stream(spark, sf):
+    """Records pushed by scripts in pieces, and found again in the stream by their keys."""
+    record = F.to_json(F.struct(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("node"), F.lit("x").alias("other")))
+    half = F.floor(F.length(record) / 2).cast("int")
+    literal = lambda s: F.regexp_extract(F.to_json(F.struct(s.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    piece = lambda s: F.concat(F.lit("<script>self.f.push([1,"), literal(s), F.lit("])</script>"))
+    page = F.concat(F.lit('<html><script>var a = {"turn": 1};</script>'), piece(F.concat(F.lit("0:"), F.substring(record, F.lit(1), half))), piece(F.substring(record, half + 1, F.length(record))))
+    pages = table(spark, sf, "conversations").select("conv_id", page.alias("html"))
+    found = pages.select("conv_id", F.explode(ht.embedded(("turn", "role", "text"))(F.col("html"))).alias("m"))
+    return found.select("conv_id", F.col("m")["turn"].cast("long").alias("turn"), F.col("m")["role"].alias("role"), F.col("m")["text"].alias("text"))
+
+
+@query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s+[^>]*?href="(/[^"?#:]*)"[^>]*>', 1)) AS href FROM pages)
+  SELECT page_id, regexp_extract(url, '^https?://[^/]+') || href AS link, count(*) AS n FROM a GROUP BY ALL""")
+def links_resolved(spark, sf):
+    href = F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+[^>]*?href="(/[^"?#:]*)"[^>]*>'), F.lit(1))).alias("href")
+    rows = table(spark, sf, "pages").select("page_id", "url", href)
+    return rows.select("page_id", ht.resolved("url", "href").alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '^https://') THEN 'secure' WHEN regexp_matches(url, '\\.net/') THEN 'net' WHEN regexp_matches(url, '/en/') THEN 'english' END AS adapter FROM pages""".replace("\\\\", "\\"))
+def adapter_routing(spark, sf):
+    return table(spark, sf, "pages").select("page_id", ht.routed(F.col("url"), [("secure", "^https://"), ("net", r"\.net/"), ("english", "/en/")]).alias("adapter"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) >= 200) AS ls FROM documents)
+  SELECT doc_id, coalesce(list_filter(ls, lambda x: length(x) = list_max(list_transform(ls, lambda y: length(y))))[1], '') AS prose FROM l""")
+def longest_prose(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", ht.longest_prose(F.split(F.coalesce("text", F.lit("")), "\n")).alias("prose"))
