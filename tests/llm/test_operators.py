@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on edge cases."""
 
+import functools
 import sys
 import zlib
 from collections import Counter
@@ -9,6 +10,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -25,6 +28,7 @@ def frame(spark, docs):
     return spark.createDataFrame(docs, "doc_id long, text string")
 
 
+@functools.cache
 def library(path):
     from tokenizers import Tokenizer
 
@@ -73,6 +77,21 @@ def test_packing(spark, corpus):
     assert sorted(ends) == list(range(len(ends))) and all(ends[k] == 2048 for k in range(len(ends) - 1))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", " ", "\n", "\t", "word", "!", "1", "'s", "é", "½", "日", "<|endoftext|>"]), max_size=14))
+def test_byte_encoder_equals_the_library(pieces):
+    own, text = packing.encoder(BYTES), "".join(pieces)
+    assert np.frombuffer(own.encode(text), own.width).tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", " ", "\n", "\t", "aaa", "word", "!", "1", "'s", "é", "Σ", "½", "日", "<|endoftext|>"]), max_size=14))
+def test_word_bpe_equals_the_library(pieces):
+    own, text = bpe.model(WORDS), "".join(pieces)
+    ids = library(WORDS).encode(text, add_special_tokens=False).ids
+    assert list(own.encode_batch([text])) == [(len(ids), " ".join(map(str, ids)), library(WORDS).decode(ids, skip_special_tokens=False))]
+
+
 def test_ngram_join(spark, corpus):
     docs = [*corpus, (9001, "A b"), (9003, "a B"), (9005, " a  b\n")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(frame(spark, docs), block_bytes=2000, bucket_bytes=2000).collect()}
