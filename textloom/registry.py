@@ -5,8 +5,8 @@ Each module of ``textloom.plans`` holds a ``QUERIES`` and an ``ORACLES`` dict un
 
 from __future__ import annotations
 
-from textloom.plans import details, extracting, state, syncing, texts, timelines
+from textloom.plans import details, extracting, libraries, state, syncing, texts, timelines
 
-MODULES = (state, texts, timelines, syncing, extracting, details)
+MODULES = (state, texts, timelines, syncing, extracting, details, libraries)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
