@@ -180,3 +180,22 @@ def routed(url: Column, patterns: list[tuple[str, str]]) -> Column:
     for name, pattern in patterns[1:]:
         out = out.when(F.regexp_like(url, F.lit(pattern)), name)
     return out
+
+
+def linked_data(html: Column, kind: str) -> Column:
+    """The first object of a kind in a page's linked-data scripts, as a variant: a script may hold one object or a list;
+    scripts that cannot be read are passed over."""
+    scripts = F.regexp_extract_all(html, F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    read = F.transform(scripts, lambda s: F.coalesce(F.try_variant_get(F.try_parse_json(s), "$", "array<variant>"), F.array(F.try_parse_json(s))))
+    return F.get(F.filter(F.flatten(read), lambda v: F.try_variant_get(v, "$['@type']", "string") == kind), F.lit(0))
+
+
+def author_of(book: Column) -> Column:
+    """The author of linked data, which is a name or an object with one."""
+    return F.coalesce(F.try_variant_get(book, "$.author.name", "string"), F.try_variant_get(book, "$.author", "string"), F.lit(""))
+
+
+def limit_notice(html: Column) -> Column:
+    """struct(message, code, link) of a notice page; labels only, empty where the page says nothing."""
+    part = lambda p: F.regexp_extract(html, p, 1)
+    return F.struct(plain(part(r'(?s)<p class="notice">(.*?)</p>')).alias("message"), part(r"<code>([^<]+)</code>").alias("code"), unescaped(part(r'<a class="more" href="([^"]+)"')).alias("link"))

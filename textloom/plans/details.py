@@ -123,3 +123,15 @@ def text_palette(spark, sf):
 def freshness(spark, sf):
     stamp = F.when(F.col("o_orderkey") % 3 == 0, "not a time").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     return table(spark, sf, "orders").select("o_orderkey", ln.fresh(stamp, F.lit(820454400.0)).alias("fresh"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate::DATE, '%d/%m/%Y') AS day, strftime(o_orderdate::TIMESTAMP + INTERVAL 1 MINUTE * (o_orderkey % 1440), '%H:%M') AS hour FROM orders""")
+def date_texts(spark, sf):
+    at = F.expr("cast(o_orderdate AS timestamp_ntz) + make_dt_interval(0, 0, o_orderkey % 1440)")
+    return table(spark, sf, "orders").select("o_orderkey", ln.date_text(F.col("o_orderdate"), True).alias("day"), ln.time_text(at, True).alias("hour"))
+
+
+@query("""SELECT p_partkey, p_brand || ' 2.' || lower(p_type[1:1]) AS twin, lower(trim(p_name)) = lower(trim(p_type)) AS same FROM part""")
+def file_twins(spark, sf):
+    name = F.concat("p_brand", F.lit("."), F.lower(F.substring("p_type", 1, 1)))
+    return table(spark, sf, "part").select("p_partkey", ln.renamed_twin(name, 2).alias("twin"), ln.same_name(F.col("p_name"), F.col("p_type")).alias("same"))

@@ -107,3 +107,15 @@ def adapter_routing(spark, sf):
   SELECT doc_id, coalesce(list_filter(ls, lambda x: length(x) = list_max(list_transform(ls, lambda y: length(y))))[1], '') AS prose FROM l""")
 def longest_prose(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ht.longest_prose(F.split(F.coalesce("text", F.lit("")), "\n")).alias("prose"))
+
+
+@query("""SELECT conv_id, turn, role AS name, CASE WHEN turn % 2 = 0 THEN 'a' || conv_id ELSE role END AS author FROM conversations WHERE turn % 3 <> 2""")
+def linked_books(spark, sf):
+    """Linked data of pages: lists and single objects, authors as objects or names, and broken scripts beside them."""
+    author = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"name":"a'), F.col("conv_id").cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('"'), "role", F.lit('"')))
+    kind = F.when(F.col("turn") % 3 == 2, "WebPage").otherwise("Book")
+    book = F.concat(F.lit('{"@type":"'), kind, F.lit('","name":"'), "role", F.lit('","author":'), author, F.lit("}"))
+    body = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('[{"@type":"Thing"},'), book, F.lit("]"))).otherwise(book)
+    page = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'), body, F.lit("</script>"))
+    found = table(spark, sf, "conversations").select("conv_id", "turn", ht.linked_data(page, "Book").alias("book")).where("book IS NOT NULL")
+    return found.select("conv_id", "turn", F.try_variant_get("book", "$.name", "string").alias("name"), ht.author_of(F.col("book")).alias("author"))
