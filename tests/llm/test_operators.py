@@ -49,6 +49,14 @@ def test_substring_dedup(spark, corpus):
         assert got[i]["text"] == (kept if gone else dict(corpus)[i])
 
 
+def test_substring_dedup_without_ids(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs = [(None, f"x{k} {passage}") for k in range(20)] + [(5, passage)]
+    rows = substring_dedup.substring_dedup(frame(spark, docs)).collect()
+    assert sorted(r["n_removed"] for r in rows) == [0] + [30] * 20
+    assert [r["n_removed"] for r in rows if r["doc_id"] == 5] == [30]
+
+
 def test_substring_dedup_candidates_hold_all_repeats(corpus):
     words = Words(pa.array([t for _, t in corpus]))
     anchors = substring_dedup.Anchors(words, 20)

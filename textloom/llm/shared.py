@@ -43,9 +43,10 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def blocks(docs: DataFrame, n_bytes: int, block_bytes: int, least: int = 32, keep_columns: bool = False) -> DataFrame:
     """(block, doc_id, text): documents dealt by a hash of doc_id to blocks of about ``block_bytes``;
-    with ``keep_columns`` also ``rest``, a struct of all other columns if there are any."""
+    with ``keep_columns`` also ``rest``, a struct of all other columns if there are any. Rows without
+    a doc_id are dealt by their texts, so that many of them do not meet in one block."""
     n = max(least, math.ceil(n_bytes / block_bytes))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     columns = [F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select(*columns, *([F.struct(*rest).alias("rest")] if keep_columns and rest else []))

@@ -132,8 +132,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
 
     A word goes when a window of ``window`` words over it also starts earlier: in a smaller doc_id,
     or earlier in the same document. Windows are judged on the input. A null or empty text has no
-    words. A null doc_id is smaller than any other; rows that repeat a doc_id are taken in the order
-    of their texts, the later ones as later. An empty table gives no rows.
+    words. A null doc_id is smaller than any other, and of a passage that only such rows hold one place stays; rows
+    that repeat a doc_id are taken in the order of their texts, the later ones as later. An empty table gives no rows.
     """
     n_bytes = text_bytes(docs)
     buckets = max(16, math.ceil(n_bytes / bucket_bytes))
@@ -182,6 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
     def first_windows(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:  # found in their own block
             return table.select(["bucket", "block", "places"]).rename_columns(["bucket", "block", "found"])
+        table = table.sort_by("block")  # ties are decided alike however the pieces arrive
         keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
         more = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("more").to_pylist()])
         where = table.column("doc_ids").to_pylist()
