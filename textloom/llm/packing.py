@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import staged
 
-#: What is not plain: characters on whose classes libraries might differ, and blanks that one token may hold together,
-#: which are runs of three or more, or of two at the text's end.
-ODD = re.compile(r"[^\t\n\x20-\x7eÀ-ÖØ-öø-ɏ]|[ \n\t]{3}|[ \n\t]{2}\Z")
+#: Characters on whose classes libraries might differ, and blanks that one token may hold together: runs of three or
+#: more, or of two at the text's end.
+ODD = re.compile(r"[^\t\n\x20-\x7eÀ-ÖØ-öø-ɏ]")
+BLANKS = re.compile(r"\s\s\s")
 CACHE = 400_000
 
 _ENCODERS: dict[str, "ByteEncoder"] = {}
@@ -36,6 +38,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Encoded(dict):
+    """The ids of words, each with ``before`` in front of it, encoded when they are first asked for."""
+
+    def __init__(self, encoder: ByteEncoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encoder._bytes(self.encoder.fast(self.before + word))
+        return ids
+
+
 class ByteEncoder:
     """Byte-level BPE of a tokenizer file, as little-endian 16-bit ids.
 
@@ -59,39 +73,26 @@ class ByteEncoder:
         self.whole.no_padding()
         self.specials = tuple(specials)
         self.width = "<u2" if max([*ranks.values(), *specials.values()]) < 1 << 16 else "<u4"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first, self.later = Encoded(self, ""), Encoded(self, " ")
         self.line_break = self._bytes(self.fast("\n"))
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
-
-    def _fill(self, cache: dict[str, bytes], words: list[str], before: str) -> None:
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = self._bytes(self.fast(before + w))
+        return array("H" if self.width == "<u2" else "I", ids).tobytes()  # quicker than numpy for a few ids
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text) or any(s in text for s in self.specials):
+        if ODD.search(text) or BLANKS.search(text) or text[-2:].isspace() or any(s in text for s in self.specials):
             return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+        for cache in (self.first, self.later):
+            if len(cache) > CACHE:
+                cache.clear()
         out = []
         for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(self.line_break)
             head, *words = line.split(" ")
             if head:
-                if head not in self.first:
-                    self._fill(self.first, [head], "")
                 out.append(self.first[head])
-            mark = len(out)
-            try:
-                out += map(self.later.__getitem__, words)
-            except KeyError:
-                del out[mark:]  # a failed += keeps what came before
-                self._fill(self.later, words, " ")
-                out += map(self.later.__getitem__, words)
+            out += map(self.later.__getitem__, words)
         return b"".join(out)
 
 
