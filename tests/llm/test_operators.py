@@ -169,6 +169,40 @@ def test_toxicity_without_labels(spark, edges):
     assert {r["score"] for r in toxicity.toxicity(edges, none).collect()} == {0.0}
 
 
+def test_toxicity_counts_everything(spark):
+    """Class counts over all usable labels, shared and continuation counts over all documents, single ones too."""
+    import math
+
+    docs, labels = toxic_corpus()
+    docs += [(10_000 + k, f"unlabelled{k} only{k}") for k in range(50)] + [(None, "nameless one")]
+    known = toxicity.labelled(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kinds = {r["id"]: r["kind"] for r in known.collect()}
+    assert set(kinds) == {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1} and set(kinds.values()) == {0, 1, 2, 3}
+    counts = [Counter(), Counter(), Counter()]
+    for i, text in docs:
+        for own in [counts[2], *([counts[kinds[i]]] if kinds.get(i, 9) < 2 else [])]:
+            for word in set(toxicity.words_of(text)):
+                own.update(toxicity.grams_of(word))
+    a, b, t = counts
+    context = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for k, own in enumerate(counts):
+        for gram, n in own.items():
+            context[0][k][gram[:-1]] += n
+            context[1][k][gram[:-1]] += 1
+    places, d = Counter(g[-2:] for g in t), toxicity.DISCOUNT
+    want = {}
+    for g in t:
+        after = [n for pair, n in places.items() if pair[0] == g[-2]]
+        p = (max(places[g[-2:]] - d, 0) + d * len(after) / len({x[-1] for x in t})) / sum(after)
+        back = lambda k, low, c=g[:-1], g=g: (max(counts[k][g] - d, 0) + d * context[1][k][c] * low) / context[0][k][c] if context[0][k][c] else low
+        p = back(2, p)
+        want[g] = math.log(back(1, p) / back(0, p))
+    words = toxicity.vocabulary(toxicity.chunks(frame(spark, docs), known))
+    got = {r["gram"]: r["ratio"] for r in toxicity.gram_ratios(words).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    assert min(t.values()) == 1 and any(g not in a and g not in b for g in got)
+
+
 def test_bpe(spark, corpus):
     docs = [*corpus, *((1000 + k, t) for k, t in enumerate(ODD)), (2000, None)]
     tokenizer = library(WORDS)

@@ -1,24 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class, toxic and ordinary, has a model of how words go on: P(next letter | the word so far), up
-to ``DEPTH`` letters. A class's discounted counts back off to the counts that both classes share,
+to ``DEPTH`` letters. A class's discounted counts back off to counts over all documents, labelled or not,
 and these to continuation counts (in how many distinct places a pair of letters occurs), so an
 expression that neither class knows well gets nearly equal likelihoods. A document's score
 compares the two log-likelihoods, normalised by its number of words; words for which the two
 differ by less than ``TELLING`` count as equal, because their small differences, added over long texts, are
 noise of the counts. A logistic curve fitted on labelled rows kept apart gives the probability.
+
+One pass cuts the texts into words and writes them in chunks: the chunk's distinct words with the numbers
+of documents that have them, and each text as positions in that list. Everything gathered from there
+on is a table: words over all chunks, beginnings over all words, and ratios that go back to the words
+and by position to the chunks. Nothing is left out for being rare.
 """
 
 from __future__ import annotations
 
-import math
 import string
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +31,14 @@ from textloom.llm.shared import staged
 DEPTH = 6
 DISCOUNT = 0.9
 TELLING = 2.5
-#: Bounds of the fit: labelled rows of each class, and word beginnings that the models hold.
-SAMPLE_ROWS = 20_000
-MODEL_GRAMS = 300_000
-CACHE = 400_000
+#: Labelled rows of each class that the logistic curve, with its two parameters, is fitted on.
+CURVE_ROWS = 5_000
+#: Letters of text in a chunk, and word beginnings in an Arrow batch.
+CHUNK = 2 << 20
+BATCH = 100_000
+#: -1: no label to learn from; 0 and 1: counted in a class; 2 and 3: kept apart for the curve.
+NO_CLASS = -1
+CHUNKS = "chunk long, words array<string>, ordinary array<long>, toxic array<long>, docs array<long>, h1 array<long>, h2 array<long>, kind array<int>, n array<long>, held array<int>, positions array<int>, times array<int>"
 APART = str.maketrans({c: " " for c in string.punctuation + string.digits})
 
 
@@ -49,108 +57,161 @@ def grams_of(word: str) -> list[str]:
     return [s[: i + 1] for i in range(1, min(len(s), DEPTH + 1))]
 
 
-class Models:
-    """Log-likelihood ratios of letters after word beginnings, from counts (ordinary, toxic) of grams."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        totals, kinds = ([Counter(), Counter(), Counter()] for _ in range(2))
-        for gram, (a, b) in counts.items():
-            for k, n in enumerate((a, b, a + b)):
-                if n:
-                    totals[k][gram[:-1]] += n
-                    kinds[k][gram[:-1]] += 1
-        places = Counter(gram[-2:] for gram in counts)
-        follow, distinct = Counter(), Counter()
-        for pair, n in places.items():
-            follow[pair[0]] += n
-            distinct[pair[0]] += 1
-        letters = len({gram[-1] for gram in counts}) or 1
-        d = DISCOUNT
-        self.gram: dict[str, float] = {}
-        for gram, own in counts.items():
-            context, pair = gram[:-1], gram[-2:]
-            base = (max(places[pair] - d, 0) + d * distinct[pair[0]] / letters) / follow[pair[0]]
-            shared = (max(sum(own) - d, 0) + d * kinds[2][context] * base) / totals[2][context]
-            p = [(max(own[k] - d, 0) + d * kinds[k][context] * shared) / totals[k][context] if totals[k][context] else shared for k in (0, 1)]
-            self.gram[gram] = math.log(p[1] / p[0])
-        weight = lambda k, context: d * kinds[k][context] / totals[k][context] if totals[k][context] else 1.0
-        self.backoff = {context: math.log(weight(1, context) / weight(0, context)) for context in totals[2]}
-
-    def ratio(self, word: str) -> float:
-        out = 0.0
-        for gram in grams_of(word):
-            known = self.gram.get(gram)
-            if known is None:
-                return out + self.backoff.get(gram[:-1], 0.0)  # both classes back off alike from here
-            out += known
-        return out
-
-
-class Telling(dict):
-    """A cache of each word's ratio, 0 where it tells nothing."""
-
-    def __init__(self, models: Models):
-        super().__init__()
-        self.models = models
-
-    def __missing__(self, word: str) -> float:
-        ratio = self.models.ratio(word)
-        self[word] = ratio = ratio if ratio >= TELLING else 0.0
-        return ratio
-
-    def of(self, text: str | None) -> float:
-        if len(self) > CACHE:
-            self.clear()
-        words = words_of(text)
-        return math.log(sum(map(self.__getitem__, words)) / max(len(words), 1) + 0.003)
-
-
-def sampled(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, apart): at most SAMPLE_ROWS labelled rows of each class in an order by hash;
-    ``apart`` marks the quarter that is kept for the logistic curve."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold(F.col("doc_id")) != 1)
-    single = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    picked = [single.where(F.col("toxic") == k).orderBy("h").limit(SAMPLE_ROWS) for k in (0, 1)]
-    return staged(picked[0].unionByName(picked[1]).select("doc_id", "toxic", (F.pmod("h", F.lit(4)) == 0).alias("apart")), "labelled")
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float] | None:
-    """The models and the logistic curve's slope and offset, or None where a class has no rows."""
-    rows = sampled(labels)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most 2 * SAMPLE_ROWS rows
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for word in set(words_of(text)):
-                    seen[toxic].update(grams_of(word))
-            if len(seen[0]) + len(seen[1]) > CACHE:
-                yield as_batch(seen)
-                seen = (Counter(), Counter())
-        yield as_batch(seen)
-
-    def as_batch(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-        grams = list(dict.fromkeys([*seen[0], *seen[1]]))
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array([s[g] for g in grams], pa.int64()) for s in seen)], names=["gram", "ordinary", "toxic"])
-
-    grams = known.where("NOT apart").select("text", "toxic").mapInArrow(count, "gram string, ordinary long, toxic long")
-    sums = grams.groupBy("gram").agg(F.sum("ordinary").alias("a"), F.sum("toxic").alias("b")).where("a + b > 1")
-    held = sums.orderBy(F.desc(F.col("a") + F.col("b")), "gram").limit(MODEL_GRAMS).collect()
-    models = Models({r["gram"]: (r["a"], r["b"]) for r in held})
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        telling = Telling(models)
+def labelled(labels: DataFrame) -> DataFrame:
+    """(id, kind) of every doc_id whose label may be learned from; ``kind`` as at NO_CLASS.
+
+    Of each class CURVE_ROWS doc_ids at most, in an order by hash and out of a quarter, are kept apart.
+    """
+    usable = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where("id IS NOT NULL AND toxic IN (0, 1)").where(fold(F.col("id")) != 1)
+    single = usable.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("id"))
+    quarter = single.where(F.pmod("h", F.lit(4)) == 0)
+    apart = [quarter.where(F.col("toxic") == k).orderBy("h").limit(CURVE_ROWS).select("id", F.lit(True).alias("apart")) for k in (0, 1)]
+    return staged(single.join(F.broadcast(apart[0].unionByName(apart[1])), "id", "left").select("id", (F.col("toxic") + F.when(F.col("apart"), 2).otherwise(0)).alias("kind")), "labelled")
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two hashes that stand for a text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("textloom_h1"), F.xxhash64(F.lit(1), text).alias("textloom_h2")]
+
+
+def chunks(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The texts of all documents as CHUNKS, written to the shared folder."""
+    # Rows without a doc_id are dealt by their texts, so that many of them do not meet in one task.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), F.col("doc_id").isNotNull().alias("named"), "text", *text_key(F.col("text")))
+    kind = F.coalesce(F.when(F.col("named"), F.col("kind")), F.lit(NO_CLASS)).alias("kind")
+    rows = rows.join(known, "id", "left").select("text", "textloom_h1", "textloom_h2", kind)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId() << 32, 0
+        index, own, size = defaultdict(), [], 0
+        index.default_factory = index.__len__
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([telling.of(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("toxic")], names=["x", "y"])
+            for text, *key in zip(*(batch.column(c).to_pylist() for c in ("text", "textloom_h1", "textloom_h2", "kind")), strict=True):
+                at = np.fromiter(map(index.__getitem__, words_of(text)), np.int32)
+                own.append((*key, len(at), *np.unique(at, return_counts=True)))
+                size += len(text or "")
+                if size >= CHUNK:
+                    yield as_chunk(task + made, index, own)
+                    made, own, size = made + 1, [], 0
+                    index.clear()
+        if own:
+            yield as_chunk(task + made, index, own)
+
+    def as_chunk(chunk: int, index: dict[str, int], own: list[tuple]) -> pa.RecordBatch:
+        h1, h2, kind, n, at, times = zip(*own, strict=True)
+        sums = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(x for x, k in zip(at, kind, strict=True) if k in kinds)]), minlength=len(index)) for kinds in ((0,), (1,), (-1, 0, 1, 2, 3))]
+        lists = [list(index), *sums, h1, h2, kind, n, [len(x) for x in at], np.concatenate(at), np.concatenate(times)]
+        names = [x.split()[0] for x in CHUNKS.split(", ")]
+        types = [{"array<string>": pa.string(), "array<long>": pa.int64(), "array<int>": pa.int32()}[x.split()[1]] for x in CHUNKS.split(", ")[1:]]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(lists, types, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *arrays], names=names)
+
+    return staged(rows.mapInArrow(cut, CHUNKS), "chunks")
+
+
+def vocabulary(cut: DataFrame) -> DataFrame:
+    """(word_id, word, a, b, t): documents of the ordinary class, of the toxic one, and of all, that have the word."""
+    each = cut.select(F.explode(F.arrays_zip("words", "ordinary", "toxic", "docs")).alias("w"))
+    words = each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.ordinary").alias("a"), F.sum("w.toxic").alias("b"), F.sum("w.docs").alias("t"))
+    return staged(words.select(F.monotonically_increasing_id().alias("word_id"), "word", "a", "b", "t"), "words")
+
+
+def spelled(words: DataFrame) -> DataFrame:
+    """(word_id, gram, a, b, t) for each gram of each word."""
 
-    apart = known.where("apart").select("text", "toxic").mapInArrow(weigh, "x double, y int").toPandas()  # a quarter of the sample
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [batch.column(c).to_numpy() for c in ("word_id", "a", "b", "t")]
+            row, grams = [], []
+            for k, word in enumerate(batch.column("word").to_pylist()):
+                own = grams_of(word)
+                for i in range(0, len(own), BATCH):
+                    grams += own[i : i + BATCH]
+                    row += [k] * len(own[i : i + BATCH])
+                    if len(grams) >= BATCH:
+                        yield as_batch(row, grams, rest)
+                        row, grams = [], []
+            yield as_batch(row, grams, rest)
+
+    def as_batch(row: list[int], grams: list[str], rest: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.array(row, np.int64)
+        word_id, a, b, t = (pa.array(x[at]) for x in rest)
+        return pa.RecordBatch.from_arrays([word_id, pa.array(grams, pa.string()), a, b, t], names=["word_id", "gram", "a", "b", "t"])
+
+    return words.mapInArrow(run, "word_id long, gram string, a long, b long, t long")
+
+
+def gram_ratios(words: DataFrame) -> DataFrame:
+    """(gram, ratio): the log-likelihood ratio, toxic to ordinary, of a gram's last letter after the letters before it."""
+    sums = spelled(words).groupBy("gram").agg(*(F.sum(c).alias(c) for c in "abt"))
+    parts = sums.select("*", F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("substring(gram, -2, 1)").alias("y"), F.expr("substring(gram, -1, 1)").alias("x"))
+    grams = staged(parts, "grams")
+    letters = grams.select(F.countDistinct("x")).first()[0] or 1
+    places = grams.groupBy("y", "x").agg(F.count(F.lit(1)).alias("places"))
+    after = Window.partitionBy("y")
+    d, more = F.lit(DISCOUNT), lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
+    base = places.select("y", "x", ((more("places") + d * F.count(F.lit(1)).over(after) / letters) / F.sum("places").over(after)).alias("base"))
+    here = Window.partitionBy("context")
+    summed = grams.select("*", *(F.sum(c).over(here).alias(f"{c}_total") for c in "abt"), *(F.sum((F.col(c) > 0).cast("long")).over(here).alias(f"{c}_kinds") for c in "abt"))
+    backed = lambda c, low: (more(c) + d * F.col(f"{c}_kinds") * F.col(low)) / F.col(f"{c}_total")
+    shared = summed.join(base, ["y", "x"]).withColumn("shared", backed("t", "base"))
+    p = [F.when(F.col(f"{c}_total") > 0, backed(c, "shared")).otherwise(F.col("shared")) for c in "ab"]
+    return shared.select("gram", F.ln(p[1] / p[0]).alias("ratio"))
+
+
+def word_ratios(words: DataFrame) -> DataFrame:
+    """(word, ratio) of the words that tell something."""
+    sums = spelled(words).select("word_id", "gram").join(gram_ratios(words), "gram").groupBy("word_id").agg(F.sum("ratio").alias("ratio"))
+    return staged(words.select("word_id", "word").join(sums.where(tells(F.col("ratio"))), "word_id").select("word", "ratio"), "telling")
+
+
+def tells(ratio: Column) -> Column:
+    return ratio >= TELLING
+
+
+def feature(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the curve sees of a text: its ratio per word, on a scale of logarithms."""
+    return np.log(total / np.maximum(n, 1) + 0.003)
+
+
+def weighed(cut: DataFrame, telling: DataFrame) -> DataFrame:
+    """(textloom_h1, textloom_h2, kind, x) of every text."""
+    asked = cut.select("chunk", F.posexplode("words").alias("at", "word"))
+    answers = asked.join(telling, "word").select(F.col("chunk").alias("of"), "at", "ratio")
+    bags = cut.drop("words", "ordinary", "toxic", "docs")
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        at = told.column("at").to_numpy()
+        for row in range(own.num_rows):
+            h1, h2, kind, n, held, positions, times = (own.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("h1", "h2", "kind", "n", "held", "positions", "times"))
+            ratio = np.zeros(1 + max(positions.max(initial=0), at.max(initial=0)))
+            ratio[at] = told.column("ratio").to_numpy()
+            total = np.bincount(np.repeat(np.arange(len(n)), held), ratio[positions] * times, len(n))
+            out.append(pa.table([h1, h2, kind, feature(total, n)], names=["textloom_h1", "textloom_h2", "kind", "x"]))
+        return pa.concat_tables(out)
+
+    return bags.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, "textloom_h1 long, textloom_h2 long, kind int, x double")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float] | None:
+    """Every text's key and feature ``x``, and the logistic curve's slope and offset; None where a class has no rows."""
+    known = labelled(labels)
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy(F.pmod("kind", F.lit(2)).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return None
+    cut = chunks(docs, known)
+    found = staged(weighed(cut, word_ratios(vocabulary(cut))), "weighed")
+    apart = found.where("kind >= 2").select("x", (F.col("kind") - 2).alias("y")).toPandas()  # at most 2 * CURVE_ROWS doc_ids
     if apart["y"].nunique() < 2:
         return None
-    sizes = {r["toxic"]: r["n"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     y = apart["y"].to_numpy(float)
     share = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-    return models, *logistic(apart["x"].to_numpy(), y, share / share.mean())
+    # Equal texts have one score, wherever their parts were added.
+    return found.groupBy("textloom_h1", "textloom_h2").agg(F.min("x").alias("textloom_x")), *logistic(apart["x"].to_numpy(), y, share / share.mean())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
@@ -166,27 +227,20 @@ def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, fl
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """All columns of ``docs`` with held_out, score (0 to 1) and predicted added.
 
-    Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1, at most SAMPLE_ROWS
-    of each class; a doc_id with several labels counts as toxic if one of them says so, and null labels are
+    Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1, from all of them but
+    those kept apart for the curve; a doc_id with several labels counts as toxic if one of them says so, and null labels are
     ignored. A score depends on nothing but the text. Null and empty texts score as texts without
     telling words; without labels of both classes every score is 0. A null doc_id is not held out.
     Repeated rows are scored each for itself; columns named as the added ones are replaced; an
     empty table gives no rows. Texts are scored whole.
     """
-    fitted = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
     plain = docs.drop("held_out", "score", "predicted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        telling = Telling(shared.value[0]) if shared.value else None
-        for batch in batches:
-            if telling is None:
-                score = np.zeros(batch.num_rows)
-            else:
-                x = np.array([telling.of(t) for t in batch.column("text").to_pylist()], np.float64)
-                score = 1 / (1 + np.exp(-np.clip(shared.value[1] * x + shared.value[2], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
-
-    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = plain.mapInArrow(run, schema)
+    fitted = fit(docs, labels)
+    if fitted is None:
+        scored = plain.withColumn("score", F.lit(0.0))
+    else:
+        weights, slope, offset = fitted
+        z = F.least(F.greatest(F.col("textloom_x") * slope + offset, F.lit(-30.0)), F.lit(30.0))
+        keyed = plain.select("*", *text_key(F.col("text"))).join(weights, ["textloom_h1", "textloom_h2"])
+        scored = keyed.withColumn("score", 1 / (1 + F.exp(-z)))
     return scored.select(*(F.col(f"`{c}`") for c in plain.columns), F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
