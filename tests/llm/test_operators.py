@@ -184,25 +184,46 @@ def test_toxicity_counts_everything(spark):
             for word in set(toxicity.words_of(text)):
                 own.update(toxicity.grams_of(word))
     a, b, t = counts
-    context = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    totals, kinds_of = [Counter(), Counter(), Counter()], Counter(gram[:-1] for gram in t)
     for k, own in enumerate(counts):
         for gram, n in own.items():
-            context[0][k][gram[:-1]] += n
-            context[1][k][gram[:-1]] += 1
+            totals[k][gram[:-1]] += n
     places, d = Counter(g[-2:] for g in t), toxicity.DISCOUNT
     want = {}
     for g in t:
-        after = [n for pair, n in places.items() if pair[0] == g[-2]]
-        p = (max(places[g[-2:]] - d, 0) + d * len(after) / len({x[-1] for x in t})) / sum(after)
-        back = lambda k, low, c=g[:-1], g=g: (max(counts[k][g] - d, 0) + d * context[1][k][c] * low) / context[0][k][c] if context[0][k][c] else low
-        p = back(2, p)
-        want[g] = math.log(back(1, p) / back(0, p))
+        c, after = g[:-1], [n for pair, n in places.items() if pair[0] == g[-2]]
+        base = (max(places[g[-2:]] - d, 0) + d * len(after) / len({x[-1] for x in t})) / sum(after)
+        p = (max(t[g] - d, 0) + d * kinds_of[c] * base) / totals[2][c]
+        want[g] = math.log((b[g] + toxicity.PRIOR) / (totals[1][c] * p + toxicity.PRIOR) * (totals[0][c] * p + toxicity.PRIOR) / (a[g] + toxicity.PRIOR))
     words = toxicity.vocabulary(toxicity.chunks(frame(spark, docs), known))
     got = {r["gram"]: r["ratio"] for r in toxicity.gram_ratios(words).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
     assert min(t.values()) == 1 and any(g not in a and g not in b for g in got)
 
 
+def test_toxicity_reads_words_to_their_end(spark):
+    """Words that differ only after their sixth letter, some of them long as in text without spaces."""
+    import random
+
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for i in range(600):
+        toxic = int(rnd.random() < 0.3)
+        w = [rnd.choice(["the", "house", "stands", "there", "again"]) for _ in range(rnd.randrange(20, 60))]
+        for _ in range(4):
+            w[rnd.randrange(len(w))] = rnd.choice([("samestarttidy", "今日天气很好我们出去走走吧"), ("samestartvile", "今日天气很好我们出去骂人吧")][toxic])
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, toxic))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    words = toxicity.vocabulary(toxicity.chunks(frame(spark, docs), toxicity.labelled(labels)))
+    ratio = {r["word"]: r["ratio"] for r in toxicity.word_ratios(words).collect()}
+    assert ratio["samestartvile"] > toxicity.TELLING and ratio["今日天气很好我们出去骂人吧"] > toxicity.TELLING
+    assert ratio["samestarttidy"] < -toxicity.TELLING and ratio["今日天气很好我们出去走走吧"] < -toxicity.TELLING
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in toxicity.toxicity(frame(spark, docs), labels).collect() if r["held_out"]]
+    assert sum(x == y for x, y in held) / len(held) > 0.97
+
+
 def test_bpe(spark, corpus):
     docs = [*corpus, *((1000 + k, t) for k, t in enumerate(ODD)), (2000, None)]
     tokenizer = library(WORDS)

@@ -1,16 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Each class, toxic and ordinary, has a model of how words go on: P(next letter | the word so far), up
-to ``DEPTH`` letters. A class's discounted counts back off to counts over all documents, labelled or not,
-and these to continuation counts (in how many distinct places a pair of letters occurs), so an
-expression that neither class knows well gets nearly equal likelihoods. A document's score
-compares the two log-likelihoods, normalised by its number of words; words for which the two
-differ by less than ``TELLING`` count as equal, because their small differences, added over long texts, are
-noise of the counts. A logistic curve fitted on labelled rows kept apart gives the probability.
+"""Toxicity by class-conditional models over a shared Kneser-Ney model.
+
+The models say how words go on: P(next letter | up to ``DEPTH`` letters before it), for every letter to
+the end of a word, however long. The shared model is counted on all documents, labelled or not;
+its discounted counts back off to continuation counts (in how many distinct places a pair of letters
+occurs). A class's likelihood is the shared one times (seen + PRIOR) / (expected + PRIOR), so an
+expression that neither class knows well gets nearly equal likelihoods, and a class of few rows is
+not surprised by what it had no chance to see. A document's score adds the words' log-likelihood
+ratios with their signs, normalised by its number of words; words for which the two classes
+differ by less than ``TELLING`` either way count as equal, because their small differences, added over long
+texts, are noise of the counts. Words have no context of other words. A logistic curve fitted on
+labelled rows kept apart gives the probability.
 
 One pass cuts the texts into words and writes them in chunks: the chunk's distinct words with the numbers
 of documents that have them, and each text as positions in that list. Everything gathered from there
-on is a table: words over all chunks, beginnings over all words, and ratios that go back to the words
+on is a table: words over all chunks, grams over all words, and ratios that go back to the words
 and by position to the chunks. Nothing is left out for being rare.
 """
 
@@ -30,10 +33,11 @@ from textloom.llm.shared import staged
 
 DEPTH = 6
 DISCOUNT = 0.9
+PRIOR = 5.0
 TELLING = 2.5
 #: Labelled rows of each class that the logistic curve, with its two parameters, is fitted on.
 CURVE_ROWS = 5_000
-#: Letters of text in a chunk, and word beginnings in an Arrow batch.
+#: Letters of text in a chunk, and grams in an Arrow batch.
 CHUNK = 2 << 20
 BATCH = 100_000
 #: -1: no label to learn from; 0 and 1: counted in a class; 2 and 3: kept apart for the curve.
@@ -52,9 +56,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str) -> list[str]:
-    """The word's beginnings, each standing for its last letter after those before it."""
+    """A gram for each letter of the word and its end: the letter after up to DEPTH letters before it."""
     s = f"^{word}$"
-    return [s[: i + 1] for i in range(1, min(len(s), DEPTH + 1))]
+    return [s[max(0, i - DEPTH) : i + 1] for i in range(1, len(s))]
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -155,10 +159,10 @@ def gram_ratios(words: DataFrame) -> DataFrame:
     d, more = F.lit(DISCOUNT), lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
     base = places.select("y", "x", ((more("places") + d * F.count(F.lit(1)).over(after) / letters) / F.sum("places").over(after)).alias("base"))
     here = Window.partitionBy("context")
-    summed = grams.select("*", *(F.sum(c).over(here).alias(f"{c}_total") for c in "abt"), *(F.sum((F.col(c) > 0).cast("long")).over(here).alias(f"{c}_kinds") for c in "abt"))
-    backed = lambda c, low: (more(c) + d * F.col(f"{c}_kinds") * F.col(low)) / F.col(f"{c}_total")
-    shared = summed.join(base, ["y", "x"]).withColumn("shared", backed("t", "base"))
-    p = [F.when(F.col(f"{c}_total") > 0, backed(c, "shared")).otherwise(F.col("shared")) for c in "ab"]
+    summed = grams.select("*", *(F.sum(c).over(here).alias(f"{c}_total") for c in "abt"), F.count(F.lit(1)).over(here).alias("t_kinds"))
+    shared = summed.join(base, ["y", "x"]).withColumn("shared", (more("t") + d * F.col("t_kinds") * F.col("base")) / F.col("t_total"))
+    # A class's likelihood is the shared one times seen to expected; PRIOR stands for what was not seen for want of rows.
+    p = [F.col("shared") * (F.col(c) + PRIOR) / (F.col(f"{c}_total") * F.col("shared") + PRIOR) for c in "ab"]
     return shared.select("gram", F.ln(p[1] / p[0]).alias("ratio"))
 
 
@@ -169,12 +173,13 @@ def word_ratios(words: DataFrame) -> DataFrame:
 
 
 def tells(ratio: Column) -> Column:
-    return ratio >= TELLING
+    return F.abs(ratio) >= TELLING
 
 
 def feature(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What the curve sees of a text: its ratio per word, on a scale of logarithms."""
-    return np.log(total / np.maximum(n, 1) + 0.003)
+    mean = total / np.maximum(n, 1)
+    return np.sign(mean) * np.log1p(np.abs(mean) / 0.003)
 
 
 def weighed(cut: DataFrame, telling: DataFrame) -> DataFrame:
