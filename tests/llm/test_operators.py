@@ -311,6 +311,13 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_long_pages(spark):
+    """Rows that repeat a page of several segments each have records of their own."""
+    rows = [(1, "u", "x" * 100_000)] * 3 + [(2, "u", "x" * 100_000)] * 2 + [(None, "n", "é" * 40_000), (None, "n", "é" * 40_000), (None, None, "z" * 50_000), (None, "None", "z" * 50_000)]
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"]).decode()) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == Counter((p, "revisit", 1, None) if p == 2 else (p, "response", None, h) for p, _, h in rows)
+
+
 def test_warc_finds_damage():
     assert warc.unchunked(warc.chunked(b"abc" * 999, 100)) == b"abc" * 999
     with pytest.raises(ValueError):

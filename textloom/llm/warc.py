@@ -61,11 +61,11 @@ def header_text(value: str | None) -> str:
     return "" if value is None else re.sub(r"%|[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, segment: int, chunk: int) -> Iterator[bytes]:
-    """The records of one page: one, or a first segment and its continuations."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, place: str, segment: int, chunk: int) -> Iterator[bytes]:
+    """The records of one page: one, or a first segment and its continuations; ``place`` is the row's own."""
     name = "null" if page_id is None else str(page_id)
-    # The URL and payload go into the name, so that rows which repeat a page_id have records of their own.
-    origin = f"<urn:sha1:{hashlib.sha1(f'{name} {url} {digest}'.encode('utf-8', 'surrogatepass')).hexdigest()}>"
+    # The row's place goes into the name too, so that rows which repeat a page have records of their own.
+    origin = f"<urn:sha1:{hashlib.sha1(f'{name} {url} {digest} {place}'.encode('utf-8', 'surrogatepass')).hexdigest()}>"
     fields = [("WARC-Record-ID", origin), ("WARC-Date", "2000-01-01T00:00:00Z"), ("X-Page-ID", name), ("WARC-Target-URI", header_text(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
     if revisit:
         fields += [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers)]
@@ -120,10 +120,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int
                 store.move(part, final)
                 held, size, files = [], 0, files + 1
 
-        records = 0
+        records, rows = 0, 0
         for batch in batches:
             for page_id, url, html, digest, refers, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers", "revisit")), strict=True):
-                for raw in page_records(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, revisit, segment, chunk):
+                rows += 1
+                for raw in page_records(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, revisit, f"{context.partitionId()}-{rows}", segment, chunk):
                     held.append(raw)
                     size += len(raw)
                     records += 1
