@@ -1,6 +1,7 @@
 """Brute-force versions of the operators, one document after the other."""
 
 import hashlib
+import math
 import re
 import string
 from collections import Counter, defaultdict
@@ -74,3 +75,50 @@ def weighted_jaccard(a, b):
     x, y = Counter(WORD.findall(a)), Counter(WORD.findall(b))
     both = sum((x | y).values())
     return sum((x & y).values()) / both if both else 1.0
+
+
+def letters_only(text):
+    return "".join(" " if c in string.punctuation + string.digits else c for c in (text or "").lower()).split()
+
+
+def grams_of(word, depth=6):
+    s = f"^{word}$"
+    return [s[max(0, i - depth) : i + 1] for i in range(1, len(s))]
+
+
+def gram_ratios(docs, kinds, discount=0.9, prior=5.0):
+    """Kneser-Ney over all documents; class likelihoods by seen and expected counts. ``kinds``: 0 and 1 are counted."""
+    a, b, t = Counter(), Counter(), Counter()
+    for i, text in docs:
+        own = Counter(g for w in set(letters_only(text)) for g in grams_of(w))
+        t.update(own)
+        if kinds.get(i) in (0, 1):
+            (a, b)[kinds[i]].update(own)
+    totals = [Counter(), Counter(), Counter()]
+    for total, own in zip(totals, (a, b, t), strict=True):
+        for g, n in own.items():
+            total[g[:-1]] += n
+    follow, places, letters = Counter(g[:-1] for g in t), Counter(g[-2:] for g in t), {g[-1] for g in t}
+    starts, kinds_after = Counter(), Counter()
+    for pair, n in places.items():
+        starts[pair[0]] += n
+        kinds_after[pair[0]] += 1
+    out = {}
+    for g in t:
+        c, y = g[:-1], g[-2]
+        base = (max(places[g[-2:]] - discount, 0) + discount * kinds_after[y] / len(letters)) / starts[y]
+        shared = (max(t[g] - discount, 0) + discount * follow[c] * base) / totals[2][c]
+        toxic, plain = ((own[g] + prior) / (total[c] * shared + prior) for own, total in ((b, totals[1]), (a, totals[0])))
+        out[g] = math.log(toxic / plain)
+    return out, t
+
+
+def toxic_features(docs, ratios, telling=2.5):
+    """By text: the mean over its words of their log-likelihood ratios, those under ``telling`` as 0, on a scale of logarithms."""
+    out = {}
+    for _, text in docs:
+        words = letters_only(text)
+        each = [sum(ratios[g] for g in grams_of(w)) for w in words]
+        mean = sum(r for r in each if abs(r) >= telling) / max(1, len(words))
+        out[text] = math.copysign(math.log1p(abs(mean) / 0.003), mean)
+    return out

@@ -159,9 +159,8 @@ def test_toxicity_held_out(spark):
 def test_toxicity_ignores_held_out_labels(spark):
     docs, labels = toxic_corpus()
     turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
-    score = lambda own: {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(frame(spark, docs), spark.createDataFrame(own, "doc_id long, quality int, toxic int")).collect()}
-    a, b = score(labels), score(turned)
-    assert sum(a[i] != b[i] for i in a) <= 3  # the classes' shares alone may move
+    score = lambda own: {r["doc_id"]: r["score"] for r in toxicity.toxicity(frame(spark, docs), spark.createDataFrame(own, "doc_id long, quality int, toxic int")).collect()}
+    assert score(labels) == score(turned)
 
 
 def test_toxicity_without_labels(spark, edges):
@@ -169,36 +168,45 @@ def test_toxicity_without_labels(spark, edges):
     assert {r["score"] for r in toxicity.toxicity(edges, none).collect()} == {0.0}
 
 
-def test_toxicity_counts_everything(spark):
-    """Class counts over all usable labels, shared and continuation counts over all documents, single ones too."""
-    import math
-
+def test_toxicity_equals_brute_force(spark, monkeypatch):
+    """Every ratio and every score: counts over all usable labels, shared and continuation counts over
+    all documents, single ones too, and texts cut into small parts, grams into small shards."""
     docs, labels = toxic_corpus()
-    docs += [(10_000 + k, f"unlabelled{k} only{k}") for k in range(50)] + [(None, "nameless one")]
+    docs += [(10_000 + k, f"unlabelled{k} only{k} İx ΣΑΣ") for k in range(50)] + [(None, "nameless one"), (None, None), (20_000, ""), (20_001, "...")]
     known = toxicity.labelled(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     kinds = {r["id"]: r["kind"] for r in known.collect()}
     assert set(kinds) == {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1} and set(kinds.values()) == {0, 1, 2, 3}
-    counts = [Counter(), Counter(), Counter()]
-    for i, text in docs:
-        for own in [counts[2], *([counts[kinds[i]]] if kinds.get(i, 9) < 2 else [])]:
-            for word in set(toxicity.words_of(text)):
-                own.update(toxicity.grams_of(word))
-    a, b, t = counts
-    totals, kinds_of = [Counter(), Counter(), Counter()], Counter(gram[:-1] for gram in t)
-    for k, own in enumerate(counts):
-        for gram, n in own.items():
-            totals[k][gram[:-1]] += n
-    places, d = Counter(g[-2:] for g in t), toxicity.DISCOUNT
-    want = {}
-    for g in t:
-        c, after = g[:-1], [n for pair, n in places.items() if pair[0] == g[-2]]
-        base = (max(places[g[-2:]] - d, 0) + d * len(after) / len({x[-1] for x in t})) / sum(after)
-        p = (max(t[g] - d, 0) + d * kinds_of[c] * base) / totals[2][c]
-        want[g] = math.log((b[g] + toxicity.PRIOR) / (totals[1][c] * p + toxicity.PRIOR) * (totals[0][c] * p + toxicity.PRIOR) / (a[g] + toxicity.PRIOR))
-    words = toxicity.vocabulary(toxicity.chunks(frame(spark, docs), known))
-    got = {r["gram"]: r["ratio"] for r in toxicity.gram_ratios(words).collect()}
+    want, counts = brute.gram_ratios(docs, kinds)
+    assert min(counts.values()) == 1
+    got = {r["gram"]: r["ratio"] for r in toxicity.gram_ratios(toxicity.gram_counts(frame(spark, docs), known)).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
-    assert min(t.values()) == 1 and any(g not in a and g not in b for g in got)
+    monkeypatch.setattr(toxicity, "SHARD", 500)
+    x = brute.toxic_features(docs, want)
+    scored = toxicity.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    texts = dict.fromkeys(t for _, t in docs)
+    apart = sorted((i, x[t]) for i, t in docs if kinds.get(i, -1) >= 2)
+    y = np.array([kinds[i] - 2.0 for i, _ in apart])
+    sizes = Counter(k % 2 for k in kinds.values())
+    share = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+    slope, offset = toxicity.logistic(np.array([v for _, v in apart]), y, share / share.mean())
+    assert {r["text"] for r in scored} == set(texts)
+    for r in scored:
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(x[r["text"]] * slope + offset, -30, 30)))) < 1e-9
+
+
+def test_toxicity_parts(monkeypatch):
+    """Texts that are worked on in parts give the same features."""
+    docs, _ = toxic_corpus()
+    texts = [t for _, t in docs[:40]] + [None, "", "end"]
+    whole = toxicity.Bag(texts)
+    spelled = "".join(map(chr, whole.letters))
+    words = [spelled[a + 1 : b - 1] for a, b in zip(whole.first[:-1], whole.first[1:], strict=True)]
+    assert [[words[w] for w in whole.word[whole.text_of == k]] for k in range(len(texts))] == [brute.letters_only(t) for t in texts]
+    place, begin, h = whole.grams()
+    assert h.tolist() == toxicity.hash_of([spelled[i : j + 1] for i, j in zip(begin, place, strict=True)]).tolist()
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    cut = list(toxicity.slices(texts))
+    assert [k for s in cut for k in range(s.start, s.stop)] == list(range(len(texts))) and len(cut) > 10
 
 
 def test_toxicity_reads_words_to_their_end(spark):
@@ -215,10 +223,10 @@ def test_toxicity_reads_words_to_their_end(spark):
         docs.append((i, " ".join(w)))
         labels.append((i, 1, toxic))
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    words = toxicity.vocabulary(toxicity.chunks(frame(spark, docs), toxicity.labelled(labels)))
-    ratio = {r["word"]: r["ratio"] for r in toxicity.word_ratios(words).collect()}
-    assert ratio["samestartvile"] > toxicity.TELLING and ratio["今日天气很好我们出去骂人吧"] > toxicity.TELLING
-    assert ratio["samestarttidy"] < -toxicity.TELLING and ratio["今日天气很好我们出去走走吧"] < -toxicity.TELLING
+    path = toxicity.model(frame(spark, docs), toxicity.labelled(labels))
+    bag = toxicity.Bag(["samestarttidy samestartvile 今日天气很好我们出去走走吧 今日天气很好我们出去骂人吧"])
+    tidy, vile, stroll, scold = toxicity.word_ratios(bag, path)[bag.word]
+    assert vile > toxicity.TELLING and scold > toxicity.TELLING and tidy < -toxicity.TELLING and stroll < -toxicity.TELLING
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     held = [(r["predicted"], truth[r["doc_id"]]) for r in toxicity.toxicity(frame(spark, docs), labels).collect() if r["held_out"]]
     assert sum(x == y for x, y in held) / len(held) > 0.97

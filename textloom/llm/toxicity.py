@@ -11,25 +11,28 @@ differ by less than ``TELLING`` either way count as equal, because their small d
 texts, are noise of the counts. Words have no context of other words. A logistic curve fitted on
 labelled rows kept apart gives the probability.
 
-One pass cuts the texts into words and writes them in chunks: the chunk's distinct words with the numbers
-of documents that have them, and each text as positions in that list. Everything gathered from there
-on is a table: words over all chunks, grams over all words, and ratios that go back to the words
-and by position to the chunks. Nothing is left out for being rare.
+Two passes read the texts. The first folds the grams of all words of a task together and adds them up
+by a shuffle; no gram is left out for being rare. Texts that may be labelled are joined with the labels
+before it, all others stay where they are. The ratios are written to the shared folder as shards in
+order of a hash. The second pass scores each text where it is: a task looks its own distinct grams up
+shard by shard, so it holds a bounded part of the table however large that is.
 """
 
 from __future__ import annotations
 
+import functools
 import string
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.llm.shared import staged
+from textloom.llm.shared import new_path, staged
+from textloom.llm.words import mix, powers
 
 DEPTH = 6
 DISCOUNT = 0.9
@@ -37,13 +40,18 @@ PRIOR = 5.0
 TELLING = 2.5
 #: Labelled rows of each class that the logistic curve, with its two parameters, is fitted on.
 CURVE_ROWS = 5_000
-#: Letters of text in a chunk, and grams in an Arrow batch.
-CHUNK = 2 << 20
-BATCH = 100_000
+#: Letters of text that are worked on at once, grams that a task holds before it sends them, grams of a shard.
+CHUNK = 3 << 20
+HELD = 1 << 20
+SHARD = 1 << 19
 #: -1: no label to learn from; 0 and 1: counted in a class; 2 and 3: kept apart for the curve.
 NO_CLASS = -1
-CHUNKS = "chunk long, words array<string>, ordinary array<long>, toxic array<long>, docs array<long>, h1 array<long>, h2 array<long>, kind array<int>, n array<long>, held array<int>, positions array<int>, times array<int>"
-APART = str.maketrans({c: " " for c in string.punctuation + string.digits})
+#: Code points that end words: Unicode's white space, ASCII punctuation and digits.
+GAPS = np.zeros(0x3002, bool)
+GAPS[[i for i in range(0x3002) if chr(i).isspace() or chr(i) in string.punctuation + string.digits]] = True
+OPEN, CLOSE = ord("^"), ord("$")
+#: A multiplier for each place of a gram, counted from its last letter.
+PLACES = mix(np.arange(1, DEPTH + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def fold(doc_id: Column) -> Column:
@@ -51,14 +59,64 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3))
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(APART).split()
-
-
-def grams_of(word: str) -> list[str]:
-    """A gram for each letter of the word and its end: the letter after up to DEPTH letters before it."""
-    s = f"^{word}$"
-    return [s[max(0, i - DEPTH) : i + 1] for i in range(1, len(s))]
+class Bag:
+    """The words of some texts: ``distinct`` ones as code points between OPEN and CLOSE, and ``word``,
+    the place among them of each word of each text in ``text_of``."""
+
+    def __init__(self, texts: list[str | None]):
+        lowered = [(t or "").lower() for t in texts]
+        bounds = np.r_[0, np.cumsum([len(t) + 1 for t in lowered])]
+        points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        gap = np.r_[True, GAPS[np.minimum(points, len(GAPS) - 1)]]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edges[::2], edges[1::2]
+        up, down = powers(len(points) + 1)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+        hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        _, at, self.word = np.unique(hashed, return_index=True, return_inverse=True)
+        self.text_of = np.searchsorted(bounds, start, "right") - 1
+        size = end[at] - start[at] + 2
+        self.first = np.r_[0, np.cumsum(size)]
+        self.word_of = np.repeat(np.arange(len(at)), size)
+        self.letters = points[np.minimum(np.arange(self.first[-1]) - np.repeat(self.first[:-1] - start[at] + 1, size), len(points) - 1)].copy()
+        self.letters[self.first[:-1]], self.letters[self.first[1:] - 1] = OPEN, CLOSE
+        self.distinct = len(at)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each letter but OPEN: its place, the place where its gram begins, and the gram's hash."""
+        place = np.arange(len(self.letters))
+        depth = np.minimum(place - self.first[self.word_of], DEPTH)
+        keep = depth > 0
+        place, depth = place[keep], depth[keep]
+        return place, place - depth, gram_hash(self.letters, place, depth)
+
+
+def gram_hash(letters: np.ndarray, place: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """A hash of the ``depth`` letters before each place and the letter there."""
+    wide, out = letters.astype(np.uint64) + np.uint64(1), depth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for k in range(DEPTH + 1):
+        out += np.where(depth >= k, wide[np.maximum(place - k, 0)], np.uint64(0)) * PLACES[k]
+    return mix(out)
+
+
+def hash_of(grams: list[str]) -> np.ndarray:
+    """The same hash of grams as texts."""
+    size = np.array([len(g) for g in grams], np.int64)
+    letters = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4")
+    return gram_hash(letters, np.cumsum(size) - 1, size - 1)
+
+
+def slices(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about CHUNK letters; a longer text is a run of its own."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text or "") > CHUNK:
+            yield slice(first, k)
+            first, size = k, 0
+        size += len(text or "")
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -73,150 +131,154 @@ def labelled(labels: DataFrame) -> DataFrame:
     return staged(single.join(F.broadcast(apart[0].unionByName(apart[1])), "id", "left").select("id", (F.col("toxic") + F.when(F.col("apart"), 2).otherwise(0)).alias("kind")), "labelled")
 
 
-def text_key(text: Column) -> list[Column]:
-    """Two hashes that stand for a text."""
-    text = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(text).alias("textloom_h1"), F.xxhash64(F.lit(1), text).alias("textloom_h2")]
+def gram_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(gram, a, b, t): over the distinct words of each document, how often the gram is in those of
+    the ordinary class, of the toxic one, and of all documents."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    may = F.coalesce(fold(F.col("id")) != 1, F.lit(False))  # only such rows can have a label that is learned from
+    none = F.lit(NO_CLASS).alias("kind")
+    joined = rows.where(may).join(known, "id", "left").select(F.coalesce("kind", F.lit(NO_CLASS)).alias("kind"), "text")
+    return gathered(rows.where(~may).select(none, "text").unionByName(joined))
 
 
-def chunks(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The texts of all documents as CHUNKS, written to the shared folder."""
-    # Rows without a doc_id are dealt by their texts, so that many of them do not meet in one task.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), F.col("doc_id").isNotNull().alias("named"), "text", *text_key(F.col("text")))
-    kind = F.coalesce(F.when(F.col("named"), F.col("kind")), F.lit(NO_CLASS)).alias("kind")
-    rows = rows.join(known, "id", "left").select("text", "textloom_h1", "textloom_h2", kind)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, made = TaskContext.get().partitionId() << 32, 0
-        index, own, size = defaultdict(), [], 0
-        index.default_factory = index.__len__
-        for batch in batches:
-            for text, *key in zip(*(batch.column(c).to_pylist() for c in ("text", "textloom_h1", "textloom_h2", "kind")), strict=True):
-                at = np.fromiter(map(index.__getitem__, words_of(text)), np.int32)
-                own.append((*key, len(at), *np.unique(at, return_counts=True)))
-                size += len(text or "")
-                if size >= CHUNK:
-                    yield as_chunk(task + made, index, own)
-                    made, own, size = made + 1, [], 0
-                    index.clear()
-        if own:
-            yield as_chunk(task + made, index, own)
-
-    def as_chunk(chunk: int, index: dict[str, int], own: list[tuple]) -> pa.RecordBatch:
-        h1, h2, kind, n, at, times = zip(*own, strict=True)
-        sums = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(x for x, k in zip(at, kind, strict=True) if k in kinds)]), minlength=len(index)) for kinds in ((0,), (1,), (-1, 0, 1, 2, 3))]
-        lists = [list(index), *sums, h1, h2, kind, n, [len(x) for x in at], np.concatenate(at), np.concatenate(times)]
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
-        types = [{"array<string>": pa.string(), "array<long>": pa.int64(), "array<int>": pa.int32()}[x.split()[1]] for x in CHUNKS.split(", ")[1:]]
-        arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(lists, types, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *arrays], names=names)
-
-    return staged(rows.mapInArrow(cut, CHUNKS), "chunks")
-
-
-def vocabulary(cut: DataFrame) -> DataFrame:
-    """(word_id, word, a, b, t): documents of the ordinary class, of the toxic one, and of all, that have the word."""
-    each = cut.select(F.explode(F.arrays_zip("words", "ordinary", "toxic", "docs")).alias("w"))
-    words = each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.ordinary").alias("a"), F.sum("w.toxic").alias("b"), F.sum("w.docs").alias("t"))
-    return staged(words.select(F.monotonically_increasing_id().alias("word_id"), "word", "a", "b", "t"), "words")
-
-
-def spelled(words: DataFrame) -> DataFrame:
-    """(word_id, gram, a, b, t) for each gram of each word."""
+def gathered(rows: DataFrame) -> DataFrame:
+    """Gram counts of (kind, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, grams, sums = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros((0, 3), np.int64)
         for batch in batches:
-            rest = [batch.column(c).to_numpy() for c in ("word_id", "a", "b", "t")]
-            row, grams = [], []
-            for k, word in enumerate(batch.column("word").to_pylist()):
-                own = grams_of(word)
-                for i in range(0, len(own), BATCH):
-                    grams += own[i : i + BATCH]
-                    row += [k] * len(own[i : i + BATCH])
-                    if len(grams) >= BATCH:
-                        yield as_batch(row, grams, rest)
-                        row, grams = [], []
-            yield as_batch(row, grams, rest)
-
-    def as_batch(row: list[int], grams: list[str], rest: list[np.ndarray]) -> pa.RecordBatch:
-        at = np.array(row, np.int64)
-        word_id, a, b, t = (pa.array(x[at]) for x in rest)
-        return pa.RecordBatch.from_arrays([word_id, pa.array(grams, pa.string()), a, b, t], names=["word_id", "gram", "a", "b", "t"])
-
-    return words.mapInArrow(run, "word_id long, gram string, a long, b long, t long")
-
-
-def gram_ratios(words: DataFrame) -> DataFrame:
+            texts, kinds = batch.column("text").to_pylist(), batch.column("kind").to_numpy()
+            for part in slices(texts):
+                bag = Bag(texts[part])
+                if not bag.distinct:
+                    continue
+                pairs = np.unique(bag.text_of * bag.distinct + bag.word)
+                word, kind = pairs % bag.distinct, kinds[part][pairs // bag.distinct]
+                counts = [np.bincount(word[at], minlength=bag.distinct) for at in (kind == 0, kind == 1, slice(None))]
+                place, begin, own = bag.grams()
+                own, at, which = np.unique(own, return_index=True, return_inverse=True)
+                added = np.stack([np.bincount(which, c[bag.word_of[place]], len(own)).astype(np.int64) for c in counts], 1)
+                spelled = bag.letters.tobytes().decode("utf-32-le", "surrogatepass")
+                new = np.empty(len(own), object)
+                new[:] = [spelled[i : j + 1] for i, j in zip(begin[at].tolist(), place[at].tolist(), strict=True)]
+                key, first, which = np.unique(np.r_[key, own], return_index=True, return_inverse=True)
+                grams, both = np.r_[grams, new][first], np.r_[sums, added]
+                sums = np.stack([np.bincount(which, both[:, k], len(key)).astype(np.int64) for k in range(3)], 1)
+                if len(key) >= HELD:
+                    yield as_batch(grams, sums)
+                    key, grams, sums = key[:0], grams[:0], sums[:0]
+        yield as_batch(grams, sums)
+
+    def as_batch(grams: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array(sums[:, k].copy()) for k in range(3))], names=["gram", "a", "b", "t"])
+
+    sums = rows.mapInArrow(run, "gram string, a long, b long, t long").groupBy("gram").agg(*(F.sum(c).alias(c) for c in "abt"))
+    return staged(sums, "grams")
+
+
+def gram_ratios(grams: DataFrame) -> DataFrame:
     """(gram, ratio): the log-likelihood ratio, toxic to ordinary, of a gram's last letter after the letters before it."""
-    sums = spelled(words).groupBy("gram").agg(*(F.sum(c).alias(c) for c in "abt"))
-    parts = sums.select("*", F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("substring(gram, -2, 1)").alias("y"), F.expr("substring(gram, -1, 1)").alias("x"))
-    grams = staged(parts, "grams")
-    letters = grams.select(F.countDistinct("x")).first()[0] or 1
-    places = grams.groupBy("y", "x").agg(F.count(F.lit(1)).alias("places"))
+    parts = grams.select("*", F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("substring(gram, -2, 1)").alias("y"), F.expr("substring(gram, -1, 1)").alias("x"))
+    letters = parts.select(F.countDistinct("x")).first()[0] or 1
+    places = parts.groupBy("y", "x").agg(F.count(F.lit(1)).alias("places"))
     after = Window.partitionBy("y")
     d, more = F.lit(DISCOUNT), lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
     base = places.select("y", "x", ((more("places") + d * F.count(F.lit(1)).over(after) / letters) / F.sum("places").over(after)).alias("base"))
     here = Window.partitionBy("context")
-    summed = grams.select("*", *(F.sum(c).over(here).alias(f"{c}_total") for c in "abt"), F.count(F.lit(1)).over(here).alias("t_kinds"))
+    summed = parts.select("*", *(F.sum(c).over(here).alias(f"{c}_total") for c in "abt"), F.count(F.lit(1)).over(here).alias("t_kinds"))
     shared = summed.join(base, ["y", "x"]).withColumn("shared", (more("t") + d * F.col("t_kinds") * F.col("base")) / F.col("t_total"))
     # A class's likelihood is the shared one times seen to expected; PRIOR stands for what was not seen for want of rows.
     p = [F.col("shared") * (F.col(c) + PRIOR) / (F.col(f"{c}_total") * F.col("shared") + PRIOR) for c in "ab"]
     return shared.select("gram", F.ln(p[1] / p[0]).alias("ratio"))
 
 
-def word_ratios(words: DataFrame) -> DataFrame:
-    """(word, ratio) of the words that tell something."""
-    sums = spelled(words).select("word_id", "gram").join(gram_ratios(words), "gram").groupBy("word_id").agg(F.sum("ratio").alias("ratio"))
-    return staged(words.select("word_id", "word").join(sums.where(tells(F.col("ratio"))), "word_id").select("word", "ratio"), "telling")
-
-
-def tells(ratio: Column) -> Column:
-    return F.abs(ratio) >= TELLING
+def model(docs: DataFrame, known: DataFrame) -> str:
+    """Writes the ratios to the shared folder, as shards in order of the grams' hashes, and returns its path.
 
+    Grams after letters that no labelled row has are left out: their ratio is exactly 0, as is that of
+    a gram which is not found.
+    """
+    grams = gram_counts(docs, known)
 
-def feature(total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What the curve sees of a text: its ratio per word, on a scale of logarithms."""
-    mean = total / np.maximum(n, 1)
-    return np.sign(mean) * np.log1p(np.abs(mean) / 0.003)
-
-
-def weighed(cut: DataFrame, telling: DataFrame) -> DataFrame:
-    """(textloom_h1, textloom_h2, kind, x) of every text."""
-    asked = cut.select("chunk", F.posexplode("words").alias("at", "word"))
-    answers = asked.join(telling, "word").select(F.col("chunk").alias("of"), "at", "ratio")
-    bags = cut.drop("words", "ordinary", "toxic", "docs")
-
-    def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        at = told.column("at").to_numpy()
-        for row in range(own.num_rows):
-            h1, h2, kind, n, held, positions, times = (own.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("h1", "h2", "kind", "n", "held", "positions", "times"))
-            ratio = np.zeros(1 + max(positions.max(initial=0), at.max(initial=0)))
-            ratio[at] = told.column("ratio").to_numpy()
-            total = np.bincount(np.repeat(np.arange(len(n)), held), ratio[positions] * times, len(n))
-            out.append(pa.table([h1, h2, kind, feature(total, n)], names=["textloom_h1", "textloom_h2", "kind", "x"]))
-        return pa.concat_tables(out)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(hash_of(batch.column("gram").to_pylist()).view(np.int64)), batch.column("ratio")], names=["h", "ratio"])
+
+    ratios = gram_ratios(grams).where("ratio <> 0").mapInArrow(hashed, "h long, ratio double")
+    path = new_path(docs.sparkSession, "ratios")
+    ratios.repartitionByRange(max(1, -(-grams.count() // SHARD)), "h").sortWithinPartitions("h").write.parquet(path)
+    return path
+
+
+@functools.lru_cache(8)
+def shards(path: str) -> tuple[fs.FileSystem, list[str]]:
+    store, base = fs.FileSystem.from_uri(path)
+    return store, sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
+
+
+@functools.lru_cache(4)
+def shard(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    store, files = shards(path)
+    table = pq.read_table(files[k], filesystem=store, partitioning=None)
+    return table.column("h").to_numpy(), table.column("ratio").to_numpy()
+
+
+def looked_up(h: np.ndarray, path: str) -> np.ndarray:
+    """The ratio of each of the sorted hashes; one shard after the other, four at most are kept in a worker."""
+    out = np.zeros(len(h))
+    for k in range(len(shards(path)[1])):
+        keys, ratios = shard(path, k)
+        if len(keys):
+            a, b = np.searchsorted(h, keys[0]), np.searchsorted(h, keys[-1], "right")
+            at = np.minimum(np.searchsorted(keys, h[a:b]), len(keys) - 1)
+            out[a:b] = np.where(keys[at] == h[a:b], ratios[at], 0.0)
+    return out
+
+
+def word_ratios(bag: Bag, path: str) -> np.ndarray:
+    """The ratio of each distinct word, 0 where it tells too little."""
+    place, _, key = bag.grams()
+    own, which = np.unique(key.view(np.int64), return_inverse=True)
+    each = np.bincount(bag.word_of[place], looked_up(own, path)[which], bag.distinct)
+    return np.where(np.abs(each) >= TELLING, each, 0.0)
+
+
+def features(texts: list[str | None], path: str) -> np.ndarray:
+    """What the curve sees of each text: its ratio per word, on a scale of logarithms."""
+    out = []
+    for part in slices(texts):
+        bag, n = Bag(texts[part]), part.stop - part.start
+        total = np.bincount(bag.text_of, word_ratios(bag, path)[bag.word], n) if bag.distinct else np.zeros(n)
+        mean = total / np.maximum(np.bincount(bag.text_of, minlength=n), 1)
+        out.append(np.sign(mean) * np.log1p(np.abs(mean) / 0.003))
+    return np.concatenate([np.zeros(0), *out])
+
+
+def feature(text: Column, path: str) -> Column:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(features(batch.to_pylist(), path))
 
-    return bags.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, "textloom_h1 long, textloom_h2 long, kind int, x double")
+    return of(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float] | None:
-    """Every text's key and feature ``x``, and the logistic curve's slope and offset; None where a class has no rows."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[str, float, float] | None:
+    """The path of the ratios and the logistic curve's slope and offset; None where a class has no rows."""
     known = labelled(labels)
     sizes = {r["toxic"]: r["n"] for r in known.groupBy(F.pmod("kind", F.lit(2)).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    cut = chunks(docs, known)
-    found = staged(weighed(cut, word_ratios(vocabulary(cut))), "weighed")
-    apart = found.where("kind >= 2").select("x", (F.col("kind") - 2).alias("y")).toPandas()  # at most 2 * CURVE_ROWS doc_ids
-    if apart["y"].nunique() < 2:
+    path = model(docs, known)
+    apart = known.where("kind >= 2").select("id", (F.col("kind") - 2).alias("y"))  # at most 2 * CURVE_ROWS
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(apart), "id")
+    found = rows.select("id", "y", feature(F.col("text"), path).alias("x")).groupBy("id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("id")
+    if found["y"].nunique() < 2:
         return None
-    y = apart["y"].to_numpy(float)
+    y = found["y"].to_numpy(float)
     share = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-    # Equal texts have one score, wherever their parts were added.
-    return found.groupBy("textloom_h1", "textloom_h2").agg(F.min("x").alias("textloom_x")), *logistic(apart["x"].to_numpy(), y, share / share.mean())
+    return path, *logistic(found["x"].to_numpy(), y, share / share.mean())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
@@ -242,10 +304,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     plain = docs.drop("held_out", "score", "predicted")
     fitted = fit(docs, labels)
     if fitted is None:
-        scored = plain.withColumn("score", F.lit(0.0))
+        score = F.lit(0.0)
     else:
-        weights, slope, offset = fitted
-        z = F.least(F.greatest(F.col("textloom_x") * slope + offset, F.lit(-30.0)), F.lit(30.0))
-        keyed = plain.select("*", *text_key(F.col("text"))).join(weights, ["textloom_h1", "textloom_h2"])
-        scored = keyed.withColumn("score", 1 / (1 + F.exp(-z)))
+        path, slope, offset = fitted
+        score = 1 / (1 + F.exp(-F.least(F.greatest(feature(F.col("text"), path) * slope + offset, F.lit(-30.0)), F.lit(30.0))))
+    scored = plain.withColumn("score", score)
     return scored.select(*(F.col(f"`{c}`") for c in plain.columns), F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
