@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from textloom.llm.shared import new_path
 
 CRLF = b"\r\n"
+#: Pages have no date of their own; with one date for all, the same pages give the same files.
+DATE = "2000-01-01T00:00:00Z"
 SEGMENT = "origin string, number int, type string, total long, page_id string, url string, refers string, digest string, length long, block binary"
 
 
@@ -61,14 +63,14 @@ def header_text(value: str | None) -> str:
     return "" if value is None else re.sub(r"%|[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, place: str, segment: int, chunk: int) -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, refers_url: str | None, revisit: bool, place: str, segment: int, chunk: int) -> Iterator[bytes]:
     """The records of one page: one, or a first segment and its continuations; ``place`` is the row's own."""
     name = "null" if page_id is None else str(page_id)
     # The row's place goes into the name too, so that rows which repeat a page have records of their own.
     origin = f"<urn:sha1:{hashlib.sha1(f'{name} {url} {digest} {place}'.encode('utf-8', 'surrogatepass')).hexdigest()}>"
-    fields = [("WARC-Record-ID", origin), ("WARC-Date", "2000-01-01T00:00:00Z"), ("X-Page-ID", name), ("WARC-Target-URI", header_text(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
+    fields = [("WARC-Record-ID", origin), ("WARC-Date", DATE), ("X-Page-ID", name), ("WARC-Target-URI", header_text(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
     if revisit:
-        fields += [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers)]
+        fields += [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", header_text(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", refers)]
         yield record(fields, b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
@@ -80,17 +82,18 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
     for k, part in enumerate(parts[1:], 2):
         own = f"<urn:sha1:{hashlib.sha1(f'{origin} {k}'.encode()).hexdigest()}>"
         more = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", k), *more], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", k), *more], part)
 
 
 def classified(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, html, digest, refers, revisit for every row."""
+    """page_id, url, html, digest, refers, refers_url, revisit for every row."""
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(body, 256).alias("digest"))
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    firsts = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = firsts.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     found = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return found.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers"), revisit.alias("revisit"))
+    return found.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers"), F.when(revisit, F.col("first_url")).alias("refers_url"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int = 16 << 10, chunk: int = 4 << 10, file_bytes: int = 4 << 20) -> None:
@@ -122,9 +125,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int
 
         records, rows = 0, 0
         for batch in batches:
-            for page_id, url, html, digest, refers, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers", "revisit")), strict=True):
+            for page_id, url, html, digest, refers, refers_url, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers", "refers_url", "revisit")), strict=True):
                 rows += 1
-                for raw in page_records(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, revisit, f"{context.partitionId()}-{rows}", segment, chunk):
+                for raw in page_records(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, refers_url, revisit, f"{context.partitionId()}-{rows}", segment, chunk):
                     held.append(raw)
                     size += len(raw)
                     records += 1
@@ -138,12 +141,23 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int
     rows.mapInArrow(run, "records long").agg(F.sum("records")).collect()
 
 
+def members(raw: bytes, piece: int = 64 << 10) -> Iterator[bytes]:
+    """The contents of the gzip members of a file. It is read in pieces, so that what follows a member is never copied whole."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        opener, out = zlib.decompressobj(31), []
+        while not opener.eof:
+            if at >= len(view):
+                raise ValueError("the file ends within a record")
+            part = view[at : at + piece]
+            out.append(opener.decompress(part))
+            at += len(part) - len(opener.unused_data)
+        yield b"".join(out)
+
+
 def parsed(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive file."""
-    while raw:
-        opener = zlib.decompressobj(31)
-        data = opener.decompress(raw) + opener.flush()
-        raw = opener.unused_data
+    for data in members(raw):
         head, _, rest = data.partition(CRLF + CRLF)
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
         size = int(fields["Content-Length"])
