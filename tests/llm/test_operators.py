@@ -295,19 +295,25 @@ def test_exact_dedup(spark, corpus):
     groups = {}
     for i, t in docs:
         groups.setdefault((t or "").translate(brute.LOWER), []).append(i)
-    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(frame(spark, docs), capacity=4).collect()}
-    for text, ids in groups.items():
-        for i in ids:
-            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (max(ids), len(ids), i == max(ids), brute.sha(text))
-
-
-def test_directory_splits_overfull_buckets():
-    counts = {0: 3, 1: 3, 1 << 15: 2, 65535: 9}
-    depth, slots = exact_dedup.directory(counts, 4)
-    held = Counter()
-    for k, n in counts.items():
-        held[slots[k >> (exact_dedup.MAX_DEPTH - depth)]] += n
-    assert len(slots) == 1 << depth and sorted(held.values()) == [2, 3, 3, 9]
+    few = lambda norm: F.when(F.length(norm) % 3 == 0, F.lit(-1)).otherwise(F.lit(1 << 62)).cast("long")
+    for hash_of in (F.xxhash64, few):  # the second makes long chains of collisions
+        got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(frame(spark, docs), capacity=4, hash_of=hash_of).collect()}
+        assert len(got) == len(docs)
+        for text, ids in groups.items():
+            for i in ids:
+                assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (max(ids), len(ids), i == max(ids), brute.sha(text))
+
+
+def test_directory_splits_overfull_buckets(spark):
+    """Each hash has exactly one bucket, none is overfull, and single hashes are told apart to the last bit."""
+    hashes = [*range(6), *(k << 7 for k in range(1, 30)), -1, -2, -3, -4, 1 << 62, (1 << 62) + 1]
+    rows = spark.createDataFrame([(h,) for h in hashes * 3], "h long")
+    buckets, depths = exact_dedup.directory(rows, 2, first=58)
+    assert max(depths) == 63 and min(depths) == 58
+    filed = exact_dedup.filed(rows.distinct(), buckets, depths).collect()
+    assert sorted(r["h"] for r in filed) == sorted(hashes)
+    assert max(Counter((r["depth"], r["bits"]) for r in filed).values()) == 2
+    assert all((r["h"] % (1 << 64)) >> (64 - r["depth"]) == r["bits"] for r in filed)
 
 
 def test_warc(spark):
@@ -332,6 +338,10 @@ def test_warc_finds_damage():
         warc.unchunked(warc.chunked(b"abc" * 999, 100)[:-300])
     with pytest.raises(ValueError):
         list(warc.parsed(broken()))
+    with pytest.raises(ValueError):
+        list(warc.parsed(warc.record([("WARC-Record-ID", "x")], b"abc" * 999)[:-9]))
+    many = [(f"<{k}>", bytes([k % 256]) * (k * 37 % 90_000)) for k in range(200)]
+    assert [(f["WARC-Record-ID"], x) for f, x in warc.parsed(b"".join(warc.record([("WARC-Record-ID", i)], x) for i, x in many))] == many
 
 
 def broken():

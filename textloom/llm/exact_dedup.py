@@ -1,24 +1,29 @@
 """Exact dedup by an extendible-hash index, in DataFrame operations only.
 
-Equal texts meet in one aggregation keyed by hash and bytes: every map task first folds its own
-copies together, so a text with very many copies travels once per task; texts whose hashes collide
-are told apart by their bytes and form a chain of entries under one hash. The entries are then
-filed in an extendible-hash index in the shared folder: the directory doubles until no bucket holds
-more than ``capacity`` entries, and each owner task writes the entries of a range of hash keys. Every document
-looks its hash and digest up in the index.
+The directory comes first, from the texts' hashes alone. It says how many leading bits of a hash name its
+bucket: a bucket with more than ``capacity`` distinct hashes is split by one more bit, level by
+level, until none is overfull; a split at the directory's own depth doubles it. Every text is then filed
+in the bucket that the directory names for its hash. Within a bucket equal texts meet by their bytes;
+each map task first folds its own copies together, so a text with very many copies travels once per
+task. Texts whose hashes collide are links of one chain. The index is written to the shared folder,
+each owner task having a range of buckets, hashes and links. Every row then goes by the directory to
+its bucket and there along the chain of its hash to the link with its text's digest.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import staged
 
-#: Directory entries are at most 2 to this power, which bounds what is sent to all tasks.
-MAX_DEPTH = 16
+#: Buckets up to which the directory is sent to all tasks (about 20 MB); a larger one is joined as any table.
+SMALL = 1 << 20
+BUCKET = ["depth", "bits"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -26,62 +31,57 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def slot(h: Column, depth: int) -> Column:
+def leading(h: Column, depth: int) -> Column:
     """The leading ``depth`` bits of a 64-bit hash."""
-    return F.shiftrightunsigned(h, 64 - depth).cast("int") if depth else F.lit(0)
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(counts: dict[int, int], capacity: int) -> tuple[int, list[int]]:
-    """The global depth, and for each slot of the directory the first slot of its bucket.
+def hinted(buckets: DataFrame) -> DataFrame:
+    return F.broadcast(buckets) if buckets.count() <= SMALL else buckets
 
-    ``counts``: entries for each prefix of MAX_DEPTH bits. Buckets over ``capacity`` are split by one
-    more bit, which doubles the directory when a bucket's own depth passes the global depth. Buckets
-    that are overfull at MAX_DEPTH stay so; their owner's task sorts and spills as any Spark task.
+
+def directory(hashes: DataFrame, capacity: int, first: int = 6) -> tuple[DataFrame, list[int]]:
+    """(depth, bits) of every bucket, its own depth and the leading bits of its hashes; and the depths that occur.
+
+    It starts with 2 to the power ``first`` slots. Hashes count once, so copies and collisions split nothing.
     """
-    depth, buckets, ready = 0, [(0, 0, dict(counts))], []
-    while buckets:
-        own, prefix, held = buckets.pop()
-        if sum(held.values()) <= capacity or own == MAX_DEPTH:
-            ready.append((own, prefix))
-            continue
-        bit = MAX_DEPTH - own - 1
-        depth = max(depth, own + 1)
-        for side in (0, 1):
-            buckets.append((own + 1, prefix * 2 + side, {k: v for k, v in held.items() if (k >> bit) & 1 == side}))
-    slots = [0] * (1 << depth)
-    for own, prefix in ready:
-        first = prefix << (depth - own)
-        for k in range(first, first + (1 << (depth - own))):
-            slots[k] = first
-    return depth, slots
-
-
-def build_index(docs: DataFrame, capacity: int) -> DataFrame:
-    """The index as a table in the shared folder: bucket, h, sha, keep_id, group_size."""
-    keyed = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
-    texts = keyed.select("doc_id", "norm", F.xxhash64("norm").alias("h"))
-    same = texts.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = staged(same.select("h", F.sha2(F.encode("norm", "utf-8"), 256).alias("sha"), "keep_id", "group_size"), "entries")
-    held = entries.groupBy(slot(F.col("h"), MAX_DEPTH).alias("k")).count().collect()  # at most 2 ** MAX_DEPTH rows
-    depth, slots = directory({r["k"]: r["count"] for r in held}, capacity)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int")
-    filed = entries.withColumn("slot", slot(F.col("h"), depth)).join(F.broadcast(table), "slot")
-    owned = filed.select("bucket", "h", "sha", "keep_id", "group_size").repartitionByRange(max(1, len(set(slots))), "bucket", "h")
-    return staged(owned.sortWithinPartitions("bucket", "h"), "index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
+    left, found, depths, depth = staged(hashes.select("h").distinct(), "hashes"), [], [], first
+    while True:
+        sizes = staged(left.groupBy(leading(F.col("h"), depth).alias("bits")).agg(F.count(F.lit(1)).alias("held")), "sizes")
+        ready, full = sizes.where(F.col("held") <= capacity), sizes.where(F.col("held") > capacity)
+        if not found or not ready.isEmpty():
+            found.append(ready.select(F.lit(depth).alias("depth"), "bits"))
+            depths.append(depth)
+        if full.isEmpty():
+            return staged(reduce(DataFrame.unionByName, found), "directory"), depths
+        left = left.join(hinted(full.select("bits")), leading(F.col("h"), depth) == F.col("bits"), "left_semi")
+        depth += 1
+
+
+def filed(rows: DataFrame, buckets: DataFrame, depths: list[int]) -> DataFrame:
+    """``rows`` with the bucket that the directory has for their hash ``h``: of a hash's slots, one at
+    each depth, exactly one is a bucket."""
+    slots = F.array(*(F.struct(F.lit(d).alias("depth"), leading(F.col("h"), d).alias("bits")) for d in depths))
+    return rows.select("*", F.inline(slots)).join(hinted(buckets), BUCKET)
+
+
+def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row.
 
     Texts are equal when they are after lower-casing A-Z; of equal texts the largest doc_id stays.
     Null counts as the empty text. A null doc_id is smaller than any other; a group of nothing but
     null doc_ids has a null keep_id and its rows stay. Rows that repeat both doc_id and text count
     in group_size and share one fate. An empty table gives no rows; other columns are ignored.
+    ``hash_of`` gives the 64-bit hash of a text; collisions cost time, never a wrong result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = build_index(docs, capacity)
-    norm = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
-    probes = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2(F.encode("norm", "utf-8"), 256).alias("sha"))
-    found = probes.join(index.drop("bucket"), ["h", "sha"])
+    norm = lower_ascii(F.coalesce("text", F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", "norm", hash_of(F.col("norm")).alias("h"))
+    digest = F.sha2(F.encode("norm", "utf-8"), 256).alias("sha")
+    probes = staged(texts.select("doc_id", "h", digest), "probes")
+    buckets, depths = directory(probes, capacity)
+    links = filed(texts, buckets, depths).groupBy(*BUCKET, "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    entries = staged(links.select(*BUCKET, "h", digest, "keep_id", "group_size"), "entries")
+    owners = max(1, -(-entries.count() // capacity))
+    index = staged(entries.repartitionByRange(owners, *BUCKET, "h", "sha").sortWithinPartitions(*BUCKET, "h", "sha"), "index")
+    found = filed(probes, buckets, depths).join(index, [*BUCKET, "h", "sha"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
