@@ -286,7 +286,7 @@ def test_perfect_hash():
     rnd = np.random.default_rng(0)
     h1, h2 = rnd.integers(0, 2**63, 5000, dtype=np.uint64), rnd.integers(0, 2**63, 5000, dtype=np.uint64)
     h1[:50] = h1[0]  # keys that share one half
-    index = line_dedup.PerfectHash.from_columns(*line_dedup.PerfectHash.build(h1, h2).to_columns())
+    index = line_dedup.PerfectHash.build(h1, h2)
     assert sorted(index.slots(h1, h2).tolist()) == list(range(5000))
 
 

@@ -2,10 +2,10 @@
 
 Documents are dealt to blocks. Each block sends, once for each distinct line key, the key's 128-bit
 hash with its count of documents and smallest doc_id to the key's shard; a line that stands in very
-many documents thus costs one entry a block. A shard keeps the keys of two or more documents in a
-minimal perfect hash whose slots index compact arrays of fingerprints, counts and smallest doc_ids,
-and is written to the shared folder as one row. Blocks' keys then probe the arrays of their shard, and
-the answers return to the blocks by position; lines themselves are never joined or shuffled.
+many documents thus costs one entry a block. A shard puts its distinct keys into a minimal perfect hash
+whose slots index compact arrays of fingerprints, counts and smallest doc_ids. The blocks' keys
+probe the arrays of their shard, and the answers return to the blocks by position; lines themselves
+are never joined or shuffled, and texts are shuffled once for both passes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import blocks, ordered, rows_table, staged, text_bytes
+from textloom.llm.shared import blocks, ordered, rows_table, text_bytes
 
 BLANK = b"\t\n\x0b\x0c\r "
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -68,18 +68,6 @@ class PerfectHash:
             open_ = open_[~hit]
         return out
 
-    def to_columns(self) -> tuple[list[int], bytes]:
-        return [len(b) for b in self.levels], b"".join(np.packbits(b).tobytes() for b in self.levels)
-
-    @classmethod
-    def from_columns(cls, sizes: list[int], blob: bytes) -> PerfectHash:
-        levels, at = [], 0
-        for n in sizes:
-            width = (n + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(blob, np.uint8, width, at), count=n).astype(bool))
-            at += width
-        return cls(levels)
-
 
 def keys_of(text: str, least: int) -> list[bytes | None]:
     """The 16-byte hash of each line's key, or None where the key is shorter than ``least`` code points."""
@@ -113,7 +101,8 @@ def block_keys(docs: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 PIECE = "shard int, block int, h1 binary, h2 binary, n binary, least binary"
-SHARD = "shard int, sizes array<long>, bits binary, fingerprints binary, counts binary, least binary"
+ANSWER = "shard int, block int, least binary"
+NONE = np.iinfo(np.int64).max  # no other holder: every doc_id is at most this
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 10, keep_columns: bool = False, block_bytes: int = 2 << 20, shard_bytes: int = 32 << 20) -> DataFrame:
@@ -139,41 +128,27 @@ def line_dedup(docs: DataFrame, least_chars: int = 10, keep_columns: bool = Fals
             rows.append((int(s), block, h1[at].tobytes(), h2[at].tobytes(), n[at].tobytes(), least[at].tobytes()))
         return rows_table(rows, PIECE)
 
-    def build(table: pa.Table) -> pa.Table:
-        h1, h2, n, least = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("h1", "<u8"), ("h2", "<u8"), ("n", "<i8"), ("least", "<i8")))
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [[np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("h1", "<u8"), ("h2", "<u8"), ("n", "<i8"), ("least", "<i8"))]
+        h1, h2, n, least = (np.concatenate(x) for x in asked)
         order = np.lexsort((h2, h1))
         h1, h2, n, least = h1[order], h2[order], n[order], least[order]
         first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        count, smallest = np.add.reduceat(n, first), np.minimum.reduceat(least, first)
-        again = count >= 2
-        h1, h2, count, smallest = h1[first][again], h2[first][again], count[again], smallest[again]
-        index = PerfectHash.build(h1, h2)
-        slots = index.slots(h1, h2)
-        sizes, bits = index.to_columns()
-        place = np.argsort(slots)
-        return rows_table([(table.column("shard")[0].as_py(), sizes, bits, h2[place].tobytes(), count[place].astype("<i8").tobytes(), smallest[place].tobytes())], SHARD)
-
-    def probe(pieces: pa.Table, shard: pa.Table) -> pa.Table:
-        if not pieces.num_rows:
-            return rows_table([], "shard int, block int, least binary")
-        row = shard.to_pylist()[0]
-        index = PerfectHash.from_columns(row["sizes"], row["bits"])
-        prints, smallest = np.frombuffer(row["fingerprints"], "<u8"), np.frombuffer(row["least"], "<i8")
+        index = PerfectHash.build(h1[first], h2[first])
+        place = np.argsort(index.slots(h1[first], h2[first]))
+        prints, counts, smallest = h2[first][place], np.add.reduceat(n, first)[place], np.minimum.reduceat(least, first)[place]
         out = []
-        for s, block, a, b in zip(*(pieces.column(c).to_pylist() for c in ("shard", "block", "h1", "h2")), strict=True):
-            h1, h2 = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-            slots = index.slots(h1, h2)
-            hit = slots >= 0
-            hit[hit] = prints[slots[hit]] == h2[hit]
-            answer = np.full(len(h1), np.iinfo(np.int64).max)  # no other holder: every doc_id is at most this
-            answer[hit] = smallest[slots[hit]]
-            out.append((s, block, answer.tobytes()))
-        return rows_table(out, "shard int, block int, least binary")
+        for s, block, a, b in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), *asked[:2], strict=True):
+            slots = index.slots(a, b)
+            if not (prints[slots] == b).all():
+                raise ValueError("a key is not at its slot")
+            out.append((s, block, np.where(counts[slots] >= 2, smallest[slots], NONE).tobytes()))
+        return rows_table(out, ANSWER)
 
     def drop(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         h1, h2, _, _, texts, keys = block_keys(table, least_chars)
-        shard, least = (h1 % np.uint64(shards)).astype(np.int64), np.full(len(h1), np.iinfo(np.int64).max)
+        shard, least = (h1 % np.uint64(shards)).astype(np.int64), np.full(len(h1), NONE)
         for s, x in zip(answers.column("shard").to_pylist(), answers.column("least").to_pylist(), strict=True):
             least[shard == s] = np.frombuffer(x, "<i8")
         owner = dict(zip((a + b for a, b in zip(split8(h1), split8(h2), strict=True)), least.tolist(), strict=True))
@@ -190,9 +165,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 10, keep_columns: bool = Fals
             arrays, names = [*arrays, table.column("rest")], [*names, "rest"]
         return pa.table(arrays, names=names)
 
-    pieces = own.select("block", "doc_id", "text").groupBy("block").applyInArrow(ask, PIECE)
-    index = staged(pieces.groupBy("shard").applyInArrow(build, SHARD), "line-index")
-    answers = pieces.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "shard int, block int, least binary")
+    answers = own.groupBy("block").applyInArrow(ask, PIECE).groupBy("shard").applyInArrow(answer, ANSWER)
     schema = "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string"
     if "rest" in own.columns:
         schema += f", rest {own.schema['rest'].dataType.simpleString()}"
