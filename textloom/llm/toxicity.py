@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import new_path, staged
+from textloom.llm.shared import new_path, staged, text_bytes
 from textloom.llm.words import mix, powers
 
 DEPTH = 6
@@ -44,6 +44,9 @@ CURVE_ROWS = 5_000
 CHUNK = 3 << 20
 HELD = 1 << 20
 SHARD = 1 << 19
+#: Bytes of text for each bucket that grams are added up in.
+BUCKET = 32 << 20
+PIECE = "bucket int, sizes binary, letters binary, counts binary"
 #: -1: no label to learn from; 0 and 1: counted in a class; 2 and 3: kept apart for the curve.
 NO_CLASS = -1
 #: Code points that end words: Unicode's white space, ASCII punctuation and digits.
@@ -138,11 +141,12 @@ def gram_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     may = F.coalesce(fold(F.col("id")) != 1, F.lit(False))  # only such rows can have a label that is learned from
     none = F.lit(NO_CLASS).alias("kind")
     joined = rows.where(may).join(known, "id", "left").select(F.coalesce("kind", F.lit(NO_CLASS)).alias("kind"), "text")
-    return gathered(rows.where(~may).select(none, "text").unionByName(joined))
+    return gathered(rows.where(~may).select(none, "text").unionByName(joined), max(16, -(-text_bytes(docs) // BUCKET)))
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """Gram counts of (kind, text)."""
+def gathered(rows: DataFrame, buckets: int) -> DataFrame:
+    """Gram counts of (kind, text). A task sends a bucket's grams as one row: their letters on end, and byte
+    planes of their counts, most of which are zeros and vanish when the shuffle compresses them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, grams, sums = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros((0, 3), np.int64)
@@ -165,15 +169,32 @@ def gathered(rows: DataFrame) -> DataFrame:
                 grams, both = np.r_[grams, new][first], np.r_[sums, added]
                 sums = np.stack([np.bincount(which, both[:, k], len(key)).astype(np.int64) for k in range(3)], 1)
                 if len(key) >= HELD:
-                    yield as_batch(grams, sums)
+                    yield as_batch(key, grams, sums)
                     key, grams, sums = key[:0], grams[:0], sums[:0]
-        yield as_batch(grams, sums)
-
-    def as_batch(grams: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array(sums[:, k].copy()) for k in range(3))], names=["gram", "a", "b", "t"])
-
-    sums = rows.mapInArrow(run, "gram string, a long, b long, t long").groupBy("gram").agg(*(F.sum(c).alias(c) for c in "abt"))
-    return staged(sums, "grams")
+        if len(key):
+            yield as_batch(key, grams, sums)
+
+    def as_batch(key: np.ndarray, grams: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows = []
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            raw = [g.encode("utf-8", "surrogatepass") for g in grams[at]]
+            planes = np.ascontiguousarray(sums[at].T, "<u4").view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)
+            rows.append((int(bucket[at[0]]), bytes(map(len, raw)), b"".join(raw), planes.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "sizes", "letters", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = []
+        for sizes, letters, counts in zip(*(table.column(c).to_pylist() for c in ("sizes", "letters", "counts")), strict=True):
+            ends = np.r_[0, np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int32)].astype(np.int32)
+            grams = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.tobytes()), pa.py_buffer(letters))
+            planes = np.frombuffer(counts, np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)
+            parts.append(pa.table([grams, *(pa.array(np.ascontiguousarray(x).view("<u4")[:, 0].astype(np.int64)) for x in planes)], names=["gram", "a", "b", "t"]))
+        sums = pa.concat_tables(parts).group_by("gram").aggregate([(c, "sum") for c in "abt"])
+        return sums.select(["gram", "a_sum", "b_sum", "t_sum"]).rename_columns(["gram", "a", "b", "t"])
+
+    return staged(rows.mapInArrow(run, PIECE).groupBy("bucket").applyInArrow(add, "gram string, a long, b long, t long"), "grams")
 
 
 def gram_ratios(grams: DataFrame) -> DataFrame:
