@@ -18,6 +18,10 @@ from textloom.llm import toxicity as toxic
 from textloom.llm.shared import restored, staged
 
 
+#: A column of its own for a hash of the text.
+KEY = "corpus_pipeline_text_key"
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic, unchanged."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -30,9 +34,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; documents without words stay."""
-    found = near.ngram_join(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one document, that with the smallest doc_id; documents without words stay."""
+    found = staged(near.ngram_join(docs), "near")
+    keyed = docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[KEY] == other["text_key"])
+    gone = found.where("NOT kept").select("doc_id", "text_key").distinct()
+    left = keyed.join(gone, same(gone), "left_anti")
+    # Rows that repeat both doc_id and text of the one that stays are one document too.
+    again = found.where("kept AND n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    if not again.isEmpty():
+        once = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]) & (left[KEY] == again["text_key"]), "left_semi").dropDuplicates(["doc_id", KEY])
+        left = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]) & (left[KEY] == again["text_key"]), "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,9 @@ def shingles(text, size=5):
 
 
 def components(docs):
-    sets = {i: shingles(t) for i, t in docs}
-    parent = {i: i for i in sets}
+    """By row: size of the set, smallest doc_id of the component (None if it has none), number of links."""
+    sets = [shingles(t) for _, t in docs]
+    parent, links = list(range(len(docs))), Counter()
 
     def find(x):
         while parent[x] != x:
@@ -46,14 +47,18 @@ def components(docs):
         return x
 
     where = defaultdict(list)
-    for i in sorted(sets):
-        for j, n in Counter(j for g in sets[i] for j in where[g]).items():
-            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-        for g in sets[i]:
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for g in s for j in where[g]).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+                links.update((i, j))
+        for g in s:
             where[g].append(i)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    ids = defaultdict(list)
+    for i, (doc_id, _) in enumerate(docs):
+        if doc_id is not None:
+            ids[find(i)].append(doc_id)
+    return [(d, len(sets[i]), min(ids[find(i)], default=None), links[i]) for i, (d, _) in enumerate(docs)]
 
 
 def line_dedup(docs, least=10):

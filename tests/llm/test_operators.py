@@ -100,13 +100,27 @@ def test_word_bpe_equals_the_library(pieces):
     assert list(own.encode_batch([text])) == [(len(ids), " ".join(map(str, ids)), library(WORDS).decode(ids, skip_special_tokens=False))]
 
 
+def joined(found):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found.collect())
+
+
 def test_ngram_join(spark, corpus):
     docs = [*corpus, (9001, "A b"), (9003, "a B"), (9005, " a  b\n")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(frame(spark, docs), block_bytes=2000, bucket_bytes=2000).collect()}
-    assert got == brute.components(docs)
+    assert joined(ngram_join.ngram_join(frame(spark, docs), block_bytes=2000, bucket_bytes=2000)) == Counter(brute.components(docs))
+
+
+def test_ngram_join_without_ids(spark, corpus):
+    """Null and repeated doc_ids: each row is a node of its own, however the rows fall into blocks."""
+    text, other = corpus[20][1], corpus[9][1]
+    docs = [(1, text), (9, other), (None, text), (None, other), (None, None), (None, "   "), (7, None), (5, text), (5, other), (5, "quite another text of a few words"), (None, "nobody else says this here"), (None, "nobody else says this here")]
+    want = Counter(brute.components(docs))
+    for block_bytes in (50, 1 << 20):
+        found = ngram_join.ngram_join(frame(spark, docs), block_bytes=block_bytes)
+        assert joined(found) == want
+        assert sorted((r["doc_id"] or -1, r["n_shingles"]) for r in found.where("kept").collect() if r["n_shingles"]) == sorted([(-1, 1), (-1, 1), *((i, len(brute.shingles(t))) for i, t in ((1, text), (5, other), (5, docs[9][1])))])
 
 
-def test_ngram_join_hot_group(spark):
+def hot_group():
     """Near copies of one text that are not all near each other, beside texts that share a passage only."""
     import random
 
@@ -119,9 +133,23 @@ def test_ngram_join_hot_group(spark):
             w[k] = f"e{rnd.randrange(10**6)}"
         docs.append(" ".join(w))
         docs.append(" ".join(passage + [f"q{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 40))]))
-    docs = list(enumerate(docs))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(frame(spark, docs)).collect()}
-    assert got == brute.components(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("cell", [1 << 11, 5])
+def test_ngram_join_hot_group(spark, monkeypatch, cell):
+    monkeypatch.setattr(ngram_join, "CELL_SETS", cell)
+    monkeypatch.setattr(ngram_join, "PART", 20 * cell)
+    docs = hot_group()
+    assert joined(ngram_join.ngram_join(frame(spark, docs))) == Counter(brute.components(docs))
+
+
+def test_common_counts():
+    rnd = np.random.default_rng(3)
+    sets = [set(rnd.integers(0, 3000 if k % 2 else 60, 50).tolist()) for k in range(80)]
+    row, token = np.repeat(np.arange(80), [len(s) for s in sets]), np.array([t for s in sets for t in s])
+    got = ngram_join.common_counts(row, token, 80)
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(80) for j in range(80) if i != j)
 
 
 def test_components(spark):

@@ -57,7 +57,7 @@ def test_line_dedup(steps):
 
 def test_ngram_join(steps):
     before, after = steps["ngram_join"]
-    keep = {i for i, (_, component) in brute.components(texts(before)).items() if i == component}
+    keep = {i for i, _, component, _ in brute.components(texts(before)) if i == component}
     assert sorted(texts(after)) == sorted((i, t) for i, t in texts(before) if i in keep)
 
 
@@ -79,6 +79,14 @@ def test_packing(steps):
     assert set(seen) == set(docs)
 
 
+def test_ngram_join_keeps_one_of_each_group(spark):
+    words = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, words), (1, words), (2, words), (None, words + " more"), (None, None), (None, ""), (None, "a lone text"), (3, "another"), (4, "ANOTHER"), (None, "twice"), (None, "twice")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.ngram_join(spark, docs, SF)
+    assert sorted(texts(out), key=repr) == sorted([(1, words), (None, None), (None, ""), (None, "a lone text"), (3, "another"), (None, "twice")], key=repr)
+
+
 def test_run(spark, steps):
     assert pipeline.run(spark, SF).count() == steps["packing"][1].count()
 
@@ -116,8 +124,8 @@ def test_queries_without_sql(spark):
     docs = texts(spark.read.parquet(f"{SF}/documents.parquet"))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op1_substring_dedup(spark, SF).collect()}
     assert got == {i: (n, g, brute.sha(k)) for i, (n, g, k) in brute.substring_dedup(docs).items()}
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op3_ngram_join(spark, SF).collect()}
-    assert got == brute.components(docs)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in queries.op3_ngram_join(spark, SF).collect()}
+    assert got == set(brute.components(docs))
     assert {r["doc_id"] for r in queries.op4_toxicity(spark, SF).collect()} == {i for i, _ in docs}
     near = queries.op7_fingerprints(spark, SF).agg({"near_edited": "avg", "near_next": "avg"}).first()
     assert near[0] != near[1]

@@ -23,7 +23,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(read(spark, sf_dir, "documents"), size=5, percent=80)
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"), size=5, percent=80).drop("text_key", "kept")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
