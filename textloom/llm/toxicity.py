@@ -41,11 +41,11 @@ TELLING = 2.5
 #: Labelled rows of each class that the logistic curve, with its two parameters, is fitted on.
 CURVE_ROWS = 5_000
 #: Letters of text that are worked on at once, grams that a task holds before it sends them, grams of a shard.
-CHUNK = 3 << 20
-HELD = 1 << 20
+CHUNK = 2 << 20
+HELD = 1 << 19
 SHARD = 1 << 19
 #: Bytes of text for each bucket that grams are added up in.
-BUCKET = 32 << 20
+BUCKET = 16 << 20
 PIECE = "bucket int, sizes binary, letters binary, counts binary"
 #: -1: no label to learn from; 0 and 1: counted in a class; 2 and 3: kept apart for the curve.
 NO_CLASS = -1
@@ -140,7 +140,7 @@ def gram_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     may = F.coalesce(fold(F.col("id")) != 1, F.lit(False))  # only such rows can have a label that is learned from
     none = F.lit(NO_CLASS).alias("kind")
-    joined = rows.where(may).join(known, "id", "left").select(F.coalesce("kind", F.lit(NO_CLASS)).alias("kind"), "text")
+    joined = rows.where(may).join(known.hint("merge"), "id", "left").select(F.coalesce("kind", F.lit(NO_CLASS)).alias("kind"), "text")
     return gathered(rows.where(~may).select(none, "text").unionByName(joined), max(16, -(-text_bytes(docs) // BUCKET)))
 
 
