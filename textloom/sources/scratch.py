@@ -8,10 +8,35 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only where the session names none, below a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where the session names none and runs on this machine alone, a temporary folder is set for it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the part of the shared folder that belongs to this application."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. Results must have been written or collected by then."""
+    remove(spark, own_dir(spark))
