@@ -7,7 +7,7 @@ least value are the sample. Two documents agree in a sample with a probability e
 generalised Jaccard similarity of their weighted words. Value and identity are packed into one
 64-bit integer, so that a sample is a plain ``min`` over the words.
 
-Documents are dealt once by a hash of doc_id. Their words are counted and sampled where they are,
+Documents are dealt once by a hash of doc_id and text. Their words are counted and sampled where they are,
 without a further shuffle; only thirds of texts and finished fingerprints travel to the neighbours.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from textloom.llm.shared import staged
 
 SAMPLES = 32
+REPEATS = 1 << 12
 NULL_ID = -(1 << 63)
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -41,7 +42,7 @@ def sample(k: int) -> Column:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(id, keys): the samples of each text of (id, text); texts without words have no row.
+    """(id, keys): the samples of each text of (id, text), 32 bits of each; texts without words have no row.
 
     Where the rows are already dealt by id, neither aggregation moves them.
     """
@@ -49,7 +50,8 @@ def signatures(texts: DataFrame) -> DataFrame:
     counted = words.select("id", F.xxhash64("word").alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
     weighted = counted.select("id", "h", F.ln("n").alias("lw"))
     least = weighted.groupBy("id").agg(*(F.min(sample(k)).alias(f"k{k}") for k in range(SAMPLES)))
-    return least.select("id", F.array(*(f"k{k}" for k in range(SAMPLES))).alias("keys"))
+    low = F.lit(0xFFFFFFFF)
+    return least.select("id", F.array(*(F.col(f"k{k}").bitwiseAND(low) for k in range(SAMPLES))).alias("keys"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,24 +61,24 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def written(keys: Column) -> Column:
-    """A signature as text: 32 bits of each sample in hex, empty for a text without words."""
-    return F.coalesce(F.array_join(F.transform(keys, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), ""), F.lit(""))
+    """A signature as text: each sample in hex, empty for a text without words."""
+    return F.coalesce(F.array_join(F.transform(keys, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(id, prev_id, need): each document's predecessor in descending order of id, the last one's
+    """(id, prev_id, need, times): each document's predecessor in descending order of id, the last one's
     successor being the first, and how many code points of it the predecessor may ask for.
 
     Ids are ordered range by range; only the largest id of each range meets the others in one task.
     """
-    ids = staged(docs.groupBy("id").agg(F.max(F.length("text")).alias("n")), "ids")
+    ids = staged(docs.groupBy("id").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("times")), "ids")
     ranged = staged(ids.repartitionByRange("id").withColumn("range", F.spark_partition_id()), "ranges")
     tops = ranged.groupBy("range").agg(F.max("id").alias("top"))
     order = Window.orderBy("range")
     below = tops.select("range", F.coalesce(F.lag("top").over(order), F.max("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"))
-    inside = ranged.select("range", "id", "n", F.lead("id").over(Window.partitionBy("range").orderBy(F.desc("id"))).alias("next"))
+    inside = ranged.select("range", "id", "n", "times", F.lead("id").over(Window.partitionBy("range").orderBy(F.desc("id"))).alias("next"))
     linked = inside.join(F.broadcast(below), "range")  # a row for each partition of the shuffle
-    return linked.select(F.coalesce("next", "below").alias("id"), F.col("id").alias("prev_id"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+    return linked.select(F.coalesce("next", "below").alias("id"), F.col("id").alias("prev_id"), F.floor(F.col("n") / 3).cast("int").alias("need"), "times")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -84,24 +86,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     every document.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or
-    all) of the next document in descending order of doc_id. A null text is empty; a null doc_id is smaller
-    than any other; rows that repeat a doc_id are one document, whose text is the smallest of them.
-    A single document is its own next. Texts without words have an empty fingerprint. An empty table
-    gives no rows; other columns are ignored.
+    all) of the next document in descending order of doc_id and, where these are equal, of a hash of the text. A
+    null text is empty; a null doc_id is smaller than any other. Rows that repeat a doc_id are each
+    fingerprinted; rows that repeat doc_id and text are one document in that order, with a row of the
+    result for each of them. A single document is its own next. Texts without words have an empty
+    fingerprint. An empty table gives no rows; other columns are ignored.
     """
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    plain = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("id"), text.alias("text"))
     own = plain.groupBy("id").agg(F.min("text").alias("text"))
     links = staged(neighbours(plain), "neighbours")
-    heads = own.join(links, "id").select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, need)").alias("head"))
+    heads = own.join(links, "id").select(F.col("prev_id").alias("id"), "times", F.expr("substring(text, 1, need)").alias("head"))
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = own.join(heads, "id").select("id", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("head", F.lit(1), third)).alias("text"))
-    facts = edited.select("id", "n_chars", F.sha2(F.encode("text", "utf-8"), 256).alias("edited_sha256"))
+    edited = own.join(heads, "id").select("id", "times", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("head", F.lit(1), third)).alias("text"))
+    facts = edited.select("id", "times", "n_chars", F.sha2(F.encode("text", "utf-8"), 256).alias("edited_sha256"))
     signed = signatures(own).join(links.select("id", "prev_id"), "id")
     sent = signed.select(F.explode(F.array(F.struct("id", F.lit(True).alias("own")), F.struct(F.col("prev_id").alias("id"), F.lit(False).alias("own")))).alias("to"), "keys")
     pairs = sent.groupBy("to.id").agg(F.max(F.when(F.col("to.own"), F.col("keys"))).alias("own"), F.max(F.when(~F.col("to.own"), F.col("keys"))).alias("next"))
     all_ = facts.join(signatures(edited), "id", "left").join(pairs, "id", "left")
-    doc_id = F.when(F.col("id") != NULL_ID, F.col("id"))
-    return all_.select(
+    # Rows that repeat, in two steps so that neither makes a long list.
+    times = F.col("times") - 1
+    many = all_.withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(times / REPEATS))))
+    many = many.withColumn("few", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(REPEATS - 1), times - F.col("many") * REPEATS))))
+    doc_id = F.when(F.col("id.doc_id") != NULL_ID, F.col("id.doc_id"))
+    return many.select(
         doc_id.alias("doc_id"), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("keys")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("keys")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
