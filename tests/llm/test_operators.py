@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from textloom.llm import bpe, chat_format, components, exact_dedup, fingerprints, line_dedup, ngram_join, packing, substring_dedup, toxicity, warc
+from textloom.llm import bpe, chat_format, components, exact_dedup, fingerprints, line_dedup, ngram_join, packing, shared, substring_dedup, toxicity, warc
 from textloom.llm.words import Words
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,17 @@ def test_substring_dedup_without_ids(spark):
     assert [r["n_removed"] for r in rows if r["doc_id"] == 5] == [30]
 
 
+def test_substring_dedup_does_not_depend_on_blocks(spark, corpus):
+    """Rows without a doc_id, and repeated ones, give the same whether each is a block or all are one."""
+    docs = [(None if k % 3 == 0 else 7 if k % 3 == 1 else i, t) for k, (i, t) in enumerate(corpus[-60:])]
+    own = frame(spark, docs)
+    found = [Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(own, block_bytes=b, bucket_bytes=8000).collect()) for b in (1000, 1 << 24)]
+    assert found[0] == found[1] and sum(found[0].values()) == len(docs)
+    rows = sorted((r["named"], r["rank"], r["text"]) for r in shared.blocks(own, 1, 1).collect())
+    want = brute.substring_dedup(list(enumerate(t for _, _, t in rows)))
+    assert Counter((n, gone, sha) for (_, n, gone, sha), times in found[0].items() for _ in range(times)) == Counter((n, gone, brute.sha(kept)) for n, gone, kept in want.values())
+
+
 def test_substring_dedup_candidates_hold_all_repeats(corpus):
     words = Words(pa.array([t for _, t in corpus]))
     anchors = substring_dedup.Anchors(words, 20)
@@ -304,6 +315,19 @@ def test_fingerprints(spark, corpus):
     assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.12
 
 
+def test_fingerprints_of_repeated_ids(spark, monkeypatch):
+    """Rows that repeat a doc_id have their own fingerprints; rows that repeat the text too are alike."""
+    monkeypatch.setattr(fingerprints, "REPEATS", 2)
+    docs = [(5, "one two three"), (5, "four five six"), *[(5, "four five six")] * 4, (None, "seven eight nine"), (None, "ten eleven")]
+    got = fingerprints.fingerprints(frame(spark, docs)).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t)) for i, t in docs)
+    assert len({r["fingerprint"] for r in got}) == 4 == len({r["edited_sha256"] for r in got})
+    ring = sorted({(r["named"], r["doc_id"] or 0, r["key"], r["text"]) for r in shared.blocks(frame(spark, docs), 1, 1).withColumn("key", F.xxhash64("text")).collect()}, reverse=True)
+    for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+        third = len(a[3]) // 3
+        assert brute.sha(a[3][: len(a[3]) - third] + b[3][:third]) in {r["edited_sha256"] for r in got}
+
+
 def test_line_dedup(spark, corpus):
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, corpus), block_bytes=2000, shard_bytes=500).collect()}
     for i, (n, gone, kept) in brute.line_dedup(corpus).items():
@@ -392,10 +416,10 @@ EACH = {
 
 @pytest.mark.parametrize("name", EACH)
 def test_edges(spark, edges, nothing, name):
-    """A row for each row of the table (fingerprints: for each doc_id), none for an empty table."""
+    """A row for each row of the table, none for an empty table."""
     ids = Counter(r["doc_id"] for r in EACH[name](edges).collect())
     want = Counter(r["doc_id"] for r in edges.collect())
-    assert ids == (Counter(dict.fromkeys(want, 1)) if name == "fingerprints" else want)
+    assert ids == want
     assert EACH[name](nothing).count() == 0
 
 

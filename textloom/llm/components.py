@@ -18,9 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        closer = staged(labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "closer")
+        before, closer = labels, staged(labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "closer")
         onward = closer.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = staged(closer.join(onward, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        jumped = staged(closer.join(onward, "label").select("node", "old", F.least("label", "next").alias("label")), "labels", after=[before, closer])
         labels = jumped.select("node", "label")
         if not jumped.where("old <> label").limit(1).count():
             return labels

@@ -3,36 +3,22 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.scratch import remove, scratch_path as new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests), a temporary folder is set for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, after: list[DataFrame] | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: it cuts the lineage, and losing
-    an executor afterwards costs nothing that was computed before."""
+    an executor afterwards costs nothing that was computed before. Staged tables in ``after`` are removed
+    then; nothing else may need them."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for old in after or ():
+        remove(df.sparkSession, old.inputFiles()[0].rpartition("/")[0]) if old.inputFiles() else None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,12 +28,14 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 
 def blocks(docs: DataFrame, n_bytes: int, block_bytes: int, least: int = 32, keep_columns: bool = False) -> DataFrame:
-    """(block, doc_id, text): documents dealt by a hash of doc_id to blocks of about ``block_bytes``;
-    with ``keep_columns`` also ``rest``, a struct of all other columns if there are any. Rows without
-    a doc_id are dealt by their texts, so that many of them do not meet in one block."""
+    """(block, named, rank, doc_id, text): documents dealt by a hash of ``rank`` to blocks of about ``block_bytes``;
+    with ``keep_columns`` also ``rest``, a struct of all other columns if there are any. ``rank`` is the doc_id,
+    and for rows without one (``named`` is false) a hash of the text, so that many of them do not meet in one
+    block and have an order of their own however many blocks there are."""
     n = max(least, math.ceil(n_bytes / block_bytes))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    columns = [F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rank = F.coalesce(doc_id, F.xxhash64(text))
+    columns = [F.pmod(F.xxhash64(rank), F.lit(n)).cast("int").alias("block"), doc_id.isNotNull().alias("named"), rank.alias("rank"), doc_id.alias("doc_id"), text.alias("text")]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select(*columns, *([F.struct(*rest).alias("rest")] if keep_columns and rest else []))
 
@@ -68,5 +56,5 @@ def rows_table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 def ordered(docs: pa.Table) -> pa.Table:
-    """A block's rows in an order that does not depend on how they arrived."""
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """A block's rows in an order that does not depend on how they arrived: those without a doc_id first."""
+    return docs.sort_by([("named", "ascending"), ("rank", "ascending"), ("text", "ascending")])

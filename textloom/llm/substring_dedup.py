@@ -8,6 +8,10 @@ dictionary. For every symbol we keep the range of words that its name and its bo
 window of words that contains that range holds this symbol wherever else it stands. Each window is
 thus given its consistent interior symbols of the highest level that has any.
 
+Rounds go on while a symbol fits into a window, so a repeat is found by the highest symbols it can hold.
+A dictionary of names shared by all tasks would shuffle the whole corpus in every round; fingerprints
+need none, and names agree but for collisions of 64 bits.
+
 Two exchanges follow. In the first, blocks of documents send their distinct symbols to buckets,
 which answer, by position, which ones occur again in the corpus. Only windows all of whose symbols
 do are sent on, once for each block, with a 96-bit fingerprint of all their words and their place; the buckets
@@ -27,9 +31,7 @@ from pyspark.sql import DataFrame
 from textloom.llm.shared import blocks, ordered, rows_table, text_bytes
 from textloom.llm.words import Words, chained, mix
 
-ROUNDS = 4
-NULL_ID = -(1 << 63)
-PIECE = "bucket int, block int, keys binary, more binary, doc_ids binary, places binary"
+PIECE = "bucket int, block int, keys binary, more binary, ranks binary, places binary"
 ANSWER = "bucket int, block int, found binary"
 
 
@@ -37,8 +39,9 @@ def first_of_runs(symbols: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (symbols[1:] != symbols[:-1]) | (text_of[1:] != text_of[:-1])])
 
 
-def levels(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level, highest first: names, and the range of words that each depends on."""
+def levels(words: Words, window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level, highest first: names, and the range of words that each depends on. Rounds go on
+    while the range of a symbol that has a neighbour fits into ``window`` words."""
     n = len(words.hash)
     place = np.arange(n)
     out = [(words.hash, place, place + 1)]
@@ -51,7 +54,11 @@ def levels(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     lo, hi = begin - 1, begin + length + 1  # a run's bounds depend on the words beside it
     start, end = begin, begin + length
     out.append((names, lo, hi))
-    for k in range(ROUNDS):
+    k = 0
+    while True:
+        beside = text_of[1:] == text_of[:-1]
+        if not ((hi - lo <= window) & (np.r_[False, beside] | np.r_[beside, False])).any():
+            break
         left = (mix(names + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) & np.uint64(1)).astype(bool)
         joined = left[:-1] & ~left[1:] & (text_of[1:] == text_of[:-1])
         head, tail = np.zeros(len(names), bool), np.zeros(len(names), bool)
@@ -70,6 +77,7 @@ def levels(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         stay = ~tail
         names, lo, hi, start, end, text_of = new_names[stay], new_lo[stay], new_hi[stay], start[stay], new_end[stay], text_of[stay]
         out.append((names, lo, hi))
+        k += 1
     return out[::-1]
 
 
@@ -85,7 +93,7 @@ class Anchors:
         n = len(words.hash)
         self.valid, self.layers = words.runs(window), []
         todo = self.valid.copy()
-        for names, lo, hi in levels(words):
+        for names, lo, hi in levels(words, window):
             if not todo.any():
                 break
             first, last = np.maximum(hi - window, 0), np.minimum(lo, n - 1)
@@ -132,13 +140,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
 
     A word goes when a window of ``window`` words over it also starts earlier: in a smaller doc_id,
     or earlier in the same document. Windows are judged on the input. A null or empty text has no
-    words. A null doc_id is smaller than any other, and of a passage that only such rows hold one place stays; rows
-    that repeat a doc_id are taken in the order of their texts, the later ones as later. An empty table gives no rows.
+    words. A null doc_id is smaller than any other; such rows are taken in the order of a hash of their texts, and rows
+    that repeat a doc_id in the order of their texts, the later ones as later. An empty table gives no rows.
     """
     n_bytes = text_bytes(docs)
     buckets = max(16, math.ceil(n_bytes / bucket_bytes))
     own = blocks(docs, n_bytes, block_bytes, keep_columns=keep_columns)
-    texts = own.select("block", "doc_id", "text")
 
     def ask_symbols(table: pa.Table) -> pa.Table:
         anchors = Anchors(Words(ordered(table).column("text")), window)
@@ -174,23 +181,23 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
         rows = [(-1, block, None, None, None, packed(np.sort(later), "<u4"))] if len(later) else []
         key, more, places = key[first], more[first], places[first]
         row = words.text_of[places]
-        doc_ids, starts = table.column("doc_id").fill_null(NULL_ID).to_numpy()[row], places - words.first[row]
+        named, rank, starts = table.column("named").to_numpy()[row], table.column("rank").to_numpy()[row], places - words.first[row]
         for b, x in by_bucket((more >> np.uint64(32)).astype(np.int64) % buckets):
-            rows.append((b, block, key[x].tobytes(), more[x].astype("<u4").tobytes(), packed(doc_ids[x], "<i8") + packed(starts[x], "<i4"), packed(places[x], "<u4")))
+            rows.append((b, block, key[x].tobytes(), more[x].astype("<u4").tobytes(), packed(rank[x], "<i8") + packed(starts[x], "<i4") + np.packbits(named[x]).tobytes(), packed(places[x], "<u4")))
         return rows_table(rows, PIECE)
 
     def first_windows(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:  # found in their own block
             return table.select(["bucket", "block", "places"]).rename_columns(["bucket", "block", "found"])
-        table = table.sort_by("block")  # ties are decided alike however the pieces arrive
         keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
         more = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("more").to_pylist()])
-        where = table.column("doc_ids").to_pylist()
-        doc_ids = np.concatenate([unpacked(x[: 8 * len(k)], "<i8") for x, k in zip(where, keys, strict=True)])
-        starts = np.concatenate([unpacked(x[8 * len(k) :], "<i4") for x, k in zip(where, keys, strict=True)])
+        where = [(x, len(k)) for x, k in zip(table.column("ranks").to_pylist(), keys, strict=True)]
+        rank = np.concatenate([unpacked(x[: 8 * n], "<i8") for x, n in where])
+        starts = np.concatenate([unpacked(x[8 * n : 12 * n], "<i4") for x, n in where])
+        named = np.concatenate([np.unpackbits(np.frombuffer(x[12 * n :], np.uint8), count=n) for x, n in where])
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         keys = np.concatenate(keys)
-        order = np.lexsort((starts, doc_ids, more, keys))
+        order = np.lexsort((starts, rank, named, more, keys))
         earlier = np.zeros(len(keys), bool)
         earlier[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (more[order][1:] == more[order][:-1])
         found = [packed(unpacked(p, "<u4")[e], "<u4") for p, e in zip(table.column("places").to_pylist(), np.split(earlier, cuts), strict=True)]
@@ -212,9 +219,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
             arrays, names = [*arrays, table.column("rest")], [*names, "rest"]
         return pa.table(arrays, names=names)
 
-    symbols = texts.groupBy("block").applyInArrow(ask_symbols, PIECE)
+    symbols = own.groupBy("block").applyInArrow(ask_symbols, PIECE)
     repeated = symbols.groupBy("bucket").applyInArrow(count_symbols, ANSWER)
-    windows = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(ask_windows, PIECE)
+    windows = own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(ask_windows, PIECE)
     answers = windows.groupBy("bucket").applyInArrow(first_windows, ANSWER)
     schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
     if "rest" in own.columns:
