@@ -147,7 +147,7 @@ def hot_group():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("cell", [1 << 11, 5])
+@pytest.mark.parametrize("cell", [1 << 9, 5])
 def test_ngram_join_hot_group(spark, monkeypatch, cell):
     monkeypatch.setattr(ngram_join, "CELL_SETS", cell)
     monkeypatch.setattr(ngram_join, "PART", 20 * cell)

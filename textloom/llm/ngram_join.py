@@ -38,7 +38,7 @@ BACK = "bucket int, block int, found binary, node long, n long, d1 long, d2 long
 SET = "node long, n long, tokens array<long>, first array<long>, place array<int>, second array<long>, third array<long>"
 #: A posting list is paired in parts of about so many classes; a cell has about so many n-grams and classes at most.
 PART = 4096
-CELL_TOKENS, CELL_SETS = 1 << 18, 1 << 11
+CELL_TOKENS, CELL_SETS = 1 << 18, 1 << 9
 
 
 class Sets:
@@ -178,7 +178,8 @@ def candidate_sets(docs: DataFrame, size: int, percent: int, block_bytes: int, b
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     digests = staged(texts.select("block", "doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(digest, DIGEST), "digests")
     same = digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("block").alias("block"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least"))
-    classes = staged(same.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    # Nodes are numbered in the order of the classes' least rows.
+    classes = staged(same.orderBy("least").select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     reps = classes.select("block", "node", "n", "d1", "d2")
     pieces = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(ask, PIECE)
     answers = pieces.groupBy("bucket").applyInArrow(count, ANSWER)
@@ -254,11 +255,12 @@ def common_counts(row: np.ndarray, token: np.ndarray, rows: int, few: int = 32)
 
 def link_counts(sets: DataFrame, best: DataFrame, classes: DataFrame, percent: int, bucket_bytes: int) -> DataFrame:
     """(node, links): how many documents of other classes each class links with; links lie within components."""
-    plain = sets.join(best, "node").join(classes.select("node", "members"), "node").select("component", "node", "n", "members", "tokens", band(F.col("n"), percent).alias("band"))
-    whole = plain.groupBy("component").agg(F.sum(F.size("tokens")).alias("all_tokens"), F.count(F.lit(1)).alias("all_sets"), F.min("band").alias("low"), F.max("band").alias("high"))
-    one = (F.col("all_tokens") <= CELL_TOKENS) & (F.col("all_sets") <= CELL_SETS)
-    banded = plain.join(whole, "component").withColumn("band", F.when(one, F.lit(0)).otherwise(F.col("band"))).drop("all_tokens", "all_sets", "low", "high")
-    sums = staged(banded.groupBy("component", "band").agg(F.sum(F.size("tokens")).alias("t"), F.count(F.lit(1)).alias("s")).select("component", "band", F.greatest(F.ceil(F.col("t") / CELL_TOKENS), F.ceil(F.col("s") / CELL_SETS), F.lit(1)).cast("int").alias("cells")), "cells")
+    sized = sets.select("node", "n", F.size("tokens").cast("long").alias("t"), band(F.col("n"), percent).alias("band"))
+    plain = staged(sized.join(best, "node").join(classes.select("node", "members"), "node"), "members")
+    one = plain.groupBy("component").agg(((F.sum("t") <= CELL_TOKENS) & (F.count(F.lit(1)) <= CELL_SETS)).alias("one"))
+    banded = plain.join(one, "component").withColumn("band", F.when(F.col("one"), F.lit(0)).otherwise(F.col("band")))
+    cells = F.greatest(F.ceil(F.sum("t") / CELL_TOKENS), F.ceil(F.count(F.lit(1)) / CELL_SETS), F.lit(1)).cast("int")
+    sums = staged(banded.groupBy("component", "band").agg(cells.alias("cells")), "cells")
     beside = sums.select("component", (F.col("band") - 1).alias("band"), F.col("cells").alias("above")), sums.select("component", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
     known = sums.join(beside[0], ["component", "band"], "left").join(beside[1], ["component", "band"], "left")
     placed = banded.join(known, ["component", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
@@ -269,10 +271,12 @@ def link_counts(sets: DataFrame, best: DataFrame, classes: DataFrame, percent: i
     own = F.transform(upto("cells"), lambda k: task(here, F.least(cell, k), here, F.greatest(cell, k)))
     above = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda k: task(here, cell, here + 1, k))).otherwise(none)
     below = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda k: task(here - 1, k, here, cell))).otherwise(none)
-    sent = placed.withColumn("task", F.explode(F.concat(own, above, below)))
-    n = max(32, math.ceil((sent.agg(F.coalesce(F.sum(8 * F.size("tokens")), F.lit(0))).first()[0]) / bucket_bytes))
+    tasks = placed.withColumn("task", F.explode(F.concat(own, above, below)))
+    n = max(32, math.ceil(tasks.agg(F.coalesce(F.sum(8 * F.col("t")), F.lit(0))).first()[0] / bucket_bytes))
     key = F.xxhash64("component", "task")
-    sent = sent.select(F.pmod(key, F.lit(n)).cast("int").alias("bucket"), key.alias("key"), "node", "n", "members", "tokens", ((F.col("task.lo") == F.col("task.hi")) & (F.col("task.a") == F.col("task.b"))).alias("alone"), ((here == F.col("task.hi")) & (cell == F.col("task.b"))).alias("second"))
+    alone, second = (F.col("task.lo") == F.col("task.hi")) & (F.col("task.a") == F.col("task.b")), (here == F.col("task.hi")) & (cell == F.col("task.b"))
+    tasks = tasks.select(F.pmod(key, F.lit(n)).cast("int").alias("bucket"), key.alias("key"), "node", "n", "members", alone.alias("alone"), second.alias("second"))
+    sent = tasks.join(sets.select("node", "tokens"), "node")
 
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("node", "ascending")])
