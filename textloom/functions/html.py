@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -199,3 +199,107 @@ def limit_notice(html: Column) -> Column:
     """struct(message, code, link) of a notice page; labels only, empty where the page says nothing."""
     part = lambda p: F.regexp_extract(html, p, 1)
     return F.struct(plain(part(r'(?s)<p class="notice">(.*?)</p>')).alias("message"), part(r"<code>([^<]+)</code>").alias("code"), unescaped(part(r'<a class="more" href="([^"]+)"')).alias("link"))
+
+
+def own_story(objects: Column, slug: Column) -> Column:
+    """Of the objects found in a page (maps with storySlug or slug and a title), the one that the page is about: its
+    slug is the address's; storySlug is asked first. Null rather than another book's."""
+    by = lambda key: F.get(F.filter(objects, lambda o: (o[key] == slug) & o["title"].isNotNull()), F.lit(0))
+    return F.coalesce(by("storySlug"), by("slug"))
+
+
+def ai_paragraphs(html: Column) -> Column:
+    """Paragraphs of a streamed text, or else all, without citation links and blank ones."""
+    every = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
+    marked = every(r'(?s)<p\b[^>]*class="[^"]*\bfade-in-paragraph\b[^"]*"[^>]*>(.*?)</p>')
+    kept = F.when(F.size(marked) > 0, marked).otherwise(every(r"(?s)<p\b[^>]*>(.*?)</p>"))
+    bare = lambda p: F.regexp_replace(p, r'(?s)<a\b[^>]*class="[^"]*\bcitation-anchor\b[^"]*"[^>]*>.*?</a>', "")
+    return F.filter(F.transform(kept, lambda p: plain(F.regexp_replace(bare(p), "<[^>]*>", " "))), lambda p: p != "")
+
+
+def paragraphs_of(text: Column) -> Column:
+    """Lines of a text that are not blank; where it has markup, without the tags."""
+    bare = F.when(F.contains(text, F.lit("<")) & F.contains(text, F.lit(">")), unescaped(F.regexp_replace(text, "<[^>]*>", "\n"))).otherwise(text)
+    return F.filter(F.transform(F.split(bare, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def reading_order(rows: DataFrame, key: str) -> DataFrame:
+    """(key, idx, title, url) of a table of contents from (key, base, pos, href, title): links without a chapter number
+    are dropped, of equal absolute addresses the first stays, and rows are ordered by number and place."""
+    from textloom.functions.lines import chapter_number
+
+    numbered = rows.withColumn("number", chapter_number(F.col("href"))).where("number IS NOT NULL").withColumn("url", resolved("base", "href"))
+    first = numbered.withColumn("k", F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))).where("k = 1")
+    title = F.trim(F.regexp_replace("title", r"(?U)\s+", " "))
+    return first.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("number", "pos")) - 1).alias("idx"), title.alias("title"), "url")
+
+
+class Prose(HTMLParser):
+    """The text of every block outside navigation, headers, footers and asides, with its depth."""
+
+    ASIDE = {"nav", "header", "footer", "aside", "script", "style"}
+    VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr"}
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, list[str]]] = []
+        self.done: list[tuple[str, int]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in self.VOID:
+            if tag == "p" and self.open and self.open[-1][0] == "p":
+                self.handle_endtag("p")
+            self.open.append((tag, []))
+
+    def handle_endtag(self, tag: str) -> None:
+        while any(t == tag for t, _ in self.open):
+            closed, parts = self.open.pop()
+            if closed not in self.ASIDE and self.open:
+                self.open[-1][1].extend(parts)
+            if closed in BLOCK_TAGS and not any(t in self.ASIDE for t, _ in self.open):
+                self.done.append(("\n".join(parts), len(self.open)))
+            if closed == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.open and data.strip():
+            self.open[-1][1].append(data.strip())
+
+
+BLOCK_TAGS = {"article", "section", "div", "p"}
+
+
+def read_tightest(html: str | None, least: int = 200) -> str:
+    parser = Prose()
+    parser.feed(html or "")
+    for tag, _ in reversed(list(parser.open)):
+        parser.handle_endtag(tag)
+    blocks = [b for b in parser.done if len(b[0]) >= least]
+    longest = max((len(text) for text, _ in blocks), default=0)
+    return max((b for b in blocks if len(b[0]) >= 0.95 * longest), key=lambda b: b[1], default=("", 0))[0]
+
+
+@pandas_udf(T.StringType())
+def tightest_block(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The deepest block that holds at least 95 % of the longest block's text; empty where none has 200 characters."""
+    for page in pages:
+        yield page.map(read_tightest)
+
+
+def read_bytes(raw: bytes | None, declared: str | None, fallback: str) -> str:
+    for charset in (declared or "utf-8", fallback):
+        try:
+            return (raw or b"").decode(charset)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return (raw or b"").decode(fallback, "replace")
+
+
+def decoded(raw: Column, declared: Column, fallback: str = "gb18030") -> Column:
+    """Bytes of a page as text: as declared where the bytes are that, else by ``fallback``, which pages of the wrong declaration use."""
+
+    @pandas_udf(T.StringType())
+    def run(raw: pd.Series, declared: pd.Series) -> pd.Series:
+        return pd.Series([read_bytes(r, d, fallback) for r, d in zip(raw, declared, strict=True)])
+
+    return run(raw, declared)

@@ -5,6 +5,7 @@ All are folds and built-in functions, so they stay in the JVM. A null text count
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -73,7 +74,8 @@ def paragraphs(text: Column, delimiter: str) -> Column:
 
 
 def paragraph_chunks(text: Column, limit: int, delimiter: str = "\n\n") -> Column:
-    return packed(paragraphs(text, delimiter), limit, delimiter)
+    """Paragraphs as they stand, indents too, without blank ones, packed into chunks."""
+    return packed(F.filter(F.split(text, re.escape(delimiter), -1), lambda p: stripped(p) != ""), limit, delimiter)
 
 
 def sentences(paragraph: Column) -> Column:
@@ -128,27 +130,34 @@ def han_count(text: Column) -> Column:
 
 
 def numbered_title(idx: Column, title: Column) -> Column:
-    """``Chương n: `` before the title, n counted from 1, unless it opens with a chapter mark."""
-    marked = r"(?iu)^\s*(?:ch[uư][oơ]ng|chapter)\s*\d|^\s*第\s*[\d〇零一二三四五六七八九十百千两]+\s*章"
-    return F.when(F.regexp_like(title, F.lit(marked)), title).otherwise(F.concat(F.lit("Chương "), (idx + 1).cast("string"), F.lit(": "), title))
+    """``Chương n: `` before the title, n counted from 1, unless it opens with a chapter mark: the word
+    in Vietnamese (with or without accents) or English and a number, or 第, a number, 章."""
+    word, han = r"\s*(?:chương|chuong|chưong|chuơng|chapter)\s*\d", r"\s*第\s*[\d〇零一二三四五六七八九十百千两]+\s*章"
+    marked = F.regexp_like(title, F.lit(f"(?iu)^{word}")) | F.regexp_like(title, F.lit(f"^{han}"))
+    return F.when(marked, title).otherwise(F.concat(F.lit("Chương "), (idx + 1).cast("string"), F.lit(": "), title))
 
 
 def slug(text: Column, limit: int = 40) -> Column:
-    """Lower-case ASCII words joined by hyphens; accents are dropped with their letters' bases kept where
-    the letter decomposes (table of the Latin ranges), others vanish; an empty slug is ``novel``."""
-    plain = F.translate(text, *accents())
+    """Lower-case ASCII words joined by hyphens. Every character gives the ASCII letters and digits of its
+    compatibility decomposition, so accents go, full-width forms become plain and ligatures
+    several letters; others vanish, and an empty slug is ``novel``."""
+    one, many = decompositions()
+    spelled = F.split(F.lit("\x00".join(many.values())), "\x00")
+    letters = F.regexp_extract_all(text, F.lit("[" + "".join(map(re.escape, many)) + "]"), F.lit(0))
+    plain = F.aggregate(letters, F.translate(text, "".join(one), "".join(one.values())), lambda out, c: F.replace(out, c, F.element_at(spelled, F.instr(F.lit("".join(many)), c))))
     out = F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^a-zA-Z0-9]+", "-")
     return F.coalesce(F.nullif(F.substring(F.lower(F.regexp_replace(out, "^-+|-+$", "")), 1, limit), F.lit("")), F.lit("novel"))
 
 
-def accents() -> tuple[str, str]:
-    """Latin letters with marks and their bases, by Unicode decomposition; d with stroke is d."""
-    pairs = {"đ": "d", "Đ": "D"}
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+@functools.cache
+def decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has one ASCII character, and those with several; d with stroke is d."""
+    one, many = {"đ": "d", "Đ": "D"}, {}
+    for code in range(0x80, 0x20000):
         base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(base) == 1:
-            pairs[chr(code)] = base
-    return "".join(pairs), "".join(pairs.values())
+        if base:
+            (one if len(base) == 1 else many)[chr(code)] = base
+    return one, many
 
 
 def safe_name(name: Column, limit: int = 100) -> Column:
@@ -163,7 +172,7 @@ def safe_name(name: Column, limit: int = 100) -> Column:
 
 def parse_size(text: Column) -> Column:
     """Bytes of a localised size such as ``8,3 KB`` or ``1.234 byte``; null for anything else."""
-    pattern = r"(?i)([\d.,]+)\s*(byte|bytes|B|KB|MB|GB|TB)\b"
+    pattern = r"(?i)([0-9][0-9.,]*)\s*(" + "|".join(("bytes?", "b", *(f"{k}b" for k in "kmgt"))) + r")(?![\p{L}\d])"
     number = F.replace(F.replace(F.regexp_extract(text, pattern, 1), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     unit = F.lower(F.regexp_extract(text, pattern, 2))
     power = F.when(unit == "kb", 1024).when(unit == "mb", 1024**2).when(unit == "gb", 1024**3).when(unit == "tb", 1024**4).otherwise(1)
@@ -188,8 +197,10 @@ def part_range(name: Column) -> Column:
 
 
 def clean_tag(raw: Column) -> Column:
-    """Without bullets, quotes, leading hashes and doubled spaces."""
-    return stripped(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(stripped(raw), r"^\s*(?:[-*•]|\d+[.)])\s*", ""), r"^[\s\"']+|[\s\"']+$", ""), "^#+", ""), r"(?U)\s+", " "))
+    """Without a list mark (hyphen, star, dot, or number with a dot or bracket), quotes, leading hashes and doubled spaces."""
+    unmarked = F.regexp_replace(stripped(raw), r"^(?:[*•-]|[0-9]+[.)])\s*", "")
+    unquoted = F.regexp_replace(unmarked, "^[\\s\"']+|[\\s\"']+$", "")
+    return stripped(F.regexp_replace(F.regexp_replace(unquoted, "^#+", ""), r"(?U)\s+", " "))
 
 
 def tags(raw: Column, budget: int = 500) -> Column:
@@ -209,3 +220,14 @@ def tags(raw: Column, budget: int = 500) -> Column:
         )
 
     return F.aggregate(pieces, start, step, lambda acc: acc["kept"])
+
+
+def voice_chunks(title: Column, body: Column, least: int = 30, limit: int = 400, extra: str = "", cleaned: bool = True) -> Column:
+    """The chunks that a chapter is read aloud in: title and body, cleaned, cut into sentences and merged."""
+    text = F.when(title != "", F.concat(title, F.lit("\n\n"), body)).otherwise(body)
+    return merge_short(sentence_chunks(clean(text, extra) if cleaned else text, limit), least, limit)
+
+
+def glossary_pairs(names: Column, readings: Column) -> Column:
+    """A glossary as a map, from names that have a reading."""
+    return F.map_from_entries(F.filter(F.arrays_zip(names.alias("key"), readings.alias("value")), lambda z: z["value"].isNotNull() & (z["value"] != "")))

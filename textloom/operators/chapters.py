@@ -141,7 +141,7 @@ def edit_title(rows: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def reset_title(rows: DataFrame, which: DataFrame) -> DataFrame:
-    title = F.when(F.col("title_custom") & (F.col("title_source") != ""), F.col("title_source")).otherwise(F.col("title"))
+    title = F.when(F.col("title_source") != "", F.col("title_source")).otherwise(F.col("title"))
     return updated(rows, which, title=title, title_custom=F.lit(False))
 
 
@@ -160,3 +160,79 @@ def apply_changes(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Writes the very values that ``find`` showed."""
     value = lambda c: F.get(F.filter("new_changes", lambda x: x["field"] == c), F.lit(0))["new"]
     return updated(rows, found, **{c: F.coalesce(value(c), F.col(c)) for c in EDITABLE})
+
+
+def delete_row(rows: DataFrame, which: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table without the rows of ``which`` (project, idx), and those rows; numbers of the others stay, gaps too."""
+    keys = ["project", "idx"]
+    return rows.join(which.select(*keys), keys, "left_anti"), rows.join(which.select(*keys), keys, "left_semi")
+
+
+def edit_translation(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """Writes the fields of ``edits`` (translated_title, translated) that are not null; engine, language and status stay."""
+    given = [c for c in ("translated_title", "translated") if c in edits.columns]
+    return updated(rows, edits.select("project", "idx", *given), **{c: F.coalesce(F.col(f"new_{c}"), F.col(c)) for c in given})
+
+
+def save_audio(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """``made``: audio_path, audio_voice, audio_seconds and, or else ``translated``, audio_source; an earlier error is cleared."""
+    source = F.coalesce("new_audio_source", F.lit("translated")) if "audio_source" in made.columns else F.lit("translated")
+    return updated(rows, made, audio_path=F.col("new_audio_path"), audio_voice=F.col("new_audio_voice"), audio_seconds=F.col("new_audio_seconds"), audio_source=source, audio_error=F.lit(""))
+
+
+def mark_audio_error(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    return updated(rows, errors, audio_error=F.col("new_audio_error"))
+
+
+def clear_audio(rows: DataFrame) -> DataFrame:
+    blank = {"audio_path": F.lit(""), "audio_voice": F.lit(""), "audio_seconds": F.lit(0.0), "audio_error": F.lit("")}
+    return rows.select(*(blank[c].alias(c) if c in blank else F.col(c) for c in rows.columns))
+
+
+def identity_fill(rows: DataFrame, lang: str) -> DataFrame:
+    """Where source and target language are one, the text is its own translation."""
+    fill = {"translated": F.col("content"), "translated_title": F.col("title"), "target_lang": F.lit(lang), "translator": F.lit("identity"), "status": F.lit("translated"), "error": F.lit("")}
+    due = has("content") & (~has("translated") | (F.col("target_lang") != lang))
+    return rows.select(*(F.when(due, fill[c]).otherwise(F.col(c)).alias(c) if c in fill else F.col(c) for c in rows.columns))
+
+
+def land_translated(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts that arrive translated (content, translator, target_lang) are content and translation at once."""
+    both = {"content": F.col("new_content"), "translated": F.col("new_content"), "translator": F.col("new_translator"), "target_lang": F.col("new_target_lang"), "status": F.lit("translated"), "error": F.lit("")}
+    return updated(rows, texts, **both)
+
+
+def replaced(rows: DataFrame, search: str, new: str, fields: tuple[str, ...] = EDITABLE, ignore_case: bool = False) -> DataFrame:
+    """What applying all of ``find``'s changes gives, in one pass without a join."""
+    from textloom.functions.text import literal_replace
+
+    return rows.select(*(literal_replace(F.col(c), search, new, ignore_case).alias(c) if c in fields else F.col(c) for c in rows.columns))
+
+
+def voiced_files(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows whose audio file is in a listing (project, relpath)."""
+    return rows.join(listing.select("project", F.col("relpath").alias("audio_path")), ["project", "audio_path"], "left_semi").select(*rows.columns)
+
+
+def shown_status(use_translation: bool) -> Column:
+    """What a list shows of a row's voice: no text yet, an error, made, or not made."""
+    text, missing = (has("translated"), "not translated") if use_translation else (has("content"), "not fetched")
+    return F.when(~text, missing).when(has("audio_error"), "error").when(has("audio_path"), "made").otherwise("not made")
+
+
+def regenerable(rows: DataFrame, chosen: DataFrame, use_translation: bool) -> tuple[DataFrame, DataFrame]:
+    """The chosen rows (project, idx) that have the text, each once and in order; and by project how many have not."""
+    keys = ["project", "idx"]
+    picked = rows.join(chosen.select(*keys).distinct(), keys, "left_semi")
+    text = has("translated") if use_translation else has("content")
+    return picked.where(text).select(*keys).orderBy(*keys), picked.groupBy("project").agg(F.count_if(~text).alias("dropped"))
+
+
+def first_missing(rows: DataFrame, missing: Column, most: int) -> DataFrame:
+    """(project, included, skipped, first): counts, and the first few missing idx; no more than these are gathered."""
+    from pyspark.sql import Window
+
+    counted = rows.groupBy("project").agg(F.count_if(~missing).alias("included"), F.count_if(missing).alias("skipped"))
+    ranked = rows.where(missing).select("project", "idx", F.row_number().over(Window.partitionBy("project").orderBy("idx")).alias("k")).where(F.col("k") <= most)
+    first = ranked.groupBy("project").agg(F.array_sort(F.collect_list("idx")).alias("first"))
+    return counted.join(first, "project", "left").withColumn("first", F.coalesce("first", F.array().cast("array<long>")))

@@ -23,6 +23,92 @@ def refreshed(old: DataFrame, scanned: DataFrame, key: str = "url") -> DataFrame
     return old.join(new, key, "left").select(*(F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in have else F.col(c) for c in old.columns))
 
 
+#: The groups of fields that are written together; each is a setter of its own.
+GROUPS = {
+    "translation": ("translated_title", "translated_description", "translated_author", "translated_lang"), "scan": SCRAPED, "tags": ("tags",), "thumbnail": ("thumbnail_prompt",),
+    "display": ("display_title",), "image": ("video_image_path",), "playlist": ("upload_playlist",), "video": ("video_settings",), "visibility": ("upload_visibility",),
+}
+
+
+def set_fields(metas: DataFrame, group: str, values: DataFrame, key: str = "project") -> DataFrame:
+    """``metas`` with one group's fields written for the projects in ``values``; all others stay as they are."""
+    fields = [c for c in GROUPS[group] if c in values.columns]
+    new = values.select(key, *(F.col(c).alias(f"new_{c}") for c in fields), F.lit(True).alias("hit"))
+    return metas.join(new, key, "left").select(*(F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in metas.columns))
+
+
+def seeded(metas: DataFrame, refs: DataFrame) -> DataFrame:
+    """The pending rows of new projects (title, url) from their contents (url, idx, title, chapter_url)."""
+    from textloom.operators.chapters import conformed
+
+    keyed = metas.select("url", project_key(F.col("title"), F.col("url")).alias("project"))
+    return conformed(refs.join(keyed, "url").select("project", "idx", "title", F.col("chapter_url").alias("url")))
+
+
+def without_project(table: DataFrame, project: str) -> DataFrame:
+    """The table's next version without a project. A name that is blank or leaves the library is refused."""
+    if not project.strip() or "/" in project or "\\" in project or project in (".", ".."):
+        raise ValueError(f"not a project of the library: {project!r}")
+    return table.where(F.col("project") != project)
+
+
+def project_folders(listing: DataFrame) -> DataFrame:
+    """The folders in a listing (relpath) that hold both a meta and a chapter file."""
+    part = listing.select(F.regexp_extract("relpath", "^([^/]+)/([^/]+)$", 1).alias("project"), F.regexp_extract("relpath", "^([^/]+)/([^/]+)$", 2).alias("name"))
+    return part.where("project <> ''").groupBy("project").agg(F.bool_or(F.col("name") == "meta.json").alias("meta"), F.bool_or(F.col("name") == "chapters.db").alias("rows")).where("meta AND rows").select("project")
+
+
+def by_url(metas: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, project): for each address that is not blank the first project, by name, that has it."""
+    found = metas.where(F.trim("url") != "").groupBy("url").agg(F.min("project").alias("project"))
+    return urls.select("url").distinct().join(found, "url")
+
+
+def settled(stored: Column, name: str, default: Column, user: Column | None = None) -> Column:
+    """A setting as stored, else the user's own, else the default."""
+    layers = [stored[F.lit(name)], *([user[F.lit(name)]] if user is not None else [])]
+    return F.coalesce(*layers, default)
+
+
+def one_writer(claims: DataFrame) -> DataFrame:
+    """Of the claims (project, worker, at) on each project the one that holds it: the earliest, by name where two are as early."""
+    return claims.groupBy("project").agg(F.min_by("worker", F.struct("at", "worker")).alias("worker"))
+
+
+def request_problem(visibility: Column, suffix: Column, size: Column) -> Column:
+    """Why an upload request is refused; null if it is not."""
+    known = visibility.isin("public", "private", "unlisted")
+    return F.when(~F.coalesce(known, F.lit(False)), "visibility").when(~F.coalesce(F.lower(suffix).isin(".png", ".jpg", ".jpeg"), F.lit(False)), "suffix").when(~F.coalesce(size <= 2 << 20, F.lit(False)), "size")
+
+
+def destination(recorded: Column, computed: Column) -> Column:
+    """Where a project's copies go: where they went before, whatever its name is now."""
+    return F.coalesce(F.nullif(F.trim(recorded), F.lit("")), computed)
+
+
+def export_name(title: Column, translated_title: Column, use_translation: bool, extension: str) -> Column:
+    shown = F.when(translated_title != "", translated_title).otherwise(title) if use_translation else title
+    return F.concat(slug(shown), F.lit(extension))
+
+
+def markdown(book: dict[str, Column], skipped: Column, skipped_first: Column, chapters: Column, use_translation: bool) -> Column:
+    """A book as Markdown: title, original title, author, description, source, what is missing, then the chapters.
+
+    ``book``: title, translated_title, author, description and note; ``skipped_first``: titles of the
+    first missing chapters; ``chapters``: array(struct(title, body)) in order.
+    """
+    filled = lambda c, text: F.when(c != "", F.concat(text, F.lit("\n\n"))).otherwise("")
+    title = F.when(book["translated_title"] != "", book["translated_title"]).otherwise(book["title"]) if use_translation else book["title"]
+    original = filled(book["translated_title"], F.concat(F.lit("*Tên gốc: "), book["title"], F.lit("*"))) if use_translation else F.lit("")
+    names = F.concat(F.array_join(F.slice(skipped_first, 1, 10), ", "), F.when(skipped > 10, "…").otherwise(""))
+    missing = F.when(skipped > 0, F.concat(F.lit("*Bỏ qua "), skipped.cast("string"), F.lit(" chương chưa có nội dung: "), names, F.lit("*\n\n"))).otherwise("")
+    body = F.array_join(F.transform(chapters, lambda c: F.concat(F.lit("## "), c["title"], F.lit("\n\n"), c["body"], F.lit("\n"))), "\n")
+    return F.concat(
+        F.lit("# "), title, F.lit("\n\n"), original, filled(book["author"], F.concat(F.lit("**Tác giả:** "), book["author"])),
+        filled(book["description"], F.concat(F.lit("> "), F.replace(book["description"], F.lit("\n"), F.lit("\n> ")))), filled(book["note"], F.concat(F.lit("*"), book["note"], F.lit("*"))), missing, body,
+    )
+
+
 def source_note(url: Column, by: str) -> Column:
     """A line that names the source; none for texts that have no real address."""
     return F.when(F.regexp_like(url, F.lit("^https?://")), F.concat(F.lit("Nguồn: "), url, F.lit(f" — {by}"))).otherwise("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.lines import folded
 from textloom.functions.text import file_number, part_range
 
 TOLERANCE_S = 2.0
@@ -38,11 +39,11 @@ def batches(items: DataFrame, keys: list[str], order: list[str], max_files: int
 
 
 def landed(expected: DataFrame, remote: DataFrame) -> DataFrame:
-    """Expected files (name, size) that are absent or present at another size: 12 % and a byte are tolerated, and a
-    size that cannot be read counts as right."""
-    there = remote.select("name", F.col("size").alias("r_size"), F.lit(True).alias("there"))
+    """Expected files (name, size) that are absent or present at another size: names are compared without
+    regard to case and outer blanks, 12 % and a byte are tolerated, and a size that cannot be read counts as right."""
+    there = remote.select(folded(F.col("name")).alias("_name"), F.col("size").alias("r_size"), F.lit(True).alias("there"))
     fits = F.col("r_size").isNull() | F.when(F.col("size") == 0, F.col("r_size") == 0).otherwise(F.abs(F.col("r_size") - F.col("size")) <= F.greatest(F.col("size") * 0.12, F.lit(1.0)))
-    return expected.join(there, "name", "left").where(F.col("there").isNull() | ~fits).select(*expected.columns)
+    return expected.withColumn("_name", folded(F.col("name"))).join(there, "_name", "left").where(F.col("there").isNull() | ~fits).select(*expected.columns)
 
 
 def safe_to_delete(local: Column, remote: Column) -> Column:
@@ -62,9 +63,9 @@ def covered(parts: DataFrame, with_subtitles: bool = False) -> DataFrame:
 def retention_plan(audio: DataFrame, parts: DataFrame) -> DataFrame:
     """Audio files (project, name, size) that a rendered part holds, with the reason; cue files need a part with
     subtitles as well."""
-    numbered = audio.withColumn("number", file_number(F.col("name")))
-    sound = numbered.where(F.endswith("name", F.lit(AUDIO[0])) | F.endswith("name", F.lit(AUDIO[1])))
-    cues = numbered.where(F.endswith("name", F.lit(CUES)))
+    numbered, name = audio.withColumn("number", file_number(F.col("name"))), F.lower("name")
+    sound = numbered.where(F.endswith(name, F.lit(AUDIO[0])) | F.endswith(name, F.lit(AUDIO[1])))
+    cues = numbered.where(F.endswith(name, F.lit(CUES)))
     one = sound.join(covered(parts), ["project", "number"], "left_semi").withColumn("reason", F.lit("in a rendered part"))
     two = cues.join(covered(parts, True), ["project", "number"], "left_semi").withColumn("reason", F.lit("in a part with subtitles"))
     return one.unionByName(two)
@@ -80,3 +81,73 @@ def upload_state(raw: Column) -> Column:
     """The status in a state document: missing is empty, unreadable is ``unknown``, never empty."""
     parsed = F.try_parse_json(raw)
     return F.when(raw.isNull() | (raw == ""), "").when(parsed.isNull(), "unknown").otherwise(F.coalesce(F.try_variant_get(parsed, "$.status", "string"), F.lit("")))
+
+
+# The states of an upload that nobody but a person may settle.
+UNRESOLVED = ("started", "draft", "committed", "unknown")
+
+
+def lifecycle(raw: Column) -> Column:
+    """struct(status, video_id, published, unresolved, draft, uploadable) of a state document."""
+    status = upload_state(raw)
+    video_id = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.video_id", "string"), F.lit(""))
+    empty = F.coalesce(F.regexp_like(raw, F.lit(r"^\s*(\{\s*\}\s*)?$")), F.lit(True))
+    return F.struct(
+        status.alias("status"), video_id.alias("video_id"), (status == "published").alias("published"), status.isin(*UNRESOLVED).alias("unresolved"),
+        ((video_id != "") & (status != "published")).alias("draft"), empty.alias("uploadable"),
+    )
+
+
+def video_candidates(files: DataFrame, states: DataFrame) -> DataFrame:
+    """Published videos: ``files`` (project, folder, name, size) of rendered parts with a state (project, folder, json)
+    that says so. Candidates only; a look at the store must confirm each."""
+    done = states.where(lifecycle(F.col("json"))["published"]).select("project", "folder")
+    return files.where(F.endswith(F.lower("name"), F.lit(".mp4"))).join(done, ["project", "folder"], "left_semi")
+
+
+def pending_parts(rendered: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """Rendered parts that are neither published nor left unresolved."""
+    life = lifecycle(F.col("json"))
+    return rendered.join(states.where(life["published"] | life["unresolved"]).select(*keys), keys, "left_anti")
+
+
+def with_remote_id(rendered: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    return rendered.join(states.where(lifecycle(F.col("json"))["video_id"] != "").select(*keys), keys, "left_semi")
+
+
+def claims_backed_up(items: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(relpath, backed_up): whether the manifest believes it sent each file as it is now. A belief, not evidence."""
+    return plan_uploads(items, manifest).select("relpath", (~F.col("send")).alias("backed_up"))
+
+
+def unrendered(windows: DataFrame, rendered: DataFrame, speed: float) -> DataFrame:
+    """By project, of the windows (project, first, last, chapters, seconds) without a rendered part (project, first, last): how
+    many, their chapters and seconds, and the hours that rendering takes."""
+    left = windows.join(rendered, ["project", "first", "last"], "left_anti")
+    return left.groupBy("project").agg(F.count(F.lit(1)).alias("parts"), F.sum("chapters").alias("chapters"), F.sum("seconds").alias("seconds"), (F.sum("seconds") / 3600 / speed).alias("hours"))
+
+
+def state_log(kind: str, keys: DataFrame, at: Column) -> DataFrame:
+    """Log rows (keys, at, fields) of a hand's marks: ``published`` without an id, or ``cleared``, a tombstone."""
+    fields = {"published": F.create_map(F.lit("status"), F.lit("published"), F.lit("marked_by_hand"), F.lit("true")), "cleared": F.lit(None).cast("map<string,string>")}
+    return keys.select("*", at.alias("at"), fields[kind].alias("fields"))
+
+
+def state_of_log(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The state that a log (keys, at, fields) adds up to; what stands before the last tombstone counts no more."""
+    cleared = log.where("fields IS NULL").groupBy(*keys).agg(F.max("at").alias("cleared"))
+    live = log.where("fields IS NOT NULL").join(cleared, keys, "left").where("cleared IS NULL OR at > cleared")
+    each = live.select(*keys, "at", F.explode("fields").alias("field", "value")).groupBy(*keys, "field").agg(F.max_by("value", "at").alias("value"))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("state"))
+
+
+def remote_sizes(names: Column, sizes: Column) -> Column:
+    """A map of names to sizes; where the two columns do not match, every size is unknown."""
+    unknown = F.transform(names, lambda n: F.lit(None).cast("long"))
+    return F.map_from_arrays(names, F.when(F.size(names) == F.size(sizes), sizes).otherwise(unknown))
+
+
+def only_folders(names: Column, kinds: Column) -> Column:
+    """The names whose kind beside them is a folder; none where the columns do not match."""
+    picked = F.filter(F.arrays_zip(names.alias("n"), kinds.alias("k")), lambda z: F.lower(F.trim(z["k"])) == "folder")
+    return F.when(F.size(names) == F.size(kinds), F.transform(picked, lambda z: z["n"])).otherwise(F.array().cast("array<string>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lines as ln
 from textloom.functions import timeline as tl
+from textloom.operators import chapters as ch
 from textloom.plans.base import CHAPTERS_SQL, chapters
 from textloom.sources.tables import table
 
@@ -22,13 +23,12 @@ def query(sql: str):
     return add
 
 
-@query("""WITH l AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Uploaded ' || o_custkey || ' files' WHEN 1 THEN 'Uploading ' || o_custkey || ' items, ' || o_custkey % 101 || ' %' WHEN 2 THEN 'Uploaded 100%' ELSE 'idle' END AS line FROM orders)
-  SELECT o_orderkey, regexp_matches(line, '(?i)uploaded') AS done, try_cast(regexp_extract(line, '(\\d+)\\s*(?:items?|files?)', 1) AS INT) AS count, try_cast(regexp_extract(line, '(\\d{1,3})\\s*%', 1) AS INT) AS percent FROM l""".replace("\\\\", "\\"))
+@query("""SELECT o_orderkey, k IN (0, 2, 3, 4) AS done, CASE WHEN k IN (0, 1) THEN o_custkey::INT END AS count, CASE k WHEN 1 THEN 17 WHEN 2 THEN 100 WHEN 4 THEN 17 END AS percent, k IN (0, 2, 4) AS video_done FROM (SELECT o_orderkey, o_custkey, o_orderkey % 6 AS k FROM orders)""")
 def progress_lines(spark, sf):
-    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    line = F.when(key % 4 == 0, F.concat(F.lit("Uploaded "), cust, F.lit(" files"))).when(key % 4 == 1, F.concat(F.lit("Uploading "), cust, F.lit(" items, "), (F.col("o_custkey") % 101).cast("string"), F.lit(" %"))).when(key % 4 == 2, "Uploaded 100%").otherwise("idle")
-    p = ln.progress(line)
-    return table(spark, sf, "orders").select("o_orderkey", p["done"].alias("done"), p["count"].alias("count"), p["percent"].alias("percent"))
+    k, cust = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    line = F.when(k == 0, F.concat(F.lit("Uploaded "), cust, F.lit(" files"))).when(k == 1, F.concat(F.lit("Đang tải lên "), cust, F.lit(" mục, 17 %"))).when(k == 2, "Uploading 100%").when(k == 3, "Hoàn tất").when(k == 4, "Upload complete. Now processing 17%").otherwise("idle")
+    p, video = ln.progress(line), ln.progress(line, "video")
+    return table(spark, sf, "orders").select("o_orderkey", p["done"].alias("done"), p["count"].alias("count"), p["percent"].alias("percent"), video["done"].alias("video_done"))
 
 
 @query("""SELECT p_partkey, regexp_replace(p_partkey || '. ' || p_name, '^\\s*\\d+\\s*[.、]\\s*', '') AS title, trim(regexp_replace(p_name || ' NEW VIP', '(?:\\s*(?:NEW|VIP))+\\s*$', '')) AS plain FROM part""".replace("\\\\", "\\"))
@@ -36,17 +36,20 @@ def title_strips(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ln.without_index(F.concat(F.col("p_partkey").cast("string"), F.lit(". "), "p_name")).alias("title"), ln.without_badges(F.concat("p_name", F.lit(" NEW VIP")), ["NEW", "VIP"]).alias("plain"))
 
 
-@query("""SELECT page_id, try_cast(coalesce(nullif(regexp_extract(split_part(url, '?', 1), '/(\\d+)[^/]*/?$', 1), ''), regexp_extract_all(split_part(url, '?', 1), '\\d+')[-1]) AS BIGINT) AS number, list_filter(string_split(regexp_replace(split_part(url, '?', 1), '^https?:/', ''), '/'), lambda x: x <> '')[1] AS host FROM pages""".replace("\\\\", "\\"))
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id WHEN 1 THEN 1715 WHEN 2 THEN NULL ELSE page_id END AS number, list_filter(string_split(regexp_replace(split_part(url, '?', 1), '^https?:/', ''), '/'), lambda x: x <> '')[1] AS host FROM pages""")
 def chapter_numbers(spark, sf):
-    path = F.substring_index("url", "?", 1)
-    return table(spark, sf, "pages").select("page_id", ln.chapter_number(path).alias("number"), F.get(ln.segments(F.regexp_replace(path, "^https?:/", "")), F.lit(0)).alias("host"))
+    k, key = F.col("page_id") % 4, F.col("page_id").cast("string")
+    href = F.when(k == 0, F.concat(F.lit("/truyen/7/chuong-"), key, F.lit("-vao-bo-9"))).when(k == 1, "/truyen/chuong-lau-don-3-chuong-1715").when(k == 2, F.concat(F.lit("/book"), key, F.lit("/part"))).otherwise(F.concat(F.lit("/chuong-1/chuong-"), key))
+    return table(spark, sf, "pages").select("page_id", ln.chapter_number(href).alias("number"), F.get(ln.segments(F.regexp_replace(F.substring_index("url", "?", 1), "^https?:/", "")), F.lit(0)).alias("host"))
 
 
-@query("""WITH l AS (SELECT user_id, string_agg(CASE WHEN event_type = 'purchase' THEN 'ApiError: ApiError: ' || event_id ELSE event_type END, chr(10) ORDER BY ts, event_id) AS log FROM events GROUP BY user_id),
-  e AS (SELECT user_id, string_split(log, chr(10)) AS ls FROM l), p AS (SELECT user_id, coalesce(list_filter(ls, lambda x: regexp_matches(x, '(?i)error|exception|failed'))[-1], ls[-1]) AS line FROM e)
-  SELECT user_id, replace(line, 'ApiError: ApiError', 'ApiError') AS error FROM p""")
+@query("""WITH l AS (SELECT user_id, max((ts, event_id)) FILTER (event_type IN ('purchase', 'error')) AS last FROM events GROUP BY user_id)
+  SELECT l.user_id, CASE WHEN e.event_id IS NULL THEN '' WHEN event_type = 'error' THEN 'hết hạn mức (quota) (reset sau 2h' || e.event_id || 'm)' ELSE 'call ' || e.event_id || ' failed' END AS error FROM l LEFT JOIN events e ON e.event_id = last[2]""")
 def error_logs(spark, sf):
-    said = F.when(F.col("event_type") == "purchase", F.concat(F.lit("ApiError: ApiError: "), F.col("event_id").cast("string"))).otherwise(F.col("event_type"))
+    """Logs in which purchases stand for a message that is said twice, and errors for a used-up quota."""
+    key = F.col("event_id").cast("string")
+    twice = F.concat(F.lit("call "), key, F.lit(" failed"))
+    said = F.when(F.col("event_type") == "purchase", F.concat(F.lit("E0705 12:34:56 a.go:1] "), twice, F.lit(": "), twice)).when(F.col("event_type") == "error", F.concat(F.lit("E0705 12:34:56 a.go:1] RESOURCE_EXHAUSTED. Resets in 2h"), key, F.lit("m."))).otherwise(F.concat(F.lit("I0705 no error] "), "event_type"))
     log = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", said.alias("s")))).alias("rows"))
     return log.select("user_id", ln.last_error(F.array_join(F.transform("rows", lambda r: r["s"]), "\n")).alias("error"))
 
@@ -60,8 +63,9 @@ def word_wrap(spark, sf):
 @query("""WITH {ch}, p AS (SELECT project, list(idx ORDER BY idx) AS ids FROM ch WHERE status = 'error' GROUP BY project)
   SELECT project, array_to_string(list_slice(ids, 1, 4), ', ') || CASE WHEN len(ids) > 4 THEN ', … +' || (len(ids) - 4) ELSE '' END AS shown FROM p""")
 def top_preview(spark, sf):
-    ids = chapters(spark, sf).where("status = 'error'").groupBy("project").agg(F.array_sort(F.collect_list("idx")).alias("ids"))
-    return ids.select("project", ln.preview(F.transform("ids", lambda i: i.cast("string")), 4).alias("shown"))
+    found = ch.first_missing(chapters(spark, sf), F.col("status") == "error", 4).where("skipped > 0")
+    more = F.col("skipped") - 4
+    return found.select("project", F.concat(F.array_join(F.transform("first", lambda i: i.cast("string")), ", "), F.when(more > 0, F.concat(F.lit(", … +"), more.cast("string"))).otherwise("")).alias("shown"))
 
 
 @query("""WITH f AS (SELECT user_id, event_type, max((ts, event_id)) AS seen FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC) AS k FROM f)

@@ -137,7 +137,7 @@ def find_replace_scan(spark, sf):
 @query("""WITH {ch} SELECT project, idx, replace(title, 'the', '$1') AS title, sha256(replace(content, 'the', '$1')) AS content_sha256 FROM ch""")
 def apply_diffs(spark, sf):
     rows = chapters(spark, sf)
-    out = ch.apply_changes(rows, ch.find(rows, "the", fields=("title", "content"), new="$1"))
+    out = ch.replaced(rows, "the", "$1", fields=("title", "content"))
     return out.select("project", "idx", "title", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -149,6 +149,5 @@ def text_choice(spark, sf):
 @query("""WITH {ch} SELECT project, count(*) FILTER (translated <> '') AS included, count(*) FILTER (translated = '') AS skipped,
   list_slice(list(idx ORDER BY idx) FILTER (translated = ''), 1, 10)::VARCHAR AS first_skipped FROM ch GROUP BY project""")
 def export_split(spark, sf):
-    picked = ch.text_choice(chapters(spark, sf), True)
-    missing = F.slice(F.array_sort(F.collect_list(F.when(F.col("body").isNull(), F.col("idx")))), 1, 10)
-    return picked.groupBy("project").agg(F.count_if(F.col("body").isNotNull()).alias("included"), F.count_if(F.col("body").isNull()).alias("skipped"), F.concat(F.lit("["), F.array_join(missing, ", "), F.lit("]")).alias("first_skipped"))
+    found = ch.first_missing(chapters(spark, sf), F.col("translated") == "", 10)
+    return found.select("project", "included", "skipped", F.concat(F.lit("["), F.array_join("first", ", "), F.lit("]")).alias("first_skipped"))

@@ -17,6 +17,7 @@ CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
   '[^\n\p{M}\p{Nd} .!?…,;:"''“”‘’«»()\-\p{Latin}]', ' ', 'g'), '(?m)^[^\p{L}\p{Nd}\n]+$', '', 'g'), ' +', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
 
 #: Paragraphs of documents; DuckDB folds chunks as one string with a separator.
+INDENTED_SQL = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda p: trim(p) <> '')"
 PARAGRAPHS_SQL = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: trim(p)), lambda p: p <> '')"
 
 
@@ -63,7 +64,7 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.clean(tx.text_of("text")), 256).alias("cleaned_sha256"))
 
 
-@query(f"WITH k AS (SELECT doc_id, {fold_sql(PARAGRAPHS_SQL, 400, 'chr(10)')} AS chunks FROM documents) SELECT doc_id, len(chunks)::INT AS n, {DIGEST_SQL.format('chunks')} AS chunks_sha256 FROM k")
+@query(f"WITH k AS (SELECT doc_id, {fold_sql(INDENTED_SQL, 400, 'chr(10)')} AS chunks FROM documents) SELECT doc_id, len(chunks)::INT AS n, {DIGEST_SQL.format('chunks')} AS chunks_sha256 FROM k")
 def paragraph_chunks(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", tx.paragraph_chunks(tx.text_of("text"), 400, "\n").alias("chunks"))
     return rows.select("doc_id", F.size("chunks").alias("n"), digest("chunks").alias("chunks_sha256"))
@@ -134,7 +135,9 @@ def url_keys(spark, sf):
   s AS (SELECT *, sum(cost) OVER (PARTITION BY p_brand ORDER BY pos) AS total FROM c)
   SELECT p_brand, coalesce(string_agg(tag, ', ' ORDER BY pos) FILTER (total <= 200), '') AS tags FROM s GROUP BY p_brand""")
 def tag_budget(spark, sf):
-    raw = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))).alias("rows"))
+    # Each tag counts where it first stands, so no brand's repeats are gathered.
+    first = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("at"))
+    raw = first.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("at", "p_type"))).alias("rows"))
     return raw.select("p_brand", F.array_join(tx.tags(F.array_join(F.transform("rows", lambda r: r["p_type"]), ", "), 200), ", ").alias("tags"))
 
 

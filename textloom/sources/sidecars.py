@@ -44,6 +44,37 @@ def parsed_manifest(raw: DataFrame) -> DataFrame:
     return rows.select("key", "relpath", "record.size", "record.mtime", "record.status")
 
 
+def manifest_notes(raw: DataFrame) -> DataFrame:
+    """(key, note) from (key, json): empty for a sound manifest, else ``missing`` or ``corrupt``; either is read as empty."""
+    files = F.from_json("json", MANIFEST)["files"]
+    return raw.select("key", F.when(F.col("json").isNull(), "missing").when(files.isNull(), "corrupt").otherwise("").alias("note"))
+
+
+def manifest_json(records: DataFrame) -> DataFrame:
+    """(key, json) of manifests from (key, remote_root, account, updated_at, relpath, size, mtime, status, uploaded_at)."""
+    entry = F.struct("relpath", F.struct("size", "mtime", "status", "uploaded_at").alias("record"))
+    rows = records.groupBy("key", "remote_root", "account", "updated_at").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("files"))
+    return rows.select("key", F.to_json(F.struct(F.lit(1).alias("version"), "remote_root", "account", "updated_at", "files")).alias("json"))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a table beside ``path`` and renames it when it is whole, so that readers never see a part of it."""
+    spark = df.sparkSession
+    df.write.parquet(f"{path}.tmp", mode="overwrite")
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.tmp", path))
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"{path} could not be replaced")
+
+
+def snapshot(df: DataFrame, folder: str, version: str) -> DataFrame:
+    """An unchanging copy of a table as it is now, under a name of its own; one that exists is refused."""
+    path = f"{folder.rstrip('/')}/version={version}"
+    df.write.parquet(path, mode="errorifexists")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parsed_meta(raw: DataFrame) -> DataFrame:
     """Known fields of (key, json); unknown ones are ignored, and nulls are empty."""
     meta = F.from_json("json", META)
