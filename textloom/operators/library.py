@@ -175,3 +175,25 @@ def cue_snippet(document: Column) -> Column:
     said = F.filter(lines, lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"^\d+$")) & ~F.contains(x, F.lit("-->")))
     snippet = F.trim(F.regexp_extract(F.substring(F.coalesce(F.get(said, F.lit(0)), F.lit("")), 1, 24), r'^[^"\\]*', 0))
     return F.when(F.length(snippet) >= 4, snippet).otherwise("")
+
+
+def flag_counts(rows: DataFrame, keys: list[str], **flags: Column) -> DataFrame:
+    """How many rows of each key have each flag: locked rows, running or paused jobs."""
+    return rows.groupBy(*keys).agg(*(F.count_if(flag).alias(name) for name, flag in flags.items()))
+
+
+def earliest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The first scheduled time of each key; a key without any has null."""
+    return rows.groupBy(*keys).agg(F.min(at).alias(at))
+
+
+def isolated(value: Column, raw: Column, problem: str) -> tuple[Column, Column]:
+    """A result that may be missing, and the error beside it, so that one bad item stops nothing: ``value`` is
+    null where ``raw`` could not be read, which is then told with the first of the text."""
+    bad = value.isNull() & raw.isNotNull()
+    return value, F.when(bad, F.concat(F.lit(f"{problem}: "), F.substring(raw, 1, 80))).otherwise("")
+
+
+def fatal(error: Column, signs: tuple[str, ...]) -> Column:
+    """Whether an error must end the whole run (a daily limit, a login, a used-up quota) rather than one item."""
+    return F.coalesce(F.regexp_like(error, F.lit("(?iu)" + "|".join(signs))), F.lit(False))

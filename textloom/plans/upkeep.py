@@ -387,3 +387,20 @@ def line_classes(spark, sf):
     message = F.when(k % 4 == 1, "Not enough storage left").when(k % 4 == 2, F.concat(F.lit('He went on {"error": {"code": '), key, F.lit("}}"))).otherwise("Error 404 was the street")
     row = F.when(k % 3 == 0, F.concat(F.lit("Playlist "), key)).when(k % 3 == 1, F.concat(key, F.lit(" videos"))).otherwise(" Private ")
     return table(spark, sf, "orders").select("o_orderkey", ln.is_quota_error(message).alias("quota"), ln.looks_like_error(message).alias("broken"), ln.is_list_decoration(row).alias("decoration"))
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'error') AS locked, count(*) FILTER (value > 100) AS running, count(*) FILTER (value <= 100 AND event_type = 'click') AS paused, min(ts) FILTER (event_type = 'signup') AS ts FROM events GROUP BY user_id""")
+def job_counts(spark, sf):
+    rows = table(spark, sf, "events")
+    kind, value = F.col("event_type"), F.col("value")
+    counts = lib.flag_counts(rows, ["user_id"], locked=kind == "error", running=value > 100, paused=(value <= 100) & (kind == "click"))
+    return counts.join(lib.earliest(rows.select("user_id", F.when(kind == "signup", F.col("ts")).alias("ts")), ["user_id"], "ts"), "user_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id END AS value, CASE WHEN event_id % 3 = 0 THEN 'no number: ' || event_type || CASE WHEN event_id % 2 = 0 THEN ' quota' ELSE '' END ELSE '' END AS error, event_id % 6 = 0 AS fatal FROM events""")
+def isolated_errors(spark, sf):
+    """Items that cannot be read, with their errors beside the results of the others."""
+    k = F.col("event_id")
+    raw = F.when(k % 3 == 0, F.concat("event_type", F.when(k % 2 == 0, " quota").otherwise(""))).otherwise(k.cast("string"))
+    value, error = lib.isolated(raw.try_cast("long"), raw, "no number")
+    return table(spark, sf, "events").select("event_id", value.alias("value"), error.alias("error"), lib.fatal(error, ("quota", "log in")).alias("fatal"))
