@@ -129,3 +129,29 @@ def test_queries_without_sql(spark):
     assert {r["doc_id"] for r in queries.op4_toxicity(spark, SF).collect()} == {i for i, _ in docs}
     near = queries.op7_fingerprints(spark, SF).agg({"near_edited": "avg", "near_next": "avg"}).first()
     assert near[0] != near[1]
+
+
+def test_tokens_of_the_registered_queries(spark):
+    """op2 and op5 as registered, against the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    from textloom.llm import queries
+
+    docs = dict(texts(spark.read.parquet(f"{SF}/documents.parquet")))
+    words, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for tokenizer in (words, pieces):
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op5_bpe(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        ids = words.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(words.decode(ids, skip_special_tokens=False)))
+    seen = dict.fromkeys(docs, 0)
+    for r in queries.op2_packing(spark, SF).collect():
+        ids = [*pieces.encode(docs[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+        assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
+        seen[r["doc_id"]] += r["length"]
+        if seen[r["doc_id"]] == len(ids):
+            seen.pop(r["doc_id"])
+    assert not seen
