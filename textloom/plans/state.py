@@ -97,12 +97,10 @@ def status_display(spark, sf):
 def status_transitions(spark, sf):
     rows = chapters(spark, sf)
     texts = table(spark, sf, "labels").join(rows.select("project", "idx"), F.col("doc_id") == F.col("idx")).select("project", "idx", F.lit("new text").alias("content"))
-    before = rows.select("project", "idx", F.col("status").alias("before"))
+    rows = rows.withColumn("before", F.col("status"))
     steps = {"clear": ch.clear_translations(rows), "reset": ch.reset_errors(rows), "edit": ch.edit_content(rows, texts)}
-    out = None
-    for step, after in steps.items():
-        part = before.join(after.select("project", "idx", F.col("status").alias("after")), ["project", "idx"]).select(F.lit(step).alias("step"), "before", "after")
-        out = part if out is None else out.unionAll(part)
+    out = [after.select(F.lit(step).alias("step"), "before", F.col("status").alias("after")) for step, after in steps.items()]
+    out = out[0].unionAll(out[1]).unionAll(out[2])
     return out.groupBy("step", "before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
