@@ -8,7 +8,6 @@ dictionary. For every symbol we keep the range of words that its name and its bo
 window of words that contains that range holds this symbol wherever else it stands. Each window is
 thus given its consistent interior symbols of the highest level that has any.
 
-Rounds go on while a symbol fits into a window, so a repeat is found by the highest symbols it can hold.
 A dictionary of names shared by all tasks would shuffle the whole corpus in every round; fingerprints
 need none, and names agree but for collisions of 64 bits.
 
@@ -39,9 +38,14 @@ def first_of_runs(symbols: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (symbols[1:] != symbols[:-1]) | (text_of[1:] != text_of[:-1])])
 
 
+def rounds(window: int) -> int:
+    """A round makes symbols a third longer. They may grow to a sixth of a window: with longer ones a window has
+    but one or two, which say too little about its other words, and more windows must be verified."""
+    return max(1, int(math.log(window / 6, 4 / 3))) if window > 6 else 1
+
+
 def levels(words: Words, window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level, highest first: names, and the range of words that each depends on. Rounds go on
-    while the range of a symbol that has a neighbour fits into ``window`` words."""
+    """For each level, highest first: names, and the range of words that each depends on."""
     n = len(words.hash)
     place = np.arange(n)
     out = [(words.hash, place, place + 1)]
@@ -54,11 +58,7 @@ def levels(words: Words, window: int) -> list[tuple[np.ndarray, np.ndarray, np.n
     lo, hi = begin - 1, begin + length + 1  # a run's bounds depend on the words beside it
     start, end = begin, begin + length
     out.append((names, lo, hi))
-    k = 0
-    while True:
-        beside = text_of[1:] == text_of[:-1]
-        if not ((hi - lo <= window) & (np.r_[False, beside] | np.r_[beside, False])).any():
-            break
+    for k in range(rounds(window)):
         left = (mix(names + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) & np.uint64(1)).astype(bool)
         joined = left[:-1] & ~left[1:] & (text_of[1:] == text_of[:-1])
         head, tail = np.zeros(len(names), bool), np.zeros(len(names), bool)
@@ -77,7 +77,6 @@ def levels(words: Words, window: int) -> list[tuple[np.ndarray, np.ndarray, np.n
         stay = ~tail
         names, lo, hi, start, end, text_of = new_names[stay], new_lo[stay], new_hi[stay], start[stay], new_end[stay], text_of[stay]
         out.append((names, lo, hi))
-        k += 1
     return out[::-1]
 
 
