@@ -54,6 +54,13 @@ def signatures(texts: DataFrame) -> DataFrame:
     return least.select("id", F.array(*(F.col(f"k{k}").bitwiseAND(low) for k in range(SAMPLES))).alias("keys"))
 
 
+def key_of(doc_id: Column, text_key: Column) -> Column:
+    """doc_id and a hash of the text as one string in hex, whose order is that of doc_id; one plain column, so
+    that what is dealt by it once need not move again."""
+    hexed = lambda c: F.lpad(F.hex(c), 16, "0")
+    return F.concat(hexed(doc_id.bitwiseXOR(F.lit(NULL_ID))), hexed(text_key.bitwiseXOR(F.lit(NULL_ID))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The share of samples in which two signatures agree; two texts without words are alike."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
@@ -93,7 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     fingerprint. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("id"), text.alias("text"))
+    plain = docs.select(key_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(text)).alias("id"), text.alias("text"))
     own = plain.groupBy("id").agg(F.min("text").alias("text"))
     links = staged(neighbours(plain), "neighbours")
     heads = own.join(links, "id").select(F.col("prev_id").alias("id"), "times", F.expr("substring(text, 1, need)").alias("head"))
@@ -108,7 +115,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     times = F.col("times") - 1
     many = all_.withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(times / REPEATS))))
     many = many.withColumn("few", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(REPEATS - 1), times - F.col("many") * REPEATS))))
-    doc_id = F.when(F.col("id.doc_id") != NULL_ID, F.col("id.doc_id"))
+    own_id = F.conv(F.substring("id", 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(NULL_ID))
+    doc_id = F.when(own_id != NULL_ID, own_id)
     return many.select(
         doc_id.alias("doc_id"), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("keys")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("keys")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
