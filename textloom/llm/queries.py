@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, chat_format, exact_dedup, fingerprints, line_dedup, ngram_join, packing, substring_dedup, toxicity, warc
+from textloom.llm import bpe, chat_format, exact_dedup, fingerprints, line_dedup, ngram_join, packing, substring_dedup, token_store, toxicity, warc
+from textloom.llm.shared import new_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("payload")
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    store = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-store"), end_id=0)
+    return store.documents(store.keys()).drop("copy")
+
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
@@ -103,6 +110,6 @@ FROM c GROUP BY conv_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup, "op2_packing": op2_packing, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_chat_format": op6_chat_format,
-    "op7_fingerprints": op7_fingerprints, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_warc": op10_warc,
+    "op7_fingerprints": op7_fingerprints, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_warc": op10_warc, "op11_token_store": op11_token_store,
 }
 ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}
