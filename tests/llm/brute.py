@@ -127,3 +127,93 @@ def toxic_features(docs, ratios, telling=2.5):
         mean = sum(r for r in each if abs(r) >= telling) / max(1, len(words))
         out[text] = math.copysign(math.log1p(abs(mean) / 0.003), mean)
     return out
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def digest(*parts):
+    return sha("".join(parts))
+
+
+def tree_levels(leaves, arity):
+    out = [leaves]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][k : k + arity]) for k in range(0, len(out[-1]), arity)])
+    return out
+
+
+def siblings(levels, at, arity):
+    out = []
+    for level in levels[:-1]:
+        begin = at // arity * arity
+        out.append((level[begin:at], level[at + 1 : begin + arity]))
+        at //= arity
+    return out
+
+
+def merkle(rows, arity=16):
+    """(doc_id, leaf, subroot, root, proof digest, root folded from the tampered leaf) of rows (doc_id, source, lang, n_chars, text, tampered leaf or None)."""
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append((r[0] is not None, r[0] or 0, digest(*map(field, r[:5])), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        groups[s].sort(key=lambda x: x[:3])
+        trees[s] = tree_levels([x[2] for x in groups[s]], arity)
+    top = tree_levels([trees[s][-1][0] for s in names], arity)
+    out = []
+    for k, s in enumerate(names):
+        for at, (_, _, leaf, r) in enumerate(groups[s]):
+            steps = siblings(trees[s], at, arity) + siblings(top, k, arity)
+            fold = r[5] or leaf
+            for a, b in steps:
+                fold = digest(*a, fold, *b)
+            out.append((r[0], leaf, trees[s][-1][0], top[-1][0], digest(*(x for a, b in steps for x in (*a, *b))), fold))
+    return out
+
+
+def repairs(rows):
+    """The cheapest edits of rows (turn, role, text), by trying all: counts, cost, audit and the repaired turns."""
+    rows = sorted(((t, r if r is not None else " ", x if x is not None else " ") for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha(r[2])))
+    seen, kinds = set(), []
+    for _, role, text in rows:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        kinds.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    goes = re.compile(r"(s?(ua)+)?")
+    ways = [(0, "", "", [])]
+
+    def inserted(ways):
+        """With up to two turns inserted; a start of the pattern must remain one."""
+        out, last = list(ways), ways
+        for _ in range(2):
+            last = [(c + 2, a + "I", i + x, [*t, (r, "")]) for c, a, i, t in last for x, r in (("u", "user"), ("a", "assistant")) if begins(i + x)]
+            out += last
+        return out
+
+    def begins(initials):
+        return any(goes.fullmatch(initials + end) for end in ("", "a", "ua"))
+
+    def best(ways):
+        """Of ways to the same end the ten cheapest."""
+        by = defaultdict(list)
+        for w in ways:
+            by[w[2][-1:], len(w[2]) == 0].append(w)
+        return [w for own in by.values() for w in sorted(own)[:10]]
+
+    ways = inserted(ways)
+    for (_, role, text), kind in zip(rows, kinds, strict=True):
+        new = [(c + 3, a + "D", i, t) for c, a, i, t in ways]
+        if kind not in ("blank", "duplicate"):
+            more = int(kind == "truncated")
+            new += [(c + more, a + "K", i + role[:1], [*t, (role, text)]) for c, a, i, t in ways if role and begins(i + role[:1])]
+            new += [(c + 2 + more, a + "R", i + r[0], [*t, (r, text)]) for c, a, i, t in ways for r in ("user", "assistant") if begins(i + r[0])]
+        ways = best(inserted(new))
+    cost, audit, _, turns = min(w for w in ways if goes.fullmatch(w[2]))
+    known = [t for t, _, _ in rows if t is not None]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    return (gaps, kinds.count("blank"), kinds.count("duplicate"), kinds.count("truncated"), illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in turns))), turns
