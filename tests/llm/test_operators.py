@@ -42,6 +42,26 @@ def test_words():
     assert got == [brute.WORD.findall(t) for t in texts]
 
 
+def twins(size):
+    """Two words of letters a and b by the parity of a place's bits, one the other's complement: hashes that are polynomials modulo a power of two take them for one."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 100, 1024, 2048, 4096, 8192])
+def test_words_are_told_apart(spark, size):
+    x, y = twins(size)
+    rest = " ".join(f"w{k}" for k in range(19))
+    assert len(set(Words(pa.array([x, y, x + "a", "a" + x])).hash.tolist())) == 4
+    docs = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{x} {rest}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(frame(spark, docs)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    single = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(frame(spark, [(1, x), (2, y), (3, x)])).collect()}
+    assert single == {1: 1, 2: 2, 3: 1}
+    bag = toxicity.Bag([x, y, x])
+    assert bag.distinct == 2 and bag.word[0] == bag.word[2] != bag.word[1]
+
+
 def test_substring_dedup(spark, corpus):
     got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(frame(spark, corpus), block_bytes=2000, bucket_bytes=2000).collect()}
     for i, (n, gone, kept) in brute.substring_dedup(corpus).items():
@@ -71,10 +91,10 @@ def test_substring_dedup_does_not_depend_on_blocks(spark, corpus):
 def test_substring_dedup_candidates_hold_all_repeats(corpus):
     words = Words(pa.array([t for _, t in corpus]))
     anchors = substring_dedup.Anchors(words, 20)
-    key = substring_dedup.chained(words.hash, 20, 0x9E3779B97F4A7C15)
     valid = np.flatnonzero(words.runs(20))
-    times = Counter(key[valid].tolist())
-    assert {i for i in valid.tolist() if times[int(key[i])] > 1} <= set(anchors.candidates(anchors.again).tolist())
+    key = list(zip(*(x.tolist() for x in substring_dedup.window_digests(words, valid, 20)), strict=True))
+    times = Counter(key)
+    assert {i for i, k in zip(valid.tolist(), key, strict=True) if times[k] > 1} <= set(anchors.candidates(anchors.again).tolist())
 
 
 def test_packing(spark, corpus):

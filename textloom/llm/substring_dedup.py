@@ -9,11 +9,11 @@ window of words that contains that range holds this symbol wherever else it stan
 thus given its consistent interior symbols of the highest level that has any.
 
 A dictionary of names shared by all tasks would shuffle the whole corpus in every round; fingerprints
-need none, and names agree but for collisions of 64 bits.
+need none. That two names agree by chance only makes a window a candidate: repeats are settled on the words.
 
 Two exchanges follow. In the first, blocks of documents send their distinct symbols to buckets,
 which answer, by position, which ones occur again in the corpus. Only windows all of whose symbols
-do are sent on, once for each block, with a 96-bit fingerprint of all their words and their place; the buckets
+do are sent on, once for each block, with a 128-bit BLAKE2b digest of their words and their place; the buckets
 verify the repeat on it and answer with the windows that start earlier elsewhere. A passage that
 stands in very many documents costs one entry a block.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm.shared import blocks, ordered, rows_table, text_bytes
-from textloom.llm.words import Words, chained, mix
+from textloom.llm.words import Words, mix
 
 PIECE = "bucket int, block int, keys binary, more binary, ranks binary, places binary"
 ANSWER = "bucket int, block int, found binary"
@@ -116,6 +116,18 @@ class Anchors:
         return np.flatnonzero(out)
 
 
+def window_digests(words: Words, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit BLAKE2b digest of the words themselves, joined by a space, of each window."""
+    size = words.end - words.start + 1
+    begin = np.cumsum(size) - size
+    joined = np.append(words.data, np.uint8(32))[np.arange(begin[-1] + size[-1]) - np.repeat(begin - words.start, size)] if len(size) else words.data
+    joined[begin + size - 1] = 32
+    raw, last = memoryview(joined.tobytes()), places + window - 1
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin[places].tolist(), (begin[last] + size[last] - 1).tolist(), strict=True)]
+    halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The places of each bucket, in order."""
     order = np.argsort(bucket, kind="stable")
@@ -172,24 +184,25 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
         places = anchors.candidates(repeated)
         if not len(places):
             return rows_table([], PIECE)
-        key, more = chained(words.hash, window, 0x9E3779B97F4A7C15)[places], chained(words.hash, window, 0xD1342543DE82EF95)[places]
+        key, more = window_digests(words, places, window)
         order = np.lexsort((places, more, key))
         same = (key[order][1:] == key[order][:-1]) & (more[order][1:] == more[order][:-1])
         later = places[order[1:][same]]
         first = np.sort(order[np.r_[True, ~same]])
-        rows = [(-1, block, None, None, None, packed(np.sort(later), "<u4"))] if len(later) else []
+        # What repeats inside the block returns to it under a key of its own.
+        rows = [(-1 - block, block, None, None, None, packed(np.sort(later), "<u4"))] if len(later) else []
         key, more, places = key[first], more[first], places[first]
         row = words.text_of[places]
         named, rank, starts = table.column("named").to_numpy()[row], table.column("rank").to_numpy()[row], places - words.first[row]
         for b, x in by_bucket((more >> np.uint64(32)).astype(np.int64) % buckets):
-            rows.append((b, block, key[x].tobytes(), more[x].astype("<u4").tobytes(), packed(rank[x], "<i8") + packed(starts[x], "<i4") + np.packbits(named[x]).tobytes(), packed(places[x], "<u4")))
+            rows.append((b, block, key[x].tobytes(), more[x].tobytes(), packed(rank[x], "<i8") + packed(starts[x], "<i4") + np.packbits(named[x]).tobytes(), packed(places[x], "<u4")))
         return rows_table(rows, PIECE)
 
     def first_windows(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:  # found in their own block
             return table.select(["bucket", "block", "places"]).rename_columns(["bucket", "block", "found"])
         keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
-        more = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("more").to_pylist()])
+        more = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("more").to_pylist()])
         where = [(x, len(k)) for x, k in zip(table.column("ranks").to_pylist(), keys, strict=True)]
         rank = np.concatenate([unpacked(x[: 8 * n], "<i8") for x, n in where])
         starts = np.concatenate([unpacked(x[8 * n : 12 * n], "<i4") for x, n in where])

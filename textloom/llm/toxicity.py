@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import new_path, staged, text_bytes
-from textloom.llm.words import mix, powers
+from textloom.llm.words import hashed, mix
 
 DEPTH = 6
 DISCOUNT = 0.9
@@ -73,11 +73,7 @@ class Bag:
         gap = np.r_[True, GAPS[np.minimum(points, len(GAPS) - 1)]]
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         start, end = edges[::2], edges[1::2]
-        up, down = powers(len(points) + 1)
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
-        hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        _, at, self.word = np.unique(hashed, return_index=True, return_inverse=True)
+        _, at, self.word = np.unique(hashed(points.view(np.uint8), 4 * start, 4 * end), return_index=True, return_inverse=True)
         self.text_of = np.searchsorted(bounds, start, "right") - 1
         size = end[at] - start[at] + 2
         self.first = np.r_[0, np.cumsum(size)]
