@@ -52,12 +52,12 @@ def test_merge_short(spark):
 
 
 def test_literal_replace(spark):
-    assert one(spark, tx.literal_replace(F.col("t"), "cat", "dog"), t="a cat and a cat") == "a dog and a dog"
+    assert one(spark, tx.literal_replace(F.col("t"), "mưa", "nắng"), t="mưa rồi lại mưa") == "nắng rồi lại nắng"
     assert one(spark, tx.literal_replace(F.col("t"), "CAT", "$1\\", True), t="a cat") == "a $1\\"
     assert one(spark, tx.literal_count(F.col("t"), ""), t="abc") == 0
 
 
-@pytest.mark.parametrize(("name", "slug"), [("My Great Novel!", "my-great-novel"), ("测试小说", "novel"), ("测试 Test Novel 123", "test-novel-123"), ("Đấu Phá Thương Khung", "dau-pha-thuong-khung"), ("Ｒoad ４５ ﬂat ǆ", "road-45-flat-dz"), ("№ Ⅷ", "no-viii")])
+@pytest.mark.parametrize(("name", "slug"), [("  One River, Two Banks?", "one-river-two-banks"), ("山水之间", "novel"), ("山水 Part 7", "part-7"), ("Đường Về Phía Biển", "duong-ve-phia-bien"), ("Ｒoad ４５ ﬂat ǆ", "road-45-flat-dz"), ("№ Ⅷ", "no-viii")])
 def test_slug(spark, name, slug):
     assert one(spark, tx.slug(F.col("t")), t=name) == slug
 

@@ -29,15 +29,15 @@ def test_merge_windows(spark):
 
 
 def test_tables_are_replaced_whole(spark, tmp_path):
-    path = f"{tmp_path}/t"
+    path = f"file://{tmp_path}/t"
     for n in (3, 5):
         sidecars.replace_table(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
-    kept = sidecars.snapshot(spark.read.parquet(path), f"{tmp_path}/versions", "1")
+        assert sidecars.current_table(spark, path).count() == n
+    sidecars.snapshot(spark, path, "five")
     sidecars.replace_table(spark.range(1), path)
-    assert kept.count() == 5
-    with pytest.raises(Exception, match="(?i)exist"):
-        sidecars.snapshot(spark.range(1), f"{tmp_path}/versions", "1")
+    assert sidecars.current_table(spark, path, "five").count() == 5 and sidecars.current_table(spark, path).count() == 1
+    with pytest.raises(Exception, match="(?i)there already"):
+        sidecars.snapshot(spark, path, "five")
 
 
 def test_scratch(spark):

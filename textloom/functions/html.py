@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from textloom.functions.objects import read_objects
+
 ANCHOR = r'<a\s+[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "li", "br", "article", "section", "blockquote", "tr"}
@@ -121,47 +123,38 @@ def page_gate(html: Column) -> Column:
 
 
 
-
-PUSH = re.compile(r'\.push\(\[\d+,\s*("(?:[^"\\]|\\.)*")\]\)')
+PUSH = re.compile(r"\.push\(\[\d+,\s*(?=\")")
 
 
 def read_stream(html: str | None) -> str:
-    """The text that a page's scripts push piece by piece as string literals."""
-    return "".join(json.loads(m[1]) for m in PUSH.finditer(html or ""))
-
-
-def read_objects(stream: str, keys: tuple[str, ...]) -> Iterator[dict]:
-    """Objects with all ``keys`` within a text that is not JSON as a whole, the innermost of nested ones."""
-    decoder, at = json.JSONDecoder(), stream.find("{")
-    while at >= 0:
+    """The text that a page's scripts push piece by piece as string literals; a literal that cannot be read is passed over."""
+    decoder, out = json.JSONDecoder(), []
+    for m in PUSH.finditer(html or ""):
         try:
-            found, end = decoder.raw_decode(stream, at)
+            out.append(decoder.raw_decode(html, m.end())[0])
         except ValueError:
-            end = at + 1
-        else:
-            inner = [x for x in nested(found) if all(k in x for k in keys)]
-            yield from (x for x in inner if not any(y is not x and y in nested(x) for y in inner))
-        at = stream.find("{", end)
-
-
-def nested(value: object) -> list[dict]:
-    """All objects within a value, itself included."""
-    if isinstance(value, dict):
-        return [value, *(x for v in value.values() for x in nested(v))]
-    return [x for v in value for x in nested(v)] if isinstance(value, list) else []
+            continue
+    return "".join(out)
 
 
 def embedded(keys: tuple[str, ...]):
-    """An Arrow function: the objects with ``keys`` in a page's pushed stream, as maps of texts."""
+    """An Arrow function: the objects with ``keys`` in a page's pushed stream, the innermost of nested ones, as maps of texts."""
 
     @pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for page in pages:
-            yield page.map(lambda h: [{k: None if x[k] is None else str(x[k]) for k in keys} for x in read_objects(read_stream(h), keys)])
+            yield page.map(lambda h: [{k: None if x[k] is None else str(x[k]) for k in keys} for _, x in read_objects(read_stream(h), f'"{keys[0]}"', keys)])
 
     return run
 
 
+@pandas_udf(T.StringType())
+def pushed_stream(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The stream of each page."""
+    for page in pages:
+        yield page.map(read_stream)
+
+
 @pandas_udf(T.StringType())
 def resolved(bases: pd.Series, links: pd.Series) -> pd.Series:
     """Links made absolute against the address of their page."""
@@ -195,6 +188,71 @@ def author_of(book: Column) -> Column:
     return F.coalesce(F.try_variant_get(book, "$.author.name", "string"), F.try_variant_get(book, "$.author", "string"), F.lit(""))
 
 
+# The flags and notices by which pages say that they hold no whole text.
+PREVIEW, LOCKED, HURRIED = '"isPreview":true', '"isLocked":true', '"isRateLimited":true'
+DAILY_NOTICE, HURRIED_NOTICE = "GIỚI HẠN ĐỌC TRONG NGÀY", "Bạn đọc quá nhanh"
+#: What a chapter's page is asked for, in one parse.
+CHAPTER_PAGE = {"gates": "[data-preview-gate]", "containers": "article", "lines": "article p"}
+
+
+def chapter_page(html: Column, title: Column) -> Column:
+    """struct(label, lines) of a chapter's page. The gates come first: a page that says ``preview`` or is ``locked`` gives no text, however much
+    of one it shows. Then its paragraphs, without a first one that repeats the title: ``open``. A page without any says why, if it does:
+    ``daily``, ``rate``, ``missing`` (no container) or ``empty``. Labels only; lines are null for all but ``open``."""
+    from textloom.functions.select import fields
+
+    found, says = fields({}, CHAPTER_PAGE)(html), lambda flag: F.contains(html, F.lit(flag))
+    lines = without_heading(F.filter(found["lines"], lambda x: x != ""), title)
+    label = (
+        F.when((F.size(found["gates"]) > 0) | says(PREVIEW), "preview").when(says(LOCKED), "locked").when(F.size(lines) > 0, "open").when(says(DAILY_NOTICE), "daily")
+        .when(says(HURRIED) | says(HURRIED_NOTICE), "rate").when(F.size(found["containers"]) == 0, "missing").otherwise("empty")
+    )
+    return F.struct(label.alias("label"), F.when(label == "open", lines).alias("lines"))
+
+
+def entry_gate(html: Column, preview: Column, locked: Column) -> Column:
+    """The gate of a chapter by its own entry in the page's stream, before any text is looked for; a chapter without an entry has nulls."""
+    return F.when(F.coalesce(preview, F.lit(False)) | F.contains(html, F.lit(PREVIEW)), "preview").when(F.coalesce(locked, F.lit(False)), "locked").otherwise("open")
+
+
+def same_heading(line: Column, title: Column) -> Column:
+    """Whether a line is the title, where either may have its number before it."""
+    from textloom.functions.lines import without_index
+    from textloom.functions.text import stripped
+
+    return stripped(without_index(line)) == stripped(without_index(title))
+
+
+def without_same_heading(lines: Column, title: Column) -> Column:
+    """Without a first line that is the title in that sense; one line at most."""
+    return F.when((F.size(lines) > 0) & same_heading(F.get(lines, F.lit(0)), title), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
+
+
+def contents_pages(pages: DataFrame, key: str) -> DataFrame:
+    """(key, page, found, new, total) of a table of contents over several pages (key, page, html): links to numbered chapters, numbers not seen on an earlier
+    page, and all so far. The first page but page 1 without a link ends the contents: it and those behind it are cut off."""
+    counts = contents_links(pages, key).groupBy(key, "page").agg(F.count(F.lit(1)).alias("found"))
+    every = pages.select(key, "page").join(counts, [key, "page"], "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+    end = every.where("found = 0 AND page > 1").groupBy(key).agg(F.min("page").alias("end"))
+    kept = every.join(end, key, "left").where("end IS NULL OR page < end").drop("end")
+    firsts = contents_links(pages, key).groupBy(key, "number").agg(F.min("page").alias("page"))
+    new = kept.join(firsts.groupBy(key, "page").agg(F.count(F.lit(1)).alias("new")), [key, "page"], "left").withColumn("new", F.coalesce("new", F.lit(0).cast("long")))
+    return new.withColumn("total", F.sum("new").over(Window.partitionBy(key).orderBy("page")))
+
+
+def contents_links(pages: DataFrame, key: str) -> DataFrame:
+    """(key, page, pos, number, title) of the links to numbered chapters whose title begins with the word for one."""
+    links = pages.select(key, "page", F.posexplode(anchors(F.col("html"))).alias("pos", "a")).select(key, "page", "pos", F.regexp_extract("a.href", r"/chuong-(\d+)", 1).try_cast("long").alias("number"), "a.title")
+    return links.where(F.col("number").isNotNull() & F.startswith("title", F.lit("Chương")))
+
+
+def contents(pages: DataFrame, key: str) -> DataFrame:
+    """(key, idx, number, title) of the whole contents: of equal numbers the first stays."""
+    kept = contents_links(pages, key).join(contents_pages(pages, key).select(F.col(key).alias("_k"), F.col("page").alias("_p")), (F.col(key) == F.col("_k")) & (F.col("page") == F.col("_p")), "left_semi")
+    first = kept.withColumn("k", F.row_number().over(Window.partitionBy(key, "number").orderBy("page", "pos"))).where("k = 1")
+    return first.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("number")) - 1).alias("idx"), "number", "title")
+
+
 def limit_notice(html: Column) -> Column:
     """struct(message, code, link) of a notice page; labels only, empty where the page says nothing."""
     part = lambda p: F.regexp_extract(html, p, 1)

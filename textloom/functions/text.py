@@ -129,12 +129,28 @@ def han_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(HAN))
 
 
+# The words for a chapter once accents are folded, the letters of its number in Han, and what stands around that.
+CHAPTER_WORDS = ("chuong", "chapter")
+HAN_NUMERALS = "〇零一二三四五六七八九十百千两"
+HAN_ORDINAL, HAN_CHAPTER = "第", "章"
+DIGITS = "0123456789"
+
+
+def is_numbered(title: Column) -> Column:
+    """Whether a title opens with a chapter mark: the word in Vietnamese (with its horns or without) or English and a number, or a number in Han between its two signs."""
+    head = F.translate(F.lower(stripped(title)), "ươ", "uo")
+    digit_after = lambda word: F.regexp_like(F.substring(stripped(F.substring(head, len(word) + 1, 40)), 1, 1), F.lit("[0-9]"))
+    worded = F.lit(False)
+    for word in CHAPTER_WORDS:
+        worded = worded | (F.startswith(head, F.lit(word)) & digit_after(word))
+    number = stripped(F.substring_index(F.substring(head, 2, 40), HAN_CHAPTER, 1))
+    signed = F.startswith(head, F.lit(HAN_ORDINAL)) & F.contains(head, F.lit(HAN_CHAPTER)) & (number != "") & (F.translate(number, DIGITS + HAN_NUMERALS, "") == "")
+    return worded | signed
+
+
 def numbered_title(idx: Column, title: Column) -> Column:
-    """``Chương n: `` before the title, n counted from 1, unless it opens with a chapter mark: the word
-    in Vietnamese (with or without accents) or English and a number, or 第, a number, 章."""
-    word, han = r"\s*(?:chương|chuong|chưong|chuơng|chapter)\s*\d", r"\s*第\s*[\d〇零一二三四五六七八九十百千两]+\s*章"
-    marked = F.regexp_like(title, F.lit(f"(?iu)^{word}")) | F.regexp_like(title, F.lit(f"^{han}"))
-    return F.when(marked, title).otherwise(F.concat(F.lit("Chương "), (idx + 1).cast("string"), F.lit(": "), title))
+    """``Chương n: `` before a title that has no chapter mark yet, n counted from 1."""
+    return F.when(is_numbered(title), title).otherwise(F.concat(F.lit("Chương "), (idx + 1).cast("string"), F.lit(": "), title))
 
 
 def slug(text: Column, limit: int = 40) -> Column:
@@ -170,13 +186,18 @@ def safe_name(name: Column, limit: int = 100) -> Column:
     return F.when(out == "", slug(name)).otherwise(out)
 
 
+#: What a unit of size stands for.
+UNITS = {"b": 1, "byte": 1, "bytes": 1, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "tb": 1 << 40}
+
+
 def parse_size(text: Column) -> Column:
-    """Bytes of a localised size such as ``8,3 KB`` or ``1.234 byte``; null for anything else."""
-    pattern = r"(?i)([0-9][0-9.,]*)\s*(" + "|".join(("bytes?", "b", *(f"{k}b" for k in "kmgt"))) + r")(?![\p{L}\d])"
-    number = F.replace(F.replace(F.regexp_extract(text, pattern, 1), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    unit = F.lower(F.regexp_extract(text, pattern, 2))
-    power = F.when(unit == "kb", 1024).when(unit == "mb", 1024**2).when(unit == "gb", 1024**3).when(unit == "tb", 1024**4).otherwise(1)
-    return F.floor(number.try_cast("double") * power).cast("long")
+    """Bytes of a localised size such as ``8,3 KB`` or ``1.234 byte``, the first in a text; null without one."""
+    pair = F.lit(r"(\d[\d.,]*)\s*([\p{L}\d]+)")
+    found = F.arrays_zip(F.regexp_extract_all(text, pair, F.lit(1)).alias("n"), F.transform(F.regexp_extract_all(text, pair, F.lit(2)), F.lower).alias("u"))
+    first = F.get(F.filter(found, lambda x: x["u"].isin(*UNITS)), F.lit(0))
+    number = F.replace(F.replace(first["n"], F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    worth = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    return F.floor(number * worth[first["u"]]).cast("long")
 
 
 def format_size(size: Column) -> Column:
@@ -196,11 +217,18 @@ def part_range(name: Column) -> Column:
     return F.when(a.isNotNull(), F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
 
 
+# Fixed value: the signs that mark an item of a list.
+LIST_MARKS = ("-", "*", "•")
+BLANK = " \t\n\x0b\f\r"
+
+
 def clean_tag(raw: Column) -> Column:
-    """Without a list mark (hyphen, star, dot, or number with a dot or bracket), quotes, leading hashes and doubled spaces."""
-    unmarked = F.regexp_replace(stripped(raw), r"^(?:[*•-]|[0-9]+[.)])\s*", "")
-    unquoted = F.regexp_replace(unmarked, "^[\\s\"']+|[\\s\"']+$", "")
-    return stripped(F.regexp_replace(F.regexp_replace(unquoted, "^#+", ""), r"(?U)\s+", " "))
+    """Without one list mark (a sign, or a number with a dot or bracket), quotes, leading hashes and doubled spaces."""
+    tag = stripped(raw)
+    behind = F.ltrim(tag, F.lit(DIGITS))
+    counted = (F.length(behind) < F.length(tag)) & F.substring(behind, 1, 1).isin(".", ")")
+    unmarked = F.when(F.substring(tag, 1, 1).isin(*LIST_MARKS), F.substring(tag, F.lit(2), F.length(tag))).when(counted, F.substring(behind, F.lit(2), F.length(behind))).otherwise(tag)
+    return stripped(F.regexp_replace(F.ltrim(F.btrim(unmarked, F.lit(BLANK + "\"'")), F.lit("#")), r"(?U)\s+", " "))
 
 
 def tags(raw: Column, budget: int = 500) -> Column:
@@ -224,10 +252,15 @@ def tags(raw: Column, budget: int = 500) -> Column:
 
 def voice_chunks(title: Column, body: Column, least: int = 30, limit: int = 400, extra: str = "", cleaned: bool = True) -> Column:
     """The chunks that a chapter is read aloud in: title and body, cleaned, cut into sentences and merged."""
-    text = F.when(title != "", F.concat(title, F.lit("\n\n"), body)).otherwise(body)
-    return merge_short(sentence_chunks(clean(text, extra) if cleaned else text, limit), least, limit)
+    return merge_short(sentence_chunks(engine_text(title, body, cleaned, extra), limit), least, limit)
 
 
 def glossary_pairs(names: Column, readings: Column) -> Column:
     """A glossary as a map, from names that have a reading."""
     return F.map_from_entries(F.filter(F.arrays_zip(names.alias("key"), readings.alias("value")), lambda z: z["value"].isNotNull() & (z["value"] != "")))
+
+
+def engine_text(title: Column, body: Column, cleaned: bool = True, extra: str = "") -> Column:
+    """The text of a chapter as it is read aloud, before it is cut."""
+    text = F.when(title != "", F.concat(title, F.lit("\n\n"), body)).otherwise(body)
+    return clean(text, extra) if cleaned else text

@@ -197,3 +197,18 @@ def isolated(value: Column, raw: Column, problem: str) -> tuple[Column, Column]:
 def fatal(error: Column, signs: tuple[str, ...]) -> Column:
     """Whether an error must end the whole run (a daily limit, a login, a used-up quota) rather than one item."""
     return F.coalesce(F.regexp_like(error, F.lit("(?iu)" + "|".join(signs))), F.lit(False))
+
+
+# Fixed value: the addresses of projects that came from no site.
+LOCAL = "local://"
+
+
+def local_projects(titles: DataFrame, key: Column) -> DataFrame:
+    """(url, title, site) of projects made by hand from (title): each has an address of its own, made from ``key``, which must differ between them, so that no two
+    blank addresses are taken for one; a blank title makes no project."""
+    named = titles.withColumn("title", F.trim("title")).where("title <> ''")
+    return named.select(F.concat(F.lit(LOCAL), F.substring(F.sha2(key.cast("string"), 256), 1, 32)).alias("url"), "title", F.lit("local").alias("site"))
+
+
+def is_local(url: Column) -> Column:
+    return F.startswith(url, F.lit(LOCAL))

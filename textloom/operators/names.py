@@ -14,34 +14,50 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.terms import term_places
+from textloom.sources.scratch import written
+
 HAN = "一-鿿"
-FOUND = "base string, full string, prev string, pos long"
+FOUND = "base string, full string, prev string, n long, first_doc long, first_pos long"
+#: Names that one pass looks for: an automaton of them has some tens of megabytes.
+PASS_NAMES = 100_000
 
 
 def candidates(docs: DataFrame, single: Set[str], double: Set[str]) -> DataFrame:
-    """(doc_id, base, full, prev, pos) of each match: base has one given letter, full two or none."""
+    """(base, full, prev, n, first_doc, first_pos): how often each match stands behind each letter, and where first. ``base`` has one given
+    letter, ``full`` two or none; matches are counted in each task, so a common name is a row a batch."""
     surname = "|".join([*map(regex.escape, sorted(double)), "[" + "".join(map(regex.escape, sorted(single))) + "]"])
     pattern = regex.compile(f"({surname})([{HAN}]{{1,2}})")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            found: dict[tuple, list] = {}
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 for m in pattern.finditer(text or ""):
-                    rows.append((doc_id, m[1] + m[2][0], m[0] if len(m[2]) == 2 else None, text[m.start() - 1] if m.start() else "", m.start()))
-            yield pd.DataFrame(rows, columns=["doc_id", "base", "full", "prev", "pos"])
+                    key = (m[1] + m[2][0], m[0] if len(m[2]) == 2 else None, text[m.start() - 1] if m.start() else "")
+                    if key in found:
+                        found[key][0] += 1
+                        found[key][1] = min(found[key][1], (doc_id, m.start()))
+                    else:
+                        found[key] = [1, (doc_id, m.start())]
+            yield pd.DataFrame([(*key, n, *first) for key, (n, first) in found.items()], columns=["base", "full", "prev", "n", "first_doc", "first_pos"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, " + FOUND)
+    rows = docs.select("doc_id", "text").mapInPandas(run, FOUND)
+    first = F.min(F.struct("first_doc", "first_pos"))
+    return rows.groupBy("base", "full", "prev").agg(F.sum("n").alias("n"), first["first_doc"].alias("first_doc"), first["first_pos"].alias("first_pos"))
 
 
-def followers(docs: DataFrame, names: DataFrame, openers: Set[str]) -> DataFrame:
-    """(name, top, share) of the letter that most often follows each name; only places that begin with one of
-    ``openers``, the names' possible first letters, are looked at."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    grams = lines.select("line", F.explode(F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1)))).alias("at")).where(F.expr("substring(line, at, 1)").isin(sorted(openers)))
-    sizes = [grams.select(F.expr(f"substring(line, at, {k})").alias("name"), F.expr(f"substring(line, at + {k}, 1)").alias("next")).where(F.length("name") == k) for k in (2, 3, 4)]
-    every = sizes[0].unionAll(sizes[1]).unionAll(sizes[2])
-    hits = every.join(names.select("name").distinct(), "name").groupBy("name", "next").agg(F.count(F.lit(1)).alias("n"))
+def followers(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, top, share) of the letter that most often follows each name in its line, by one automaton over all names; where there are more
+    than PASS_NAMES, the texts are read once for each so many."""
+    named = written(names.select("name").distinct(), "names")
+    passes = max(1, -(-named.count() // PASS_NAMES))
+    hits = None
+    for k in range(passes):
+        own = [r[0] for r in named.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).collect()]
+        found = term_places(docs, sorted(own))
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy(F.col("term").alias("name"), "next").agg(F.sum("n").alias("n"))
     return hits.groupBy("name").agg(F.max_by("next", F.struct("n", "next")).alias("top"), (F.max("n") / F.sum("n")).alias("share"))
 
 
@@ -51,10 +67,12 @@ def mine(docs: DataFrame, single: Set[str], double: Set[str], determiners: Set[s
     words (50 in all, 200 for the given name) and fragments with one Han follower in 80 % are dropped."""
     found = candidates(docs, single, double)
     han = lambda c: F.regexp_like(c, F.lit(f"^[{HAN}]$"))
-    before = found.groupBy("base", "prev").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    found = written(found, "candidates")
+    first = F.min(F.struct("first_doc", "first_pos")).alias("first")
+    before = found.groupBy("base", "prev").agg(F.sum("n").alias("n"), first)
     bases = before.groupBy("base").agg(F.sum("n").alias("count"), F.max("n").alias("top"), F.min_by("prev", F.struct(-F.col("n"), "first")).alias("top_prev"), F.sum(F.when(F.col("prev").isin(sorted(determiners)), F.col("n")).otherwise(0)).alias("determined"))
     bases = bases.where(F.col("count") >= least).where(~(han(F.col("top_prev")) & (F.col("top") > 0.5 * F.col("count")))).where(F.col("determined") <= 0.6 * F.col("count"))
-    longer = found.where("full IS NOT NULL").groupBy("base", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    longer = found.where("full IS NOT NULL").groupBy("base", "full").agg(F.sum("n").alias("n"), first)
     best = longer.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy(F.desc("n"), "first"))).where("k = 1")
     picked = bases.join(best.select("base", "full", "n"), "base", "left")
     extend = F.coalesce(F.col("n") >= 0.8 * F.col("count"), F.lit(False))
@@ -64,7 +82,8 @@ def mine(docs: DataFrame, single: Set[str], double: Set[str], determiners: Set[s
     known = frequencies.select(F.col("word"), "freq")
     named = named.join(known.select(F.col("word").alias("name"), F.col("freq").alias("f_name")), "name", "left").join(known.select(F.col("word").alias("given"), F.col("freq").alias("f_given")), "given", "left")
     named = named.where(F.coalesce("f_name", F.lit(0)) < 50).where((F.length("given") < 2) | (F.coalesce("f_given", F.lit(0)) < 200))
-    after = followers(docs, named, {x[0] for x in [*single, *double]})
+    named = written(named, "named")
+    after = followers(docs, named)
     return named.join(after, "name", "left").where(~F.coalesce(han(F.col("top")) & (F.col("share") >= 0.8), F.lit(False))).select("name", "count")
 
 

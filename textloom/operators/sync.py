@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.lines import folded
 from textloom.functions.text import file_number, part_range
+from textloom.operators.batching import batched
+from textloom.operators.intervals import merged, within
+from textloom.operators.numbering import numbered
 
 TOLERANCE_S = 2.0
 AUDIO = (".mp3", ".wav")
@@ -25,17 +28,23 @@ def plan_uploads(items: DataFrame, manifest: DataFrame, force: bool = False) ->
 
 def batches(items: DataFrame, keys: list[str], order: list[str], max_files: int = 20, max_bytes: int = 4 << 30) -> DataFrame:
     """(keys, batch, files, bytes): greedy batches in order that never span folders and keep both bounds; a file over
-    the bound is a batch of its own. One folder's sizes are folded in one row, as order matters."""
-    sizes = items.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("size").cast("long").alias("_size")))), lambda r: r["_size"]).alias("sizes"))
-    empty = F.struct(F.array().cast("array<struct<files:int,bytes:bigint>>").alias("out"), F.lit(0).alias("files"), F.lit(0).cast("long").alias("bytes"))
+    the bound is a batch of its own."""
+    return batched(items, keys, order, max_files, max_bytes).select(*keys, F.col("batch").cast("int").alias("batch"), "files", "bytes")
 
-    def step(acc: Column, size: Column) -> Column:
-        full = (acc["files"] >= max_files) | ((acc["files"] > 0) & (acc["bytes"] + size > max_bytes))
-        done = F.array_append(acc["out"], F.struct(acc["files"].alias("files"), acc["bytes"].alias("bytes")))
-        return F.when(full, F.struct(done.alias("out"), F.lit(1).alias("files"), size.alias("bytes"))).otherwise(F.struct(acc["out"].alias("out"), (acc["files"] + 1).alias("files"), (acc["bytes"] + size).alias("bytes")))
 
-    made = F.aggregate("sizes", empty, step, lambda acc: F.array_append(acc["out"], F.struct(acc["files"].alias("files"), acc["bytes"].alias("bytes"))))
-    return sizes.select(*keys, F.posexplode(made).alias("batch", "b")).select(*keys, "batch", "b.files", "b.bytes")
+def first_seen(items: DataFrame, folder: str, order: list[str]) -> DataFrame:
+    """(folder, place, files, bytes): folders in the order in which their first file stands among all, from 0."""
+    placed = numbered(items, [], order).withColumnRenamed("pos", "_pos")
+    seen = placed.groupBy(folder).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return numbered(seen, [], ["_first"]).select(folder, F.col("pos").alias("place"), "files", "bytes")
+
+
+def to_send(items: DataFrame, manifest: DataFrame, project: str = "project", force: bool = False) -> DataFrame:
+    """(project, files, bytes): by project, what its manifest (project, relpath, size, mtime, status) does not vouch for; projects with nothing to
+    send have zeros."""
+    key = F.concat(F.col(project), F.lit("\0"), F.col("relpath"))
+    planned = plan_uploads(items.withColumn("_path", F.col("relpath")).withColumn("relpath", key), manifest.withColumn("relpath", key), force)
+    return planned.groupBy(project).agg(F.count_if("send").alias("files"), F.coalesce(F.sum(F.when(F.col("send"), F.col("size"))), F.lit(0).cast("long")).alias("bytes"))
 
 
 def landed(expected: DataFrame, remote: DataFrame) -> DataFrame:
@@ -51,13 +60,17 @@ def safe_to_delete(local: Column, remote: Column) -> Column:
     return F.coalesce((local > 0) & (remote > 0) & (F.abs(remote - local) <= local * 0.01), F.lit(False))
 
 
-def covered(parts: DataFrame, with_subtitles: bool = False) -> DataFrame:
-    """(project, number) of the chapters in rendered parts, from files (project, folder, name)."""
+def spans(parts: DataFrame, with_subtitles: bool = False) -> DataFrame:
+    """(project, lo, hi) of rendered parts, from files (project, folder, name)."""
     suffix = lambda s: F.bool_or(F.endswith("name", F.lit(s)))
     kept = parts.groupBy("project", "folder").agg(suffix(".mp4").alias("video"), suffix(".srt").alias("subtitles")).where("video")
     kept = kept.where("subtitles") if with_subtitles else kept
-    span = kept.select("project", part_range(F.col("folder")).alias("span")).where("span IS NOT NULL")
-    return span.select("project", F.explode(F.sequence("span.lo", "span.hi")).alias("number")).distinct()
+    return kept.select("project", part_range(F.col("folder")).alias("span")).where("span IS NOT NULL").select("project", "span.lo", "span.hi")
+
+
+def covered(parts: DataFrame, with_subtitles: bool = False) -> DataFrame:
+    """(project, number) of the chapters in rendered parts: a row for each number."""
+    return merged(spans(parts, with_subtitles), ["project"]).select("project", F.explode(F.sequence("lo", "hi")).alias("number"))
 
 
 def retention_plan(audio: DataFrame, parts: DataFrame) -> DataFrame:
@@ -66,8 +79,8 @@ def retention_plan(audio: DataFrame, parts: DataFrame) -> DataFrame:
     numbered, name = audio.withColumn("number", file_number(F.col("name"))), F.lower("name")
     sound = numbered.where(F.endswith(name, F.lit(AUDIO[0])) | F.endswith(name, F.lit(AUDIO[1])))
     cues = numbered.where(F.endswith(name, F.lit(CUES)))
-    one = sound.join(covered(parts), ["project", "number"], "left_semi").withColumn("reason", F.lit("in a rendered part"))
-    two = cues.join(covered(parts, True), ["project", "number"], "left_semi").withColumn("reason", F.lit("in a part with subtitles"))
+    one = within(sound, spans(parts), ["project"], "number").withColumn("reason", F.lit("in a rendered part"))
+    two = within(cues, spans(parts, True), ["project"], "number").withColumn("reason", F.lit("in a part with subtitles"))
     return one.unionByName(two)
 
 
@@ -151,3 +164,20 @@ def only_folders(names: Column, kinds: Column) -> Column:
     """The names whose kind beside them is a folder; none where the columns do not match."""
     picked = F.filter(F.arrays_zip(names.alias("n"), kinds.alias("k")), lambda z: F.lower(F.trim(z["k"])) == "folder")
     return F.when(F.size(names) == F.size(kinds), F.transform(picked, lambda z: z["n"])).otherwise(F.array().cast("array<string>"))
+
+
+def restamped(rendered: DataFrame, tags: DataFrame, suffix: str = ".tags.txt") -> DataFrame:
+    """(name, text) of the side files of rendered parts (project, folder) that are to be written again because their project's tags (project, tags) changed; blank
+    tags change nothing."""
+    known = rendered.join(tags.where(F.trim("tags") != ""), "project")
+    return known.select(F.concat("project", F.lit("/"), "folder", F.lit("/"), "folder", F.lit(suffix)).alias("name"), F.concat("tags", F.lit("\n")).alias("text"))
+
+
+def settings_of(chosen: DataFrame, defaults: dict[str, str], keys: list[str]) -> DataFrame:
+    """(keys, settings) of a run: every known setting with the value that holds when it begins, so that later changes do not reach it. ``chosen``: (keys, name, value),
+    of which unknown names are dropped and nulls and blanks count as not chosen."""
+    known = chosen.where(F.col("name").isin(*defaults) & (F.trim(F.coalesce("value", F.lit(""))) != ""))
+    own = known.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "value")))).alias("own"))
+    default = F.create_map(*(F.lit(x) for pair in sorted(defaults.items()) for x in pair))
+    every = chosen.select(*keys).distinct().join(own, keys, "left")
+    return every.select(*keys, F.transform_values(default, lambda k, v: F.coalesce(F.try_element_at("own", k), v)).alias("settings"))

@@ -44,7 +44,7 @@ def chapter_numbers(spark, sf):
 
 
 @query("""WITH l AS (SELECT user_id, max((ts, event_id)) FILTER (event_type IN ('purchase', 'error')) AS last FROM events GROUP BY user_id)
-  SELECT l.user_id, CASE WHEN e.event_id IS NULL THEN '' WHEN event_type = 'error' THEN 'hết hạn mức (quota) (reset sau 2h' || e.event_id || 'm)' ELSE 'call ' || e.event_id || ' failed' END AS error FROM l LEFT JOIN events e ON e.event_id = last[2]""")
+  SELECT l.user_id, CASE WHEN e.event_id IS NULL THEN '' WHEN event_type = 'error' THEN 'hết hạn mức (quota) của agy (reset sau 2h' || e.event_id || 'm). Chờ reset hoặc đổi engine trong Cài đặt.' ELSE 'call ' || e.event_id || ' failed' END AS error FROM l LEFT JOIN events e ON e.event_id = last[2]""")
 def error_logs(spark, sf):
     """Logs in which purchases stand for a message that is said twice, and errors for a used-up quota."""
     key = F.col("event_id").cast("string")

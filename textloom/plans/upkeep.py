@@ -318,14 +318,14 @@ def voice_chunks(spark, sf):
     return rows.select("doc_id", F.size("chunks").alias("n"), digest("chunks").alias("chunks_sha256"))
 
 
-@query("""SELECT p_partkey, 'M ' || p_size || '.5' AS label, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'og' END AS title, CASE p_partkey % 3 WHEN 0 THEN 'Google Translate' WHEN 1 THEN 'Claude API (m)' ELSE 'CLI (agy)' END AS engine, p_name || ' - 1-' || p_size AS upload_title, '&H00' || 'CCBBAA' AS colour, '/x/' || p_partkey || '.cues.json' AS beside, greatest(12, round(p_size * 0.5 - 0.01))::INT AS px FROM part""")
+@query("""SELECT p_partkey, 'M ' || p_size || '.5' AS label, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'og' END AS title, CASE p_partkey % 3 WHEN 0 THEN 'Google Translate' WHEN 1 THEN 'Claude API (m)' ELSE 'CLI (agy)' END AS engine, CASE WHEN p_size % 2 = 0 THEN trim(p_name) ELSE trim(p_name) || ' - Phần ' || p_size END AS upload_title, '&H00' || 'CCBBAA' AS colour, '/x/' || p_partkey || '.cues.json' AS beside, greatest(12, round(p_size * 0.5 - 0.01))::INT AS px FROM part""")
 def small_labels(spark, sf):
     k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
     option = F.concat(F.lit("AI M  "), size, F.lit(".5 - Memory - No Apikey"))
     heading = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" Truyện "), "p_name")).otherwise("")
     engine = ln.engine_label(F.when(k == 0, "google").when(k == 1, "claude").otherwise("cli"), F.when(k == 1, "m").otherwise(""), F.lit(" agy run"))
     return table(spark, sf, "part").select(
-        "p_partkey", ln.model_label(option).alias("label"), ln.plain_title(heading, F.lit("[Mới] og - Đọc Truyện Online | x")).alias("title"), engine.alias("engine"), ln.upload_title(F.col("p_name"), F.lit(1), F.col("p_size")).alias("upload_title"),
+        "p_partkey", ln.model_label(option).alias("label"), ln.plain_title(heading, F.lit("[Mới] og - Đọc Truyện Online | x")).alias("title"), engine.alias("engine"), ln.upload_title(F.col("p_name"), F.when(F.col("p_size") % 2 == 1, F.col("p_size"))).alias("upload_title"),
         ln.ass_colour(F.lit("#aabbcc")).alias("colour"), ln.beside(F.concat(F.lit("/x/"), F.col("p_partkey").cast("string"), F.lit(".mp3")), ".cues.json").alias("beside"), ln.share_of(F.col("p_size") - 0.02, 0.5, 12).alias("px"),
     )
 
