@@ -118,13 +118,13 @@ def gram_ratios(docs, kinds, discount=0.9, prior=5.0):
     return out, t
 
 
-def toxic_features(docs, ratios, telling=2.5):
-    """By text: the mean over its words of their log-likelihood ratios, those under ``telling`` as 0, on a scale of logarithms."""
+def toxic_features(docs, ratios, half=3.0):
+    """By text: the mean over its words of their log-likelihood ratios, each weighed by its size, on a scale of logarithms."""
     out = {}
     for _, text in docs:
         words = letters_only(text)
         each = [sum(ratios[g] for g in grams_of(w)) for w in words]
-        mean = sum(r for r in each if abs(r) >= telling) / max(1, len(words))
+        mean = sum(r * r**8 / (r**8 + half**8) for r in each) / max(1, len(words))
         out[text] = math.copysign(math.log1p(abs(mean) / 0.003), mean)
     return out
 

@@ -285,7 +285,7 @@ def test_toxicity_reads_words_to_their_end(spark):
     path = toxicity.model(frame(spark, docs), toxicity.labelled(labels))
     bag = toxicity.Bag(["samestarttidy samestartvile 今日天气很好我们出去走走吧 今日天气很好我们出去骂人吧"])
     tidy, vile, stroll, scold = toxicity.word_ratios(bag, path)[bag.word]
-    assert vile > toxicity.TELLING and scold > toxicity.TELLING and tidy < -toxicity.TELLING and stroll < -toxicity.TELLING
+    assert vile > 1 and scold > 1 and tidy < -0.5 and stroll < -0.5
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     held = [(r["predicted"], truth[r["doc_id"]]) for r in toxicity.toxicity(frame(spark, docs), labels).collect() if r["held_out"]]
     assert sum(x == y for x, y in held) / len(held) > 0.97
