@@ -291,4 +291,22 @@ def test_backfill_refuses_to_guess(spark):
     assert [tuple(c) for c in made(["a"], [])] == [(0.0, 9.0, "a")]
     assert made(["a", "b"], [log(), log((1, 2), (3, 4))]) is None and made([], [two]) is None and made(["a", "b"], [two], 0.0) is None
     assert [tuple(c) for c in made(["a", "b"], [log((-1, 2))])] == [(0.0, 0.0, "a"), (2.0, 9.0, "b")]
-    assert spark.range(1).select(ln.expected_gap(F.lit(0.4), F.lit(0.0))).first()[0] == 0.4
+
+
+def test_packing_takes_time_in_proportion(spark):
+    """A long text is cut as by hand, and four times the text does not take sixteen times the time."""
+    import time
+
+    from textloom.functions import text as tx
+
+    took = []
+    for n in (40_000, 160_000):
+        text = "The river ran on past the mill. It was late!  Who knew? " * n
+        rows = spark.createDataFrame([(text,)], "text string").cache()
+        rows.count()
+        began = time.perf_counter()
+        got = rows.select(tx.sentence_chunks(F.col("text"), 400).alias("c")).first()["c"]
+        took.append(time.perf_counter() - began)
+        words = [s.strip() for s in ("The river ran on past the mill.", "It was late!", "Who knew?")] * n
+        assert got == tx.pack_pieces(words, 400, " ") and max(map(len, got)) <= 400 and " ".join(got) == " ".join(words)
+    assert took[1] < 10 * took[0] + 5

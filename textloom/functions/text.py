@@ -1,6 +1,6 @@
 """Text operators as column expressions: cleaning, chunking, replacing, naming, parsing.
 
-All are folds and built-in functions, so they stay in the JVM. A null text counts as empty.
+All but the packing of pieces are built-in functions, so they stay in the JVM. A null text counts as empty.
 """
 
 from __future__ import annotations
@@ -8,7 +8,9 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +59,52 @@ def clean(text: Column, extra: str = "") -> Column:
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 
 
+def pack_pieces(pieces: list[str], limit: int, joiner: str) -> list[str]:
+    out, held, size = [], [], 0
+    for piece in pieces:
+        if held and size + len(joiner) + len(piece) <= limit:
+            held.append(piece)
+            size += len(joiner) + len(piece)
+        else:
+            if held:
+                out.append(joiner.join(held))
+            held, size = [piece], len(piece)
+    return [*out, joiner.join(held)] if held else out
+
+
+def merge_pieces(pieces: list[str], least: int, limit: int) -> list[str]:
+    out, held, size = [], [], 0
+    for piece in pieces:
+        if held and (size < least or len(piece) < least) and size + 1 + len(piece) <= limit:
+            held.append(piece)
+            size += 1 + len(piece)
+        else:
+            if held:
+                out.append(" ".join(held))
+            held, size = [piece], len(piece)
+    return [*out, " ".join(held)] if held else out
+
+
+def over_lists(work: Callable[[list], list[str]]) -> Callable[[Column], Column]:
+    """An Arrow function of lists. Folds in the JVM copy what they have made at each step, so the time for one text would grow with its square."""
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if x is None else work(x) for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
 def packed(pieces: Column, limit: int, joiner: str) -> Column:
     """Greedy packing of strings, in order, into chunks of at most ``limit`` code points with ``joiner``
     between; a longer piece is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
-    step = lambda acc, x: (
-        F.when(acc["cur"].isNull(), F.struct(acc["out"].alias("out"), x.alias("cur")))
-        .when(F.length(acc["cur"]) + len(joiner) + F.length(x) <= limit, F.struct(acc["out"].alias("out"), F.concat(acc["cur"], F.lit(joiner), x).alias("cur")))
-        .otherwise(F.struct(F.array_append(acc["out"], acc["cur"]).alias("out"), x.alias("cur")))
-    )
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
+    return over_lists(lambda x: pack_pieces(x, limit, joiner))(pieces)
+
+
+def packed_each(lists: Column, limit: int, joiner: str) -> Column:
+    """The chunks of several lists of strings, one list after the other; no chunk has pieces of two."""
+    return over_lists(lambda x: [chunk for pieces in x for chunk in pack_pieces(pieces, limit, joiner)])(lists)
 
 
 def paragraphs(text: Column, delimiter: str) -> Column:
@@ -84,21 +122,12 @@ def sentences(paragraph: Column) -> Column:
 
 def sentence_chunks(text: Column, limit: int = 400, delimiter: str = "\n\n") -> Column:
     """Sentences packed paragraph by paragraph."""
-    return F.flatten(F.transform(paragraphs(text, delimiter), lambda p: packed(sentences(p), limit, " ")))
+    return packed_each(F.transform(paragraphs(text, delimiter), sentences), limit, " ")
 
 
 def merge_short(chunks: Column, least: int, limit: int) -> Column:
     """Joins a chunk to the one before where either is shorter than ``least`` and both fit ``limit``."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
-    step = lambda acc, x: (
-        F.when(acc["cur"].isNull(), F.struct(acc["out"].alias("out"), x.alias("cur")))
-        .when(
-            ((F.length(acc["cur"]) < least) | (F.length(x) < least)) & (F.length(acc["cur"]) + 1 + F.length(x) <= limit),
-            F.struct(acc["out"].alias("out"), F.concat(acc["cur"], F.lit(" "), x).alias("cur")),
-        )
-        .otherwise(F.struct(F.array_append(acc["out"], acc["cur"]).alias("out"), x.alias("cur")))
-    )
-    return F.aggregate(chunks, start, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
+    return over_lists(lambda x: merge_pieces(x, least, limit))(chunks)
 
 
 def literal_count(text: Column, search: str, ignore_case: bool = False) -> Column:

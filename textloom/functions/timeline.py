@@ -155,3 +155,26 @@ def description(header: Column, chapters: Column) -> Column:
     """A video's description: a header, then a line ``time title`` for each of array(struct(start, title))."""
     table = F.array_join(F.transform(chapters, lambda c: F.concat(short_time(c["start"]), F.lit(" "), c["title"])), "\n")
     return F.concat(F.when(header != "", F.concat(header, F.lit("\n\n"))).otherwise(""), table)
+
+
+# The names of the three kinds of event and the fade of a chapter's title.
+NOVEL, CHAPTER, SUBTITLE, FADE = "Novel", "Chapter", "Sub", r"{\fad(400,400)}"
+
+
+def video_events(segments: DataFrame, cues: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, events): the event lines of a part's video. ``segments`` (keys, novel, order, title, seconds) give the novel's title over all, and each chapter's
+    title for its time, faded; ``cues`` (keys, start, end, text, in the part's time) are the narration, without blank ones. Titles and texts are
+    escaped, the fade is not."""
+    from textloom.operators.library import event_escape
+
+    line = lambda a, b, style, text: F.concat(F.lit("Dialogue: 0,"), ass_time(a), F.lit(","), ass_time(b), F.lit(f",{style},,0,0,0,,"), text, F.lit("\n"))
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = segments.withColumn("_end", F.sum("seconds").over(upto)).withColumn("_start", F.col("_end") - F.col("seconds"))
+    whole = segments.groupBy(*keys).agg(F.max("novel").alias("novel"), F.sum("seconds").alias("total"))
+    kinds = [
+        whole.select(*keys, F.lit(0).alias("kind"), F.lit(0.0).alias("at"), line(F.lit(0.0), F.col("total"), NOVEL, event_escape(F.col("novel"))).alias("line")),
+        placed.select(*keys, F.lit(1).alias("kind"), F.col("_start").alias("at"), line(F.col("_start"), F.col("_end"), CHAPTER, F.concat(F.lit(FADE), event_escape(F.col("title")))).alias("line")),
+        cues.where(F.trim("text") != "").select(*keys, F.lit(2).alias("kind"), F.col("start").alias("at"), line(F.col("start"), F.col("end"), SUBTITLE, event_escape(F.trim("text"))).alias("line")),
+    ]
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return every.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "at", "line"))), lambda x: x["line"]), "").alias("events"))

@@ -90,6 +90,11 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def earliest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*order, *(c for c in rows.columns if c not in (*keys, *order)))).alias("_r")).select(*keys, "_r.*")
+
+
 def upload_state(raw: Column) -> Column:
     """The status in a state document: missing is empty, unreadable is ``unknown``, never empty."""
     parsed = F.try_parse_json(raw)

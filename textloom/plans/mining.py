@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import html as ht
@@ -9,7 +10,8 @@ from textloom.functions import lines as ln
 from textloom.functions import select as se
 from textloom.functions import terms
 from textloom.functions import text as tx
-from textloom.operators import names
+from textloom.functions import timeline as tl
+from textloom.operators import names, sync
 from textloom.operators.chapters import conformed
 from textloom.plans.texts import CLEAN_SQL
 from textloom.sources import sidecars
@@ -196,3 +198,54 @@ def rows_conformed(spark, sf):
     """Rows of an older table get the columns and defaults that they lack."""
     old = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("content"), F.col("lang").alias("audio_voice"), F.lit(1).alias("unknown"))
     return conformed(old).select("idx", (F.col("content") == "").alias("blank"), "status", "title_custom", "audio_voice")
+
+
+TIME_SQL = "printf('%d:%02d:%02d.%02d', ({0})::BIGINT // 360000, ({0})::BIGINT // 6000 % 60, ({0})::BIGINT // 100 % 60, ({0})::BIGINT % 100)"
+ESCAPE_SQL = "regexp_replace(replace(replace(replace(replace(replace({0}, '{{', '('), '}}', ')'), chr(13) || chr(10), '\\N'), chr(13), '\\N'), chr(10), '\\N'), '\\\\+$', '')"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS text, role || ' {{' || turn || '}}' AS title, length(coalesce(text, '')) % 90 + 1 AS n FROM conversations), p AS (SELECT *, sum(n * 25) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS e FROM s),
+  l AS (SELECT conv_id, 0 AS kind, 0 AS at_, 'Dialogue: 0,0:00:00.00,' || {TIME_SQL.format("sum(n * 25)")} || ',Novel,,0,0,0,,Book ' || conv_id || chr(10) AS line FROM s GROUP BY conv_id
+    UNION ALL SELECT conv_id, 1, e - n * 25, 'Dialogue: 0,' || {TIME_SQL.format("e - n * 25")} || ',' || {TIME_SQL.format("e")} || ',Chapter,,0,0,0,,{{\\fad(400,400)}}' || {ESCAPE_SQL.format("title")} || chr(10) FROM p
+    UNION ALL SELECT conv_id, 2, e - n * 25 + 5, 'Dialogue: 0,' || {TIME_SQL.format("e - n * 25 + 5")} || ',' || {TIME_SQL.format("e - 5")} || ',Sub,,0,0,0,,' || {ESCAPE_SQL.format("trim(text)")} || chr(10) FROM p WHERE trim(text) <> '')
+  SELECT conv_id, sha256(string_agg(line, '' ORDER BY kind, at_)) AS events_sha256 FROM l GROUP BY conv_id""".replace("\\\\", "\\"))
+def narrated_videos(spark, sf):
+    """The whole event list of a video: its title, the chapters' and what is read."""
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))) % 90 + 1
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Book "), F.col("conv_id").cast("string")).alias("novel"), F.concat("role", F.lit(" {"), F.col("turn").cast("string"), F.lit("}")).alias("title"), (n * 0.25).cast("double").alias("seconds"), text.alias("text"))
+    placed = rows.withColumn("e", F.sum("seconds").over(Window.partitionBy("conv_id").orderBy("turn")))
+    cues = placed.select("conv_id", (F.col("e") - F.col("seconds") + 0.05).alias("start"), (F.col("e") - 0.05).alias("end"), "text")
+    return tl.video_events(rows, cues, ["conv_id"], "turn").select("conv_id", F.sha2("events", 256).alias("events_sha256"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o FROM pages)
+  SELECT page_id, CASE WHEN page_id % 3 < 2 THEN page_id END AS number, CASE WHEN page_id % 3 < 2 THEN o || '/book/' || page_id || '.htm' END AS info, CASE WHEN page_id % 3 < 2 THEN o || '/book/' || page_id || '/' END AS contents,
+    CASE WHEN page_id % 3 = 2 THEN o || '/truyen/a-' || page_id END AS landing, 'T ' || page_id || ' - x' AS title FROM a""")
+def site_addresses(spark, sf):
+    """Numbers and names of books in addresses, and the pages that are made from them."""
+    key, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    origin = ln.origin_of(F.col("url"))
+    url = F.concat(origin, F.when(k == 0, F.concat(F.lit("/book/"), key, F.lit(".htm"))).when(k == 1, F.concat(F.lit("/read/"), key, F.lit("/p7.html"))).otherwise(F.concat(F.lit("/truyen/a-"), key, F.lit("/doc/9"))))
+    title = ln.without_genre(F.concat(F.lit("T "), key, F.lit(" - x  - Truyện Tiên - y")))
+    return table(spark, sf, "pages").select("page_id", ln.book_number(url).alias("number"), ln.info_url(url).alias("info"), ln.contents_url(url).alias("contents"), ln.landing_url(url).alias("landing"), title.alias("title"))
+
+
+@query("""SELECT p_brand, list_aggregate(list(p_partkey ORDER BY -p_size, p_partkey)[:2], 'string_agg', ',') AS tried FROM part GROUP BY p_brand""")
+def models_tried(spark, sf):
+    """The first two of the models that fit."""
+    name = F.concat(F.lit("m "), F.col("p_size").cast("string"), F.lit(" Memory no apikey #"), F.col("p_partkey").cast("string"))
+    lists = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", name.alias("name")))).alias("rows"))
+    return lists.select("p_brand", F.array_join(F.transform(ln.ranked_models(F.transform("rows", lambda r: r["name"]), most=2), lambda n: F.substring_index(n, "#", -1)), ",").alias("tried"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp FROM events""")
+def stamps(spark, sf):
+    """Times as they are kept: in UTC, to the second."""
+    return table(spark, sf, "events").select("event_id", ln.iso_seconds(F.col("ts")).alias("stamp"))
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_returnflag || l_linestatus AS label, row_number() OVER (PARTITION BY l_suppkey, l_returnflag || l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey) AS k, l_orderkey FROM lineitem) SELECT l_suppkey, label, l_orderkey FROM r WHERE k = 1""")
+def first_labels(spark, sf):
+    """Of rows with equal labels the first."""
+    rows = table(spark, sf, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("label"), "l_orderkey", "l_linenumber", "l_partkey")
+    return sync.earliest(rows, ["l_suppkey", "label"], ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_suppkey", "label", "l_orderkey")
