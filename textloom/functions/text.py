@@ -5,7 +5,6 @@ All but the packing of pieces are built-in functions, so they stay in the JVM. A
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -182,27 +181,25 @@ def numbered_title(idx: Column, title: Column) -> Column:
     return F.when(is_numbered(title), title).otherwise(F.concat(F.lit("Chương "), (idx + 1).cast("string"), F.lit(": "), title))
 
 
+#: Letters that have no compatibility decomposition but a plain form.
+STROKES = str.maketrans("đĐ", "dD")
+
+
+def ascii_words(text: str) -> str:
+    """Lower-case ASCII words joined by hyphens, from the ASCII letters and digits of a text's compatibility decomposition."""
+    plain = unicodedata.normalize("NFKD", text.translate(STROKES))
+    return "-".join("".join(c if c.isalnum() else " " for c in plain if c.isascii()).split()).lower()
+
+
 def slug(text: Column, limit: int = 40) -> Column:
-    """Lower-case ASCII words joined by hyphens. Every character gives the ASCII letters and digits of its
-    compatibility decomposition, so accents go, full-width forms become plain and ligatures
-    several letters; others vanish, and an empty slug is ``novel``."""
-    one, many = decompositions()
-    spelled = F.split(F.lit("\x00".join(many.values())), "\x00")
-    letters = F.regexp_extract_all(text, F.lit("[" + "".join(map(re.escape, many)) + "]"), F.lit(0))
-    plain = F.aggregate(letters, F.translate(text, "".join(one), "".join(one.values())), lambda out, c: F.replace(out, c, F.element_at(spelled, F.instr(F.lit("".join(many)), c))))
-    out = F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^a-zA-Z0-9]+", "-")
-    return F.coalesce(F.nullif(F.substring(F.lower(F.regexp_replace(out, "^-+|-+$", "")), 1, limit), F.lit("")), F.lit("novel"))
-
-
-@functools.cache
-def decompositions() -> tuple[dict[str, str], dict[str, str]]:
-    """Characters whose compatibility decomposition has one ASCII character, and those with several; d with stroke is d."""
-    one, many = {"đ": "d", "Đ": "D"}, {}
-    for code in range(0x80, 0x20000):
-        base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if base:
-            (one if len(base) == 1 else many)[chr(code)] = base
-    return one, many
+    """``ascii_words`` of a text, cut at ``limit``: accents go, full-width forms become plain, ligatures several letters, and an empty slug is ``novel``."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if t is None else ascii_words(t)[:limit] or "novel" for t in batch.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def safe_name(name: Column, limit: int = 100) -> Column:

@@ -93,12 +93,11 @@ def replace_toc(rows: DataFrame, refs: DataFrame, now: str) -> DataFrame:
 def append_rows(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """(project, idx, title) of new rows after each project's largest idx, from (project, pos, title);
     blank titles are dropped."""
-    from pyspark.sql import Window
+    from textloom.operators.numbering import numbered
 
     top = rows.groupBy("project").agg(F.max("idx").alias("top"))
-    named = titles.withColumn("title", F.trim("title")).where("title <> ''")
-    numbered = named.withColumn("k", F.row_number().over(Window.partitionBy("project").orderBy("pos")))
-    return numbered.join(top, "project", "left").select("project", (F.coalesce("top", F.lit(-1)) + F.col("k")).cast("long").alias("idx"), "title")
+    named = numbered(titles.select("project", F.col("pos").alias("_place"), F.trim("title").alias("title")).where("title <> ''"), ["project"], ["_place"])
+    return named.join(top, "project", "left").select("project", (F.coalesce("top", F.lit(-1)) + F.col("pos") + 1).cast("long").alias("idx"), "title")
 
 
 def save_content(rows: DataFrame, texts: DataFrame) -> DataFrame:
