@@ -197,7 +197,7 @@ def decoded(messages: DataFrame) -> DataFrame:
                 if kind == "revisit":
                     rows.append((page_id, None, length, digest, kind, None if refers == "None" else int(refers)))
                     continue
-                head, _, body = block.partition(CRLF + CRLF)
+                head, _, body = b"".join(block).partition(CRLF + CRLF)
                 payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                 found = hashlib.sha256(payload).hexdigest()
                 if found != digest:
@@ -211,17 +211,17 @@ def decoded(messages: DataFrame) -> DataFrame:
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """Whole messages: records that stand alone, and segments joined by origin in order of number.
+    """Whole messages, each as the list of its parts: records that stand alone, and segments by origin in order of number.
 
     A message whose segments have a gap or do not add up to the total length is an error.
     """
-    whole = segments.where("number = 0").select("type", "page_id", "refers", "digest", "length", "block")
+    whole = segments.where("number = 0").select("type", "page_id", "refers", "digest", "length", F.array("block").alias("block"))
     parts = segments.where("number > 0").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("refers").alias("refers"), F.max("digest").alias("digest"), F.max("length").alias("length")
     )
-    block = F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, p["block"]))
-    joined = parts.select(F.lit("response").alias("type"), "page_id", "refers", "digest", "length", block.alias("block"), "total", (F.size("parts") == F.get("parts", F.size("parts") - 1)["number"]).alias("gapless"))
-    sound = F.coalesce(F.col("gapless") & (F.octet_length("block") == F.col("total")), F.lit(False))
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    joined = parts.select(F.lit("response").alias("type"), "page_id", "refers", "digest", "length", F.transform("parts", lambda p: p["block"]).alias("block"), size.alias("size"), "total", (F.size("parts") == F.get("parts", F.size("parts") - 1)["number"]).alias("gapless"))
+    sound = F.coalesce(F.col("gapless") & (F.col("size") == F.col("total")), F.lit(False))
     checked = joined.withColumn("block", F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments of page "), "page_id", F.lit(" do not add up")))))
     return whole.unionByName(checked.select(*whole.columns))
 
