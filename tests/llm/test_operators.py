@@ -448,3 +448,11 @@ def test_edges_toxicity(spark, edges, nothing):
     got = toxicity.toxicity(edges, labels)
     assert got.count() == edges.count() and got.columns.count("score") == 1
     assert toxicity.toxicity(nothing, labels).count() == 0
+
+
+def test_exact_dedup_splits_at_its_own_capacity(spark):
+    """With the registered capacity the directory doubles for some thousand texts, and buckets have several depths."""
+    rows = spark.range(4000).select(F.xxhash64("id").alias("h"))
+    buckets, depths = exact_dedup.directory(rows, 128)
+    held = exact_dedup.filed(rows, buckets, depths).groupBy("depth", "bits").count()
+    assert len(depths) > 1 and held.agg(F.max("count")).first()[0] <= 128 and held.agg(F.sum("count")).first()[0] == 4000

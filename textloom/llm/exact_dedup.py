@@ -12,6 +12,7 @@ its bucket and there along the chain of its hash to the link with its text's dig
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Callable
 from functools import reduce
@@ -40,12 +41,14 @@ def hinted(buckets: DataFrame) -> DataFrame:
     return F.broadcast(buckets) if buckets.count() <= SMALL else buckets
 
 
-def directory(hashes: DataFrame, capacity: int, first: int = 6) -> tuple[DataFrame, list[int]]:
+def directory(hashes: DataFrame, capacity: int, first: int | None = None) -> tuple[DataFrame, list[int]]:
     """(depth, bits) of every bucket, its own depth and the leading bits of its hashes; and the depths that occur.
 
-    It starts with 2 to the power ``first`` slots. Hashes count once, so copies and collisions split nothing.
+    It starts with 2 to the power ``first`` slots, or else with a quarter to a half of those that as many hashes need, so that the number of
+    doublings does not grow with them. Hashes count once, so copies and collisions split nothing.
     """
-    left, found, depths, depth = staged(hashes.select("h").distinct(), "hashes"), [], [], first
+    left, found, depths = staged(hashes.select("h").distinct(), "hashes"), [], []
+    depth = first if first is not None else max(0, int(math.log2(max(1, left.count() / capacity))) - 1)
     while True:
         sizes = staged(left.groupBy(leading(F.col("h"), depth).alias("bits")).agg(F.count(F.lit(1)).alias("held")), "sizes")
         ready, full = sizes.where(F.col("held") <= capacity), sizes.where(F.col("held") > capacity)
@@ -65,13 +68,14 @@ def filed(rows: DataFrame, buckets: DataFrame, depths: list[int]) -> DataFrame:
     return rows.select("*", F.inline(slots)).join(hinted(buckets), BUCKET)
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 128, owner_rows: int = 1 << 16, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row.
 
     Texts are equal when they are after lower-casing A-Z; of equal texts the largest doc_id stays.
     Null counts as the empty text. A null doc_id is smaller than any other; a group of nothing but
     null doc_ids has a null keep_id and its rows stay. Rows that repeat both doc_id and text count
     in group_size and share one fate. An empty table gives no rows; other columns are ignored.
+    ``capacity``: the hashes of a bucket, some 8 KB; ``owner_rows``: the links that an owner task writes.
     ``hash_of`` gives the 64-bit hash of a text; collisions cost time, never a wrong result.
     """
     norm = lower_ascii(F.coalesce("text", F.lit("")))
@@ -81,7 +85,7 @@ def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, hash_of: Callable[[Col
     buckets, depths = directory(probes, capacity)
     links = filed(texts, buckets, depths).groupBy(*BUCKET, "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     entries = staged(links.select(*BUCKET, "h", digest, "keep_id", "group_size"), "entries")
-    owners = max(1, -(-entries.count() // capacity))
+    owners = max(1, -(-entries.count() // owner_rows))
     index = staged(entries.repartitionByRange(owners, *BUCKET, "h", "sha").sortWithinPartitions(*BUCKET, "h", "sha"), "index")
     found = filed(probes, buckets, depths).join(index, [*BUCKET, "h", "sha"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
