@@ -249,3 +249,49 @@ def first_labels(spark, sf):
     """Of rows with equal labels the first."""
     rows = table(spark, sf, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("label"), "l_orderkey", "l_linenumber", "l_partkey")
     return sync.earliest(rows, ["l_suppkey", "label"], ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_suppkey", "label", "l_orderkey")
+
+
+# Lines, logs and addresses that vary with the data, and oracles that state the rule.
+
+PHRASES = ["Uploading {n} items, {p} %", "Đang tải lên {p}% của {n} tệp", "{n} files uploaded", "Đã tải lên {n} mục", "{p} % of {n}", "Waiting for {n} files", "Remaining: {n} items", "hoàn tất ({p} %)"]
+
+
+def phrase_sql() -> str:
+    return " ".join(f"WHEN {k} THEN " + " || ".join(f"'{x}'" if k2 % 2 == 0 else {"n": "n::VARCHAR", "p": "p::VARCHAR"}[x] for k2, x in enumerate(phrase.replace("}", "{").split("{")) if x) for k, phrase in enumerate(PHRASES))
+
+
+@query(rf"""WITH o AS (SELECT o_orderkey, o_custkey % 40 AS n, o_orderkey % 130 AS p, o_custkey % 8 AS k FROM orders), l AS (SELECT *, CASE k {phrase_sql()} END AS line FROM o),
+  r AS (SELECT *, lower(line) AS low, try_cast(regexp_extract(line, '(\d+)\s*%', 1) AS INT) AS percent, try_cast(regexp_extract(lower(line), '(\d+)\s*(mục|tệp|tập tin|items?|files?)', 1) AS INT) AS count FROM l)
+  SELECT o_orderkey, count, percent, CASE WHEN regexp_matches(low, 'đang tải lên|uploading|còn lại|remaining') THEN coalesce(percent >= 100, false)
+    ELSE regexp_matches(low, 'đã tải lên|tải lên xong|tải lên hoàn tất|hoàn tất|đã xong|uploaded|upload complete|completed|complete') END AS done FROM r""")
+def progress_read(spark, sf):
+    """Status lines with numbers of all sizes."""
+    n, p = (F.col("o_custkey") % 40).cast("string"), (F.col("o_orderkey") % 130).cast("string")
+    lines = F.array(*(F.replace(F.replace(F.lit(x), F.lit("{n}"), n), F.lit("{p}"), p) for x in PHRASES))
+    found = table(spark, sf, "orders").select("o_orderkey", ln.progress(F.get(lines, (F.col("o_custkey") % 8).cast("int"))).alias("r"))
+    return found.select("o_orderkey", "r.count", "r.percent", "r.done")
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+  e AS (SELECT doc_id, arg_max(trim(line), i) AS said, arg_max(length(line) % 5, i) AS k FROM t WHERE length(line) % 3 = 0 GROUP BY doc_id),
+  m AS (SELECT doc_id, CASE k WHEN 0 THEN trim(said || ' (code 429) Resets in ' || length(said) || 'm.') ELSE said END AS said FROM e)
+  SELECT d.doc_id, CASE WHEN said IS NULL THEN '' WHEN contains(said, '(code 429)') OR contains(said, 'RESOURCE_EXHAUSTED') THEN 'hết hạn mức (quota) của agy (reset sau ' || rtrim(regexp_extract(said, 'Resets in ([\w.]+)', 1), '.') || '). Chờ reset hoặc đổi engine trong Cài đặt.'
+    ELSE left(said, 300) END AS error FROM documents d LEFT JOIN m USING (doc_id)""")
+def logs_read(spark, sf):
+    """Logs whose messages are the lines of documents: some are errors, some of these are said twice, and some tell a used-up quota."""
+    line = lambda x: F.trim(x)
+    said = lambda x: F.when(F.length(x) % 5 == 0, F.trim(F.concat(line(x), F.lit(" (code 429) Resets in "), F.length(line(x)).cast("string"), F.lit("m.")))).when(F.length(x) % 5 == 1, F.concat(line(x), F.lit(": "), line(x))).otherwise(line(x))
+    entry = lambda x: F.concat(F.when(F.length(x) % 3 == 0, F.lit("E0705 12:00:00.1 7 a.go:1] ")).otherwise(F.lit("I0705 12:00:00.1 7 a.go:1] ")), said(x))
+    log = F.array_join(F.transform(F.split(tx.text_of("text"), "\n"), entry), "\n")
+    return table(spark, sf, "documents").select("doc_id", ln.last_error(log).alias("error"))
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_replace(lower(url), '^https?://', '') AS rest, page_id % 5 AS k FROM pages),
+  s AS (SELECT page_id, CASE k WHEN 0 THEN page_id || '-' || rest WHEN 1 THEN rest || '-' || page_id WHEN 2 THEN 'x-' || rest WHEN 3 THEN page_id::VARCHAR ELSE rest END AS slug FROM h)
+  SELECT page_id, try_cast(CASE WHEN regexp_matches(slug, '^\d+([-/]|$)') THEN regexp_extract(slug, '^\d+') ELSE regexp_extract_all(slug, '\d+')[-1] END AS BIGINT) AS number FROM s""")
+def hrefs_numbered(spark, sf):
+    """Numbers of chapters in addresses of all shapes."""
+    key, rest = F.col("page_id").cast("string"), F.regexp_replace(F.lower("url"), "^https?://", "")
+    k = F.col("page_id") % 5
+    slug = F.when(k == 0, F.concat(key, F.lit("-"), rest)).when(k == 1, F.concat(rest, F.lit("-"), key)).when(k == 2, F.concat(F.lit("x-"), rest)).when(k == 3, key).otherwise(rest)
+    return table(spark, sf, "pages").select("page_id", ln.chapter_number(F.concat(F.lit("/truyen/9/chuong-"), slug)).alias("number"))
