@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -120,3 +120,59 @@ def story_chapters(pages: DataFrame, key: str, origin: str = "") -> DataFrame:
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Chương "), F.col("number").cast("string")))
     url = F.concat(F.lit(f"{origin}/truyen/"), "slug", F.lit("/doc/"), F.col("number").cast("string"))
     return found.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("number", "at")) - 1).alias("idx"), "number", title.alias("title"), url.alias("url"), "locked")
+
+
+#: A text shorter than this is a label, not a chapter.
+LEAST_PROSE = 200
+
+
+def longest_value(text: str, least: int = LEAST_PROSE) -> str:
+    """The longest string value in a text with JSON in it that is no address, the first of equals; empty where none has ``least`` characters. Keys are no values."""
+    best = ""
+    for token in TOKEN.finditer(text):
+        # An escaped string is no longer than its literal.
+        if token[0][0] == '"' and len(token[0]) - 2 > max(len(best), least - 1) and not COLON.match(text, token.end()):
+            try:
+                value = json.loads(token[0])
+            except ValueError:
+                continue
+            if len(value) > max(len(best), least - 1) and not value.startswith("http"):
+                best = value
+    return best
+
+
+def longest_values(texts: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([longest_value(t or "") for t in batch.to_pylist()], pa.string())
+
+    return run(texts)
+
+
+#: Where a chapter's text stands in markup, if its page says so.
+WRAPPERS = ["article | lines", ".prose | lines", "[class*=whitespace-pre-wrap] | lines"]
+
+
+def story_texts(pages: DataFrame, key: str) -> DataFrame:
+    """(key, label, lines) of chapters' pages (key, html, number, title), each with its own entry in the stream that the page pushes.
+
+    The entry's gate comes first: ``preview`` or ``locked`` pages give no text. Then the text is looked for in the markup's wrappers, in its tightest long block, in the entry and in the
+    whole stream, in this order, and a first line that is the title goes: ``open``. Without any, a page with an entry is ``empty`` and one without ``missing``."""
+    from textloom.functions import html as ht
+    from textloom.functions.select import fields
+
+    read = fields({}, {f"w{k}": w for k, w in enumerate(WRAPPERS)})
+    known = pages.select(key, "html", "number", "title", ht.pushed_stream(F.col("html")).alias("stream"), read(F.col("html")).alias("found"), ht.tightest_block(F.col("html")).alias("block"))
+    seen = objects(known.select(key, F.col("number").alias("wanted"), "stream", F.lit('"chapterNumber"').alias("needle")), ("chapterNumber",)).withColumn("v", F.try_parse_json("object"))
+    get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+    own = seen.where((get("chapterNumber", "long") == F.col("wanted")) & (get("isLocked", "variant").isNotNull() | get("isFree", "variant").isNotNull()))
+    first = own.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("at", F.coalesce(get("isPreview", "boolean"), F.lit(False)).alias("preview"), F.coalesce(get("isLocked", "boolean"), F.lit(False)).alias("locked"), "object")).alias("e"))
+    both = known.join(first, F.col(key) == F.col("_k"), "left")
+    gate = ht.entry_gate(F.col("html"), F.col("e.preview"), F.col("e.locked"))
+    wrapped = F.coalesce(*(F.when(F.length(F.array_join(F.col(f"found.w{k}"), "\n")) >= LEAST_PROSE, F.col(f"found.w{k}")) for k in range(len(WRAPPERS))))
+    entry, stream = longest_values(F.col("e.object")), longest_values(F.col("stream"))
+    other = F.coalesce(*(F.when(x != "", ht.paragraphs_of(x)) for x in (F.col("block"), entry, stream)))
+    lines = ht.without_heading(F.coalesce(wrapped, other, F.array().cast("array<string>")), F.trim("title"))
+    label = F.when(gate != "open", gate).when(F.size(lines) > 0, "open").when(F.col("e").isNull(), "missing").otherwise("empty")
+    return both.select(key, label.alias("label"), F.when(label == "open", lines).alias("lines"))

@@ -159,6 +159,21 @@ def headings_dropped(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(ht.without_same_heading(F.array_prepend(lines, head), title)).cast("long").alias("n"))
 
 
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, length(coalesce(text, '')) AS n, trim(regexp_replace(coalesce(text, ''), '[<>&"\\\\\s]+', ' ', 'g')) AS body, CASE WHEN length(coalesce(text, '')) % 5 = 0 THEN length(role) + 1 ELSE 0 END AS more FROM conversations)
+  SELECT id, CASE WHEN n % 7 = 1 THEN 'locked' WHEN n % 7 = 2 THEN 'preview' WHEN length(body) + more >= 200 THEN 'open' WHEN n % 5 = 4 THEN 'missing' ELSE 'empty' END AS label, CASE WHEN n % 7 NOT IN (1, 2) AND length(body) + more >= 200 THEN body END AS body FROM t""".replace("\\\\", "\\"))
+def story_texts(spark, sf):
+    """The texts of chapters' pages, wherever they stand: in a wrapper, in a plain block, in the chapter's entry or in a row of the stream beside it."""
+    text = F.coalesce("text", F.lit(""))
+    n, body = F.length(text), F.trim(F.regexp_replace(text, r'[<>&"\\\s]+', " "))
+    where = n % 5
+    entry = lambda own: F.concat(F.lit('{"id":"a","chapterNumber":'), F.col("turn").cast("string"), F.lit(',"url":"http://'), F.repeat(F.lit("x"), 9000), F.lit('","isLocked":'), F.when(n % 7 == 1, "true").otherwise("false"), F.lit(',"isPreview":'), F.when(n % 7 == 2, "true").otherwise("false"), F.lit(',"text":'), json_text(own), F.lit("}"))
+    stream = F.concat(F.lit('1:{"chapterNumber":-9,"isFree":true}\n2:'), F.when((where == 4) & ~(n % 7).isin(1, 2), F.lit("[]")).otherwise(entry(F.when(where == 2, body).otherwise("x"))), F.lit("\n3:"), json_text(F.when(where >= 3, body).otherwise("")))
+    block = F.concat(F.lit("<p>"), "role", F.lit("</p><p>"), body, F.lit("</p>"))
+    markup = F.when(where == 0, F.concat(F.lit('<div class="x prose">'), block, F.lit("</div>"))).when(where == 1, F.concat(F.lit("<nav>"), F.repeat(F.lit("menu "), 5000), F.lit("</nav><section><div><p>"), body, F.lit("</p></div></section>"))).otherwise("<p>short</p>")
+    pages = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(markup, F.lit("<script>self.f.push([1,"), json_text(stream), F.lit("])</script>")).alias("html"), F.col("turn").alias("number"), F.col("role").alias("title"))
+    return ob.story_texts(pages, "id").select("id", "label", F.array_join("lines", "\n").alias("body"))
+
+
 # The older query of the same paragraphs, which drops the heading, gets its rule too.
 PARAGRAPHS_ORACLE = ORACLES["page_lines"].replace("SELECT page_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM l", "", 1) + f"""
   , h AS (SELECT l.page_id, CASE WHEN lines[1] = trim({UNESCAPE_SQL.format("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")}) THEN lines[2:] ELSE lines END AS lines FROM l JOIN pages USING (page_id))
