@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import blocks, ordered, rows_table, staged, text_bytes
+from textloom.llm.shared import blocks, give_back, ordered, rows_table, staged, text_bytes
 from textloom.llm.substring_dedup import by_bucket
 from textloom.llm.words import Words, chained, mix
 
@@ -104,6 +104,7 @@ def candidate_sets(docs: DataFrame, size: int, percent: int, block_bytes: int, b
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
             cuts = np.flatnonzero(np.diff(sizes // block_bytes)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
@@ -134,6 +135,7 @@ def candidate_sets(docs: DataFrame, size: int, percent: int, block_bytes: int, b
         return rows_table([(b, block, planes(np.diff(keys[x], prepend=np.uint32(0))), planes(counts[x])) for b, x in by_bucket(bucket_of(token, buckets))], PIECE)
 
     def count(table: pa.Table) -> pa.Table:
+        give_back()
         keys = [np.cumsum(from_planes(x), dtype=np.uint32) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([from_planes(x) for x in table.column("counts").to_pylist()])
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -279,6 +281,7 @@ def link_counts(sets: DataFrame, best: DataFrame, classes: DataFrame, percent: i
     sent = tasks.join(sets.select("node", "tokens"), "node")
 
     def count(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.sort_by([("key", "ascending"), ("node", "ascending")])
         keys, nodes, size, members, alone, second = (table.column(c).to_numpy() for c in ("key", "node", "n", "members", "alone", "second"))
         lists = table.column("tokens").combine_chunks()

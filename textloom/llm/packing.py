@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import staged
+from textloom.llm.shared import give_back, staged
 
 #: Characters on whose classes libraries might differ, and blanks that one token may hold together: runs of three or
 #: more, or of two at the text's end.
@@ -120,6 +120,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     names=["part", "seq", "doc_id", "before", "n", "ids"],
                 )
                 before, seq = int(ends[-1]), seq + len(n)
+        give_back()
 
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return rows.mapInArrow(run, "part int, seq long, doc_id long, before long, n long, ids binary")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.shared import blocks, ordered, rows_table, text_bytes
+from textloom.llm.shared import blocks, give_back, ordered, rows_table, text_bytes
 from textloom.llm.words import Words, mix
 
 PIECE = "bucket int, block int, keys binary, more binary, ranks binary, places binary"
@@ -166,6 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
         return rows_table(rows, PIECE)
 
     def count_symbols(table: pa.Table) -> pa.Table:
+        give_back()
         keys = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
         again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(table.column("more").to_pylist(), keys, strict=True)]
         _, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
@@ -201,6 +202,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_columns: bool = Fals
     def first_windows(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:  # found in their own block
             return table.select(["bucket", "block", "places"]).rename_columns(["bucket", "block", "found"])
+        give_back()
         keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
         more = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("more").to_pylist()])
         where = [(x, len(k)) for x, k in zip(table.column("ranks").to_pylist(), keys, strict=True)]

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import new_path, staged, text_bytes
+from textloom.llm.shared import give_back, new_path, staged, text_bytes
 from textloom.llm.words import hashed, mix
 
 DEPTH = 6
@@ -147,6 +147,7 @@ def gathered(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, grams, sums = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros((0, 3), np.int64)
         for batch in batches:
+            give_back()
             texts, kinds = batch.column("text").to_pylist(), batch.column("kind").to_numpy()
             for part in slices(texts):
                 bag = Bag(texts[part])
@@ -169,6 +170,8 @@ def gathered(rows: DataFrame, buckets: int) -> DataFrame:
                     key, grams, sums = key[:0], grams[:0], sums[:0]
         if len(key):
             yield as_batch(key, grams, sums)
+        key = grams = sums = None
+        give_back()
 
     def as_batch(key: np.ndarray, grams: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
         bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -277,6 +280,7 @@ def feature(text: Column, path: str) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(features(batch.to_pylist(), path))
+            give_back()
 
     return of(text)
 
