@@ -73,6 +73,38 @@ def test_rows_for_a_partition_that_was_not_read_are_refused(table):
     assert table.version() == 1
 
 
+def test_files_do_not_grow_with_the_number_of_partitions(spark, tmp_path):
+    rows = chapters.conformed(spark.range(2000).select(F.lit("a").alias("project"), F.col("id").alias("idx"), F.lit("text").alias("content")))
+    kept = VersionedTable(spark, f"file://{tmp_path}/t", span_key(rows=1))
+    kept.replace(rows)
+    assert kept.folders().count() == 2000 and len(list((tmp_path / "t" / "data").rglob("*.parquet"))) <= 8
+    kept.edit(marked, rows.where("idx < 1000"))
+    assert len(list((tmp_path / "t" / "data").rglob("*.parquet"))) <= 16
+    assert kept.read().count() == 2000 and [r["idx"] for r in kept.read().where("status = 'error'").collect()] == [5]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    kept = VersionedTable(spark, f"file://{tmp_path}/t", F.lit("all"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        kept.replace(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert len(list((tmp_path / "t" / "data").rglob("*.parquet"))) > 1 and kept.read().count() == 40_000
+
+
+def test_versions_with_a_folder_for_each_partition_are_still_read(table, spark):
+    rows = table.read().withColumn("version_key", table.key)
+    rows.write.partitionBy("version_key").parquet(f"{table.root}/data/commit=0ld")
+    rows.select("version_key", F.lit("0ld").alias("commit")).distinct().write.parquet(f"{table.root}/manifests/0ld")
+    table.switch(1, {"version": 2, "manifest": "manifests/0ld", "schema": rows.drop("version_key").schema.jsonValue(), "note": ""})
+    assert table.edit(marked, table.read().where("idx = 5")) == 3
+    assert table.read().count() == 60 and table.read().where("status = 'error'").count() == 1
+    assert {r["commit"] == "0ld" for r in table.folders().collect()} == {True, False}
+
+
 def test_a_plan_that_is_shown_is_the_one_that_is_written(spark, tmp_path):
     items = spark.createDataFrame([("a", 5, 1.0), ("b", 6, 1.0)], "relpath string, size long, mtime double")
     manifest = spark.createDataFrame([("a", 5, "1.0", "done")], "relpath string, size long, mtime string, status string")

@@ -1,7 +1,8 @@
 """Tables that are edited by copy on write, in any folder that Spark can write to.
 
-Rows lie in folders by partition key and edit: ``data/commit=<id>/version_key=<key>``. A version is a manifest, a small table that names for
-each key the edit whose folder counts, and a version file that names the manifest. An edit reads and rewrites only the
+Rows lie in folders by edit, ``data/commit=<id>``, with their partition key as a column by which its files are dealt and sorted: the number of files grows
+with the rows' bytes, not with the number of keys, and a reader of few keys skips what the files' statistics rule out. A version is a manifest, a small table that names for
+each key the edit whose rows count, and a version file that names the manifest. An edit rewrites only the
 partitions that it touches, carries the others over in the manifest, and is seen when its version file appears. That is one rename,
 which fails where the file exists, so of two edits of the same version one is refused, and whoever reads sees the version before or the one after.
 Versions stay readable, so a snapshot is a name for one and copies nothing.
@@ -12,14 +13,17 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 KEY = "version_key"
-#: Up to so many partitions an edit names those it reads, so that no other is opened; beyond it they are joined.
+#: Up to so many partitions an edit names those it reads, so that others are skipped; beyond it they are joined.
 NAMED = 10_000
+#: How edits' names begin. Those of earlier releases, which have a folder for each key below the edit's, begin otherwise and are read as they are.
+SORTED = "s"
 
 
 class Overtaken(RuntimeError):
@@ -83,7 +87,7 @@ class VersionedTable:
         return self._get(f"versions/{self.version() if version is None else version:08d}.json")
 
     def folders(self, version: int | str | None = None) -> DataFrame:
-        """(version_key, commit): which edit's folder holds each partition."""
+        """(version_key, commit): which edit's rows are each partition's."""
         return self.spark.read.schema(f"{KEY} string, commit string").parquet(f"{self.root}/{self._known(version)['manifest']}")
 
     def read(self, version: int | str | None = None) -> DataFrame:
@@ -96,13 +100,14 @@ class VersionedTable:
         edits = [r[0] for r in folders.select("commit").distinct().collect()]  # as many as there were edits, not rows or partitions
         if not edits:
             return self.spark.createDataFrame([], kept)
-        rows = self.spark.read.schema(kept).option("basePath", f"{self.root}/data").parquet(*(f"{self.root}/data/commit={e}" for e in sorted(edits)))
+        read = lambda own: self.spark.read.schema(kept).option("basePath", f"{self.root}/data").parquet(*(f"{self.root}/data/commit={e}" for e in sorted(own)))
+        rows = reduce(DataFrame.unionByName, [read(own) for own in ([e for e in edits if e.startswith(SORTED)], [e for e in edits if not e.startswith(SORTED)]) if own])
         return rows.join(folders, ["commit", KEY], "left_semi").select(*kept.names)
 
     def _write(self, rows: DataFrame, base: int, stay: DataFrame | None, note: str) -> int:
-        commit = uuid.uuid4().hex
+        commit = SORTED + uuid.uuid4().hex
         kept = rows.withColumn(KEY, self.key)
-        kept.write.partitionBy(KEY).parquet(f"{self.root}/data/commit={commit}")
+        kept.hint("rebalance", F.col(KEY)).sortWithinPartitions(KEY).write.parquet(f"{self.root}/data/commit={commit}")
         written = self.spark.read.schema(kept.schema).parquet(f"{self.root}/data/commit={commit}").select(KEY).distinct().withColumn("commit", F.lit(commit))
         if stay is not None:
             moved = written.join(stay, KEY, "left_semi").limit(1).collect()
