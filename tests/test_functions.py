@@ -230,3 +230,18 @@ def test_chunks_lose_nothing(spark, texts, limit):
     for r in rows:
         assert "\n".join(r["c"]).split("\n") == ([p for p in r["text"].split("\n") if p.strip()] or [""])
         assert all(len(x) <= limit or "\n" not in x for x in r["c"])
+
+
+def test_python_functions_answer_a_large_batch_in_slices(spark):
+    import pyarrow as pa
+
+    from textloom.functions import objects, select, slices, terms
+
+    rows = [None, *("<p>" + "x" * 500_000 + "</p>" for _ in range(9))]
+    texts, lists = pa.array(rows), pa.array([None if r is None else [r, "y"] for r in rows])
+    made = [(html.pushed_stream, texts), (html.tightest_block, texts), (terms.glossary({"a": "b"}), texts), (select.fields({}, {"p": "p"}), texts), (tx.over_lists(list), lists)]
+    for run, batch in made:
+        sizes = [len(part) for part in run.func(iter([batch, batch.slice(7)]))]
+        assert sum(sizes) == 13 and max(sizes) <= 5
+    assert list(slices.spans(pa.array([], pa.string()))) == [(0, 0)] and list(slices.spans(pa.array(["a" * 99, "b", None, "c"]), 30)) == [(0, 1), (1, 3)]
+    assert list(slices.spans(lists.slice(8), 1)) == [(0, 1), (1, 1)]

@@ -15,7 +15,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from textloom.functions.slices import mapped, over_slices
 
 #: Strings end in their line, so that a stray quotation mark costs no more than a line.
 TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|[{}]')
@@ -77,13 +79,14 @@ def objects(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
     schema = StructType([*others, StructField("at", LongType()), StructField("object", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in over_slices(batches, "stream"):
             for k, (stream, needle) in enumerate(zip(batch.column("stream").to_pylist(), batch.column("needle").to_pylist(), strict=True)):
                 found = [(at, json.dumps(x, ensure_ascii=False)) for at, x in read_objects(stream or "", needle or "", required)]
                 if found:
                     row = pa.array([k] * len(found))
                     arrays = [*(batch.column(f.name).take(row) for f in others), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found])]
                     yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            batch = None
 
     return rows.select(*(f.name for f in others), "stream", "needle").mapInArrow(run, schema)
 
@@ -142,37 +145,54 @@ def longest_value(text: str, least: int = LEAST_PROSE) -> str:
 
 
 def longest_values(texts: Column) -> Column:
-    @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([longest_value(t or "") for t in batch.to_pylist()], pa.string())
-
-    return run(texts)
+    return mapped(lambda t: longest_value(t or ""), "string", pa.string())(texts)
 
 
 #: Where a chapter's text stands in markup, if its page says so.
 WRAPPERS = ["article | lines", ".prose | lines", "[class*=whitespace-pre-wrap] | lines"]
 
 
+def page_parts(html: Column) -> Column:
+    """struct(block, said, w0, ...): all that a chapter's page may hold its text in, by one function, so that a page goes to one worker: its tightest long block, the longest
+    value of its stream, and its wrappers' lines."""
+    from textloom.functions.html import read_stream, read_tightest
+    from textloom.functions.select import Pick, Reader
+
+    picks = [Pick.of(w) for w in WRAPPERS]
+    lists = [f"w{k}" for k in range(len(WRAPPERS))]
+    schema = StructType([StructField("block", StringType()), StructField("said", StringType()), *(StructField(n, ArrayType(StringType())) for n in lists)])
+    made = pa.struct([("block", pa.string()), ("said", pa.string()), *((n, pa.list_(pa.string())) for n in lists)])
+
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = Reader(picks)
+        read = lambda page: {"block": read_tightest(page), "said": longest_value(read_stream(page)), **dict(zip(lists, reader.read(page or ""), strict=True))}
+        for part in over_slices(batches):
+            found, part = pa.array(map(read, part.to_pylist()), made), None
+            yield found
+
+    return run(html)
+
+
 def story_texts(pages: DataFrame, key: str) -> DataFrame:
     """(key, label, lines) of chapters' pages (key, html, number, title), each with its own entry in the stream that the page pushes.
 
     The entry's gate comes first: ``preview`` or ``locked`` pages give no text. Then the text is looked for in the markup's wrappers, in its tightest long block, in the entry and in the
     whole stream, in this order, and a first line that is the title goes: ``open``. Without any, a page with an entry is ``empty`` and one without ``missing``."""
     from textloom.functions import html as ht
-    from textloom.functions.select import fields
 
-    read = fields({}, {f"w{k}": w for k, w in enumerate(WRAPPERS)})
-    known = pages.select(key, "html", "number", "title", ht.pushed_stream(F.col("html")).alias("stream"), read(F.col("html")).alias("found"), ht.tightest_block(F.col("html")).alias("block"))
-    seen = objects(known.select(key, F.col("number").alias("wanted"), "stream", F.lit('"chapterNumber"').alias("needle")), ("chapterNumber",)).withColumn("v", F.try_parse_json("object"))
+    # Of the page itself only its mark goes on, not its markup.
+    mark = F.when(F.contains("html", F.lit(ht.PREVIEW)), ht.PREVIEW).otherwise("")
+    known = pages.select(key, mark.alias("mark"), "title", page_parts(F.col("html")).alias("found"))
+    seen = objects(pages.select(key, F.col("number").alias("wanted"), ht.pushed_stream(F.col("html")).alias("stream"), F.lit('"chapterNumber"').alias("needle")), ("chapterNumber",)).withColumn("v", F.try_parse_json("object"))
     get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
     own = seen.where((get("chapterNumber", "long") == F.col("wanted")) & (get("isLocked", "variant").isNotNull() | get("isFree", "variant").isNotNull()))
     first = own.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("at", F.coalesce(get("isPreview", "boolean"), F.lit(False)).alias("preview"), F.coalesce(get("isLocked", "boolean"), F.lit(False)).alias("locked"), "object")).alias("e"))
     both = known.join(first, F.col(key) == F.col("_k"), "left")
-    gate = ht.entry_gate(F.col("html"), F.col("e.preview"), F.col("e.locked"))
+    gate = ht.entry_gate(F.col("mark"), F.col("e.preview"), F.col("e.locked"))
     wrapped = F.coalesce(*(F.when(F.length(F.array_join(F.col(f"found.w{k}"), "\n")) >= LEAST_PROSE, F.col(f"found.w{k}")) for k in range(len(WRAPPERS))))
-    entry, stream = longest_values(F.col("e.object")), longest_values(F.col("stream"))
-    other = F.coalesce(*(F.when(x != "", ht.paragraphs_of(x)) for x in (F.col("block"), entry, stream)))
+    entry = longest_values(F.col("e.object"))
+    other = F.coalesce(*(F.when(x != "", ht.paragraphs_of(x)) for x in (F.col("found.block"), entry, F.col("found.said"))))
     lines = ht.without_heading(F.coalesce(wrapped, other, F.array().cast("array<string>")), F.trim("title"))
     label = F.when(gate != "open", gate).when(F.size(lines) > 0, "open").when(F.col("e").isNull(), "missing").otherwise("empty")
     return both.select(key, label.alias("label"), F.when(label == "open", lines).alias("lines"))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.slices import mapped
+
 # The punctuation that cleaning keeps, the dashes, and what is mapped to plain signs.
 KEPT = ".!?…,;:\"'“”‘’«»()"
 DASHES = "—–‒―−-"
@@ -86,13 +88,7 @@ def merge_pieces(pieces: list[str], least: int, limit: int) -> list[str]:
 
 def over_lists(work: Callable[[list], list[str]]) -> Callable[[Column], Column]:
     """An Arrow function of lists. Folds in the JVM copy what they have made at each step, so the time for one text would grow with its square."""
-
-    @F.arrow_udf("array<string>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if x is None else work(x) for x in batch.to_pylist()], pa.list_(pa.string()))
-
-    return run
+    return mapped(lambda x: None if x is None else work(x), "array<string>", pa.list_(pa.string()))
 
 
 def packed(pieces: Column, limit: int, joiner: str) -> Column:
@@ -193,13 +189,7 @@ def ascii_words(text: str) -> str:
 
 def slug(text: Column, limit: int = 40) -> Column:
     """``ascii_words`` of a text, cut at ``limit``: accents go, full-width forms become plain, ligatures several letters, and an empty slug is ``novel``."""
-
-    @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if t is None else ascii_words(t)[:limit] or "novel" for t in batch.to_pylist()], pa.string())
-
-    return run(text)
+    return mapped(lambda t: None if t is None else ascii_words(t)[:limit] or "novel", "string", pa.string())(text)
 
 
 def safe_name(name: Column, limit: int = 100) -> Column:

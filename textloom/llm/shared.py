@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.slices import give_back
 from textloom.sources.scratch import remove, scratch_path as new_path
 
 
@@ -56,14 +56,6 @@ def rows_table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
 
 
-def give_back() -> None:
-    """Returns memory that a worker has freed to the system, where the C library can: what one block or batch needed would else stay with
-    the worker while it waits for other stages, beside all that those need."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def ordered(docs: pa.Table) -> pa.Table:
     """A block's rows in an order that does not depend on how they arrived: those without a doc_id first. What the block before needed is given back."""
     give_back()

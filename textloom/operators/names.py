@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Set
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.terms import term_places
+from textloom.functions.slices import over_slices
+from textloom.functions.terms import HELD, term_places
 from textloom.sources.scratch import written
 
 HAN = "一-鿿"
@@ -25,14 +26,14 @@ PASS_NAMES = 100_000
 
 def candidates(docs: DataFrame, single: Set[str], double: Set[str]) -> DataFrame:
     """(base, full, prev, n, first_doc, first_pos): how often each match stands behind each letter, and where first. ``base`` has one given
-    letter, ``full`` two or none; matches are counted in each task, so a common name is a row a batch."""
+    letter, ``full`` two or none; matches are counted in each task, so a common name is a row for many texts."""
     surname = "|".join([*map(regex.escape, sorted(double)), "[" + "".join(map(regex.escape, sorted(single))) + "]"])
     pattern = regex.compile(f"({surname})([{HAN}]{{1,2}})")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: dict[tuple, list] = {}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+        for part in over_slices(batches, "text"):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 for m in pattern.finditer(text or ""):
                     key = (m[1] + m[2][0], m[0] if len(m[2]) == 2 else None, text[m.start() - 1] if m.start() else "")
                     if key in found:
@@ -40,9 +41,16 @@ def candidates(docs: DataFrame, single: Set[str], double: Set[str]) -> DataFrame
                         found[key][1] = min(found[key][1], (doc_id, m.start()))
                     else:
                         found[key] = [1, (doc_id, m.start())]
-            yield pd.DataFrame([(*key, n, *first) for key, (n, first) in found.items()], columns=["base", "full", "prev", "n", "first_doc", "first_pos"])
+            if len(found) >= HELD:
+                yield counted(found)
+                found = {}
+        yield counted(found)
 
-    rows = docs.select("doc_id", "text").mapInPandas(run, FOUND)
+    def counted(found: dict[tuple, list]) -> pa.RecordBatch:
+        columns = list(zip(*((*key, n, *first) for key, (n, first) in found.items()), strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), *(pa.array(c, pa.int64()) for c in columns[3:])], names=["base", "full", "prev", "n", "first_doc", "first_pos"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
     first = F.min(F.struct("first_doc", "first_pos"))
     return rows.groupBy("base", "full", "prev").agg(F.sum("n").alias("n"), first["first_doc"].alias("first_doc"), first["first_pos"].alias("first_pos"))
 
