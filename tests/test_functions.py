@@ -245,3 +245,15 @@ def test_python_functions_answer_a_large_batch_in_slices(spark):
         assert sum(sizes) == 13 and max(sizes) <= 5
     assert list(slices.spans(pa.array([], pa.string()))) == [(0, 0)] and list(slices.spans(pa.array(["a" * 99, "b", None, "c"]), 30)) == [(0, 1), (1, 3)]
     assert list(slices.spans(lists.slice(8), 1)) == [(0, 1), (1, 1)]
+
+
+def test_counts_are_sent_on_before_they_are_many(spark, monkeypatch):
+    from textloom.functions import slices, terms
+
+    docs = spark.range(0, 40, 1, 2).select(F.col("id").alias("doc_id"), F.lit("米江水\n火米江水").alias("text"))
+    count = lambda: (sorted(map(tuple, names.candidates(docs, {"米"}, set()).collect()), key=repr), sorted(map(tuple, terms.term_places(docs, ["米江"]).collect())))
+    whole = count()
+    for module in (names, terms):
+        monkeypatch.setattr(module, "HELD", 1)
+    monkeypatch.setattr(slices.spans, "__defaults__", (1,))
+    assert count() == whole and sum(r[3] for r in whole[0]) == sum(r[3] for r in whole[1]) == 80
