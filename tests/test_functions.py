@@ -257,3 +257,10 @@ def test_counts_are_sent_on_before_they_are_many(spark, monkeypatch):
         monkeypatch.setattr(module, "HELD", 1)
     monkeypatch.setattr(slices.spans, "__defaults__", (1,))
     assert count() == whole and sum(r[3] for r in whole[0]) == sum(r[3] for r in whole[1]) == 80
+
+
+def test_stated_tables_are_read_without_python_workers(spark):
+    from textloom.plans import mining
+
+    plan = mining.name_readings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan

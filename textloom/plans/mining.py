@@ -16,7 +16,7 @@ from textloom.operators.chapters import conformed
 from textloom.plans.texts import CLEAN_SQL
 from textloom.sources import sidecars
 from textloom.sources.scratch import scratch_path
-from textloom.sources.tables import table
+from textloom.sources.tables import stated, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,7 +78,7 @@ y AS (SELECT name, next, count(*) AS n FROM x GROUP BY name, next), z AS (SELECT
 SELECT r.name, r.count FROM r LEFT JOIN z USING (name) WHERE NOT coalesce(regexp_matches(top, '^[一-鿿]$') AND share >= 0.8, false)""")
 def names_mined(spark, sf):
     """Names in the documents, their letters taken for Han letters, by every rule of the decision."""
-    frequencies = spark.createDataFrame(FREQUENCIES, "word string, freq int")
+    frequencies = stated(spark, FREQUENCIES, ["word", "freq"])
     return names.mine(han_texts(spark, sf), SINGLE, DOUBLE, DETERMINERS, FUNCTION, TITLES, frequencies)
 
 
@@ -88,7 +88,7 @@ SELECT name, reading FROM j WHERE NOT gap""")
 def name_readings(spark, sf):
     """The readings of all candidates whose letters are all known."""
     found = names.candidates(han_texts(spark, sf), SINGLE, DOUBLE).select(F.col("base").alias("name")).distinct()
-    return names.readings(found, spark.createDataFrame([(c, f"r{i + 1}") for i, c in enumerate(HAN[:20])], "letter string, reading string"))
+    return names.readings(found, stated(spark, [(c, f"r{i + 1}") for i, c in enumerate(HAN[:20])], ["letter", "reading"]))
 
 
 #: A glossary of a thousand terms of two or three letters, longest first.
