@@ -264,3 +264,23 @@ def test_stated_tables_are_read_without_python_workers(spark):
 
     plan = mining.name_readings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
+def test_a_glossary_holds_no_places_of_a_whole_text():
+    import tracemalloc
+
+    from textloom.functions import terms
+
+    pairs = {"aba": "<1>", "ab": "<2>", "bb": "<3>", "]": "<4>", "ca": "<5>", "n": "<6>"}
+    own = terms.Glossary(pairs)
+    for text in ("abab cab]bbb ban\n", "ababcab]bbbban"):
+        whole, wanted = text * 20_000, text * 20_000
+        for k, v in sorted(pairs.items(), key=lambda kv: -len(kv[0])):
+            wanted = wanted.replace(k, v)
+        tracemalloc.start()
+        made = own.apply(whole)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made == wanted
+        assert peak < 25 * len(whole)
+    assert terms.Glossary({}).apply("a") == terms.Glossary({"": "b"}).apply("a") == "a" and terms.Glossary({"ab": "a", "ac": "c"}).apply("abc") == "c"
