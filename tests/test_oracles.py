@@ -51,7 +51,7 @@ def test_query(spark, duck, name):
 CUT = [f"{words} &{name};"[:n] for words in ("A b", "R&amp;D &amp;c") for name in ("amp", "quot") for n in range(len(words), len(words) + len(name) + 4)]
 
 
-@pytest.mark.parametrize("name", ["page_paragraphs", "page_fields"])
+@pytest.mark.parametrize("name", ["page_paragraphs", "page_fields", "page_lines"])
 def test_pages_with_cut_titles(spark, tmp_path, name):
     page = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{0}</title><script>var t="</p>&quot";</script></head><body><nav><ul><li><a href="/a">a</a></li><li><a href="/b&amp;c">b&amp;c</a></li></ul></nav><div class="ad">ad &quot;x&quot;</div><article><h1>{0}</h1><p><b>{0}</b> &amp;quot; more<br>two<p>last &quot;</article></body></html>'
     pages = [(3 * i + k, "https://a.example/", page.format(title)) for i, title in enumerate(CUT) for k in range(3)]
